@@ -244,7 +244,8 @@ FROM w WHERE window_start + INTERVAL '1 hour' <=
 def live_pass_rate(spark, sf):
     """Windows closed by the watermark once the events so far have been streamed."""
     schema = read_table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
+    # a pattern instead of a plain path: the table may be one file or a folder of files
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/{{events}}.parquet")
     judged = stream.select(F.col("ts").cast("timestamp"), F.expr(_LIVE_SCORE).alias("final_score"))
     windows = windowed_pass_rate(judged, "ts", "final_score", "1 hour", "10 minutes")
     out = monitor(spark, windows, shared_folder(spark, "live"))
