@@ -9,14 +9,25 @@ from pyspark.sql import functions as F
 NUMBER = r"[0-9]+(\.[0-9]+)?"
 SENTENCE_END = r"[.!?]+"
 SENTENCE = r"[^.!?]+[.!?]*"
-OUTER_SPACE = r"^[\s\x0B\x1c-\x1f\x85\pZ]+|[\s\x0B\x1c-\x1f\x85\pZ]+$"
+SPACES = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 ASCII_RUN = r"[\x00-\x7F]+"
+# A word with an off-script character, entered at its start only and without
+# backtracking, so that the scan is linear in the text.
+OFF_SCRIPT_WORD = r"(?<!\S)[\x00-\x7F&&\S]*+[^\x00-\x7F]\S*"
 FENCE = "```"
 
 
 def strip(text: Column) -> Column:
     """Trim white space of every kind (newlines, no-break spaces) at both ends."""
-    return F.regexp_replace(text, OUTER_SPACE, "")
+    return F.trim(text, F.lit(SPACES))
+
+
+def is_ascii(text: Column) -> Column:
+    """One byte per character; lets clean texts skip the regular expressions."""
+    return F.octet_length(text) == F.length(text)
 
 
 def preview(text: Column, n: int = 200) -> Column:
@@ -40,7 +51,8 @@ def occurrences(text: Column, literal: str) -> Column:
 
 def off_script_chars(text: Column, expected: str = ASCII_RUN) -> Column:
     """Characters left once runs of the expected script are removed."""
-    return F.length(F.regexp_replace(text, expected, ""))
+    left = F.length(F.regexp_replace(text, expected, ""))
+    return F.when(is_ascii(text), 0).otherwise(left) if expected == ASCII_RUN else left
 
 
 def off_script_share(text: Column, expected: str = ASCII_RUN) -> Column:
@@ -66,10 +78,10 @@ def strip_fence(raw: Column) -> Column:
     return strip(F.when(F.startswith(raw, F.lit(FENCE)), body).otherwise(raw))
 
 
-def drop_off_script_words(text: Column, off_script: str = r"[^\x00-\x7F]") -> Column:
-    """Remove every blank-delimited word that holds an off-script character."""
-    word = rf"[^\s]*{off_script}[^\s]*"
-    return strip(F.regexp_replace(F.regexp_replace(text, word, ""), r" +", " "))
+def drop_off_script_words(text: Column) -> Column:
+    """Remove every blank-delimited word that holds a non-ASCII character."""
+    kept = F.when(is_ascii(text), text).otherwise(F.regexp_replace(text, OFF_SCRIPT_WORD, ""))
+    return strip(F.regexp_replace(kept, "  +", " "))
 
 
 def first_sentences(text: Column, n: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,19 +110,30 @@ def token_cap_counts(df: DataFrame, by: list[str], tokens: str, cap: int) -> Dat
 
 
 def align_runs(
-    left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], how: str = "full_outer"
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    columns: list[str],
+    carry: Sequence[str] = (),
+    how: str = "full_outer",
 ) -> DataFrame:
     """Join two runs on the question key, ``{column}_a`` beside ``{column}_b``.
 
-    ``in_a`` and ``in_b`` tell a missing row from a NULL cell. Pass narrow
-    columns (hashes, counts, verdicts) so that texts stay out of the shuffle.
+    ``in_a`` and ``in_b`` tell a missing row from a NULL cell. ``carry`` names
+    columns that do not differ between the runs; leaving them out of the key
+    lets the join reuse a partitioning by the key alone. Pass narrow columns
+    (hashes, counts, verdicts) so that texts stay out of the shuffle.
     """
     def side(df: DataFrame, suffix: str) -> DataFrame:
         return df.select(
-            *keys, F.lit(True).alias(f"in_{suffix}"), *[F.col(c).alias(f"{c}_{suffix}") for c in columns])
+            *keys, F.lit(True).alias(f"in_{suffix}"),
+            *[F.col(c).alias(f"{c}_{suffix}") for c in (*carry, *columns)])
 
     joined = side(left, "a").join(side(right, "b"), keys, how)
-    return joined.withColumns({f"in_{s}": F.coalesce(f"in_{s}", F.lit(False)) for s in "ab"})
+    present = {f"in_{s}": F.coalesce(f"in_{s}", F.lit(False)) for s in "ab"}
+    shared = {c: F.coalesce(f"{c}_a", f"{c}_b") for c in carry}
+    return joined.withColumns({**present, **shared}).drop(
+        *[f"{c}_{s}" for c in carry for s in "ab"])
 
 
 def with_text_hash(df: DataFrame, keys: list[str], text: str, *keep: str) -> DataFrame:

@@ -61,17 +61,24 @@ def judge_ratings(spark: SparkSession, sf: str) -> DataFrame:
     """Verdicts measured on whole texts, computed before any join so that the
     shuffles downstream carry five short strings and no text."""
     text = F.col("text")
-    digits = F.length(text) - F.length(F.regexp_replace(text, "[0-9]+", ""))
-    return documents(spark, sf).select(
+    # measures first: a band mentions its value once per limit
+    measured = documents(spark, sf).select(
         "doc_id",
         F.col("source").alias("run_id"),
         F.col("lang").alias("category"),
-        F.col("n_chars"),
-        band(tx.off_script_share(text), FLUENCY_LIMITS).alias("judge_fluency"),
-        band(tx.sentence_count(text), GRAMMAR_LIMITS).alias("judge_grammar"),
-        band(tx.occurrences(text, "!"), TONE_LIMITS).alias("judge_tone"),
+        "n_chars",
+        tx.off_script_share(text).alias("off_script"),
+        tx.sentence_count(text).alias("sentences"),
+        tx.occurrences(text, "!").alias("shouts"),
+        (F.length(text) - F.length(F.regexp_replace(text, "[0-9]+", ""))).alias("digits"),
+    )
+    return measured.select(
+        "doc_id", "run_id", "category", "n_chars",
+        band(F.col("off_script"), FLUENCY_LIMITS).alias("judge_fluency"),
+        band(F.col("sentences"), GRAMMAR_LIMITS).alias("judge_grammar"),
+        band(F.col("shouts"), TONE_LIMITS).alias("judge_tone"),
         band(F.col("n_chars"), LENGTH_LIMITS).alias("judge_length"),
-        band(digits, GROUNDING_LIMITS).alias("judge_grounding"),
+        band(F.col("digits"), GROUNDING_LIMITS).alias("judge_grounding"),
     )
 
 
@@ -79,6 +86,7 @@ def latencies(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "events").select(
         F.col("event_id").alias("doc_id"),
         (F.col("value") * 50).alias("latency_ms"),
+        "value",
         "event_type",
     )
 
@@ -92,7 +100,7 @@ def full_sheet(spark: SparkSession, sf: str) -> DataFrame:
     """Every answer with its judge verdicts and latency; human verdicts where rated."""
     return (
         judge_ratings(spark, sf)
-        .join(latencies(spark, sf), "doc_id", "left")
+        .join(latencies(spark, sf).drop("value"), "doc_id", "left")
         .join(human_ratings(spark, sf), "doc_id", "left")
     )
 
@@ -103,7 +111,7 @@ def run_a(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_b(spark: SparkSession, sf: str) -> DataFrame:
-    in_time = latencies(spark, sf).where("latency_ms <= 250 * 50")
+    in_time = latencies(spark, sf).where("value <= 250")
     cleaned = documents(spark, sf).select(
         "doc_id", "source", "lang", tx.drop_off_script_words(F.col("text")).alias("text"))
     return _as_run(cleaned, in_time)
@@ -112,14 +120,18 @@ def run_b(spark: SparkSession, sf: str) -> DataFrame:
 def _as_run(texts: DataFrame, answered: DataFrame) -> DataFrame:
     """Text measures first, then the join: the text itself is not shuffled."""
     text = F.col("text")
-    return texts.select(
+    measured = texts.select(
         "doc_id",
         F.col("source").alias("run_id"),
         F.col("lang").alias("category"),
         tx.text_hash(text).alias("text_hash"),
         F.ceil(F.length(text) / 4).alias("tokens"),
-        band(tx.sentence_count(text), GRAMMAR_LIMITS).alias("verdict"),
-    ).join(answered.select("doc_id", "latency_ms"), "doc_id")
+        tx.sentence_count(text).alias("sentences"),
+    )
+    judged = measured.select(
+        "doc_id", "run_id", "category", "text_hash", "tokens",
+        band(F.col("sentences"), GRAMMAR_LIMITS).alias("verdict"))
+    return judged.join(answered.select("doc_id", "latency_ms"), "doc_id")
 
 
 # ---------------------------------------------------------------------------
@@ -234,4 +246,4 @@ def _run_sql(name: str, text: str, condition: str) -> str:
 
 RUNS_SQL = (
     _run_sql("run_a", "text", "event_type <> 'error'") + ", "
-    + _run_sql("run_b", sql_clean("text"), "value * 50 <= 250 * 50"))
+    + _run_sql("run_b", sql_clean("text"), "value <= 250"))

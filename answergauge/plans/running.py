@@ -58,7 +58,8 @@ def delta_vs_baseline(spark, sf):
 
 
 def _aligned(spark, sf, *columns):
-    return rn.align_runs(src.run_a(spark, sf), src.run_b(spark, sf), KEYS, list(columns))
+    return rn.align_runs(
+        src.run_a(spark, sf), src.run_b(spark, sf), ["doc_id"], list(columns), carry=["run_id"])
 
 
 _STATUS = """CASE WHEN b.doc_id IS NULL THEN 'only_left' WHEN a.doc_id IS NULL THEN 'only_right'
@@ -108,7 +109,7 @@ def changed_unrated(spark, sf):
 WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id IN (SELECT doc_id FROM run_b)""")
 def rated_in_both(spark, sf):
     rated = src.run_a(spark, sf).join(src.human_ratings(spark, sf), "doc_id", "left_semi")
-    return rn.rated_in_both(rated, src.run_b(spark, sf), KEYS).select(*KEYS)
+    return rn.rated_in_both(rated, src.run_b(spark, sf), ["doc_id"]).select(*KEYS)
 
 
 @query(f"""WITH {src.RUNS_SQL},
