@@ -43,6 +43,10 @@ def sentence_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(SENTENCE_END))
 
 
+def digit_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[0-9]"))
+
+
 def occurrences(text: Column, literal: str) -> Column:
     """Count of a literal substring without building an array of matches."""
     removed = F.length(text) - F.length(F.replace(text, F.lit(literal), F.lit("")))

@@ -36,7 +36,7 @@ JUDGED = [f"judge_{c}_verdict" for c in (*CRITERIA, "latency")]
 
 def gated(spark, sf):
     return gt.gate(
-        src.full_sheet(spark, sf), src.JUDGE, "latency_ms", failed=F.col("event_type") == "error")
+        src.judged_sheet(spark, sf), src.JUDGE, "latency_ms", failed=F.col("event_type") == "error")
 
 
 def _ranged(spark, sf):
@@ -155,7 +155,7 @@ SELECT g.run_id, g.doc_id, {', '.join(
 FROM gated g LEFT JOIN rescored r USING (doc_id)""")
 def retry_upsert(spark, sf):
     """The retry answers only rows that come back within ten seconds; the rest stay ERROR."""
-    again = src.full_sheet(spark, sf).where("latency_ms <= 10000")
+    again = src.judged_sheet(spark, sf).where("latency_ms <= 10000")
     rescored = gt.gate(again, src.JUDGE, "latency_ms")
     repaired = gt.retry_errors(
         gated(spark, sf), rescored, ["doc_id"], CELLS, "judge_fluency_verdict")
@@ -168,8 +168,11 @@ SELECT run_id, doc_id, {', '.join(
 FROM gated""")
 def subset_fill(spark, sf):
     """Judge columns for human-rated rows only (anchor: the length rating)."""
-    sheet = src.full_sheet(spark, sf).select("run_id", "doc_id", "human_length")
-    scored = gt.rated(gated(spark, sf), "human_length")
+    rows = src.documents(spark, sf).select(F.col("source").alias("run_id"), "doc_id")
+    anchor = src.human_ratings(spark, sf).select("doc_id", "human_length")
+    rated = gt.rated(anchor, "human_length").select("doc_id")
+    scored = gated(spark, sf).join(rated, "doc_id", "left_semi")
+    sheet = rows.join(anchor, "doc_id", "left")
     return gt.judge_subset(sheet, scored, ["doc_id"], CELLS, "human_length").drop("human_length")
 
 

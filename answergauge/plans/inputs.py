@@ -70,7 +70,7 @@ def judge_ratings(spark: SparkSession, sf: str) -> DataFrame:
         tx.off_script_share(text).alias("off_script"),
         tx.sentence_count(text).alias("sentences"),
         tx.occurrences(text, "!").alias("shouts"),
-        (F.length(text) - F.length(F.regexp_replace(text, "[0-9]+", ""))).alias("digits"),
+        tx.digit_count(text).alias("digits"),
     )
     return measured.select(
         "doc_id", "run_id", "category", "n_chars",
@@ -96,13 +96,15 @@ def rated_sheet(spark: SparkSession, sf: str) -> DataFrame:
     return human_ratings(spark, sf).join(judge_ratings(spark, sf), "doc_id")
 
 
+def judged_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    """Every answer with its judge verdicts and latency."""
+    timed = latencies(spark, sf).drop("value")
+    return judge_ratings(spark, sf).join(timed, "doc_id", "left")
+
+
 def full_sheet(spark: SparkSession, sf: str) -> DataFrame:
-    """Every answer with its judge verdicts and latency; human verdicts where rated."""
-    return (
-        judge_ratings(spark, sf)
-        .join(latencies(spark, sf).drop("value"), "doc_id", "left")
-        .join(human_ratings(spark, sf), "doc_id", "left")
-    )
+    """The judged sheet with human verdicts where rated."""
+    return judged_sheet(spark, sf).join(human_ratings(spark, sf), "doc_id", "left")
 
 
 def run_a(spark: SparkSession, sf: str) -> DataFrame:

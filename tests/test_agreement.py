@@ -1,0 +1,87 @@
+import pytest
+from pyspark.sql import functions as F
+
+from answergauge.operators import agreement as ag
+
+# 52 pairs per criterion: listed disagreements (human, judge, count), the rest agree.
+LISTED = {
+    "fluency": [("ok", "bad", 2), ("bad", "ok", 2), ("good", "ok", 2)],
+    "grammar": [("bad", "ok", 5), ("good", "bad", 2), ("bad", "good", 1), ("good", "ok", 1), ("ok", "good", 1)],
+    "tone": [("ok", "good", 11), ("bad", "good", 9), ("bad", "ok", 2)],
+    "length": [("bad", "good", 6), ("good", "bad", 2), ("good", "ok", 1)],
+    "grounding": [("bad", "good", 2), ("good", "bad", 2), ("bad", "ok", 1)],
+}
+EXPECTED = {
+    "fluency": (6, 0.8846, -0.0385), "grammar": (10, 0.8077, 0.0577), "tone": (22, 0.5769, 0.5962),
+    "length": (9, 0.8269, 0.1346), "grounding": (5, 0.9038, 0.0192),
+}
+
+
+@pytest.fixture(scope="module")
+def golden(spark):
+    rows = []
+    for criterion, listed in LISTED.items():
+        pairs = [(h, j) for h, j, n in listed for _ in range(n)]
+        pairs += [("good", "good")] * (52 - len(pairs))
+        rows += [("run", i, criterion, h, j) for i, (h, j) in enumerate(pairs)]
+    return spark.createDataFrame(rows, "run_id string, row_no int, criterion string, human string, judge string")
+
+
+def test_published_agreement(golden):
+    got = {r.criterion: r for r in ag.agreement(golden, ["criterion"]).collect()}
+    for criterion, (disagree, rate, bias) in EXPECTED.items():
+        r = got[criterion]
+        assert r.n == 52 and r.disagreements == disagree
+        assert round(r.agreement, 4) == rate and round(r.bias, 4) == bias
+    assert got["tone"].harsher == 0 and got["tone"].more_generous == 22
+
+
+def test_confusion(golden):
+    counts = {(r.criterion, r.human, r.judge): r.n for r in ag.confusion(golden, ["criterion"]).collect()}
+    for criterion, listed in LISTED.items():
+        for h, j, n in listed:
+            assert counts[criterion, h, j] == n
+    wide = {(r.criterion, r.human): r.judge_good for r in ag.confusion_wide(golden, ["criterion"]).collect()}
+    assert wide["tone", "ok"] == 11 and wide["tone", "bad"] == 9
+
+
+def test_domain_filter_and_typos(spark):
+    sheet = spark.createDataFrame(
+        [(1, "goood", "good"), (2, "bda", "bad"), (3, "", "good"), (4, None, "ok"),
+         (5, "good", "ERROR"), (6, "ok", "ok"), (7, "odd", "ok")],
+        "id int, human_tone string, judge_tone string")
+    pairs = ag.pair_columns(sheet, ["id"], {"tone": ("human_tone", "judge_tone")})
+    assert sorted(r.id for r in ag.comparable(pairs).collect()) == [1, 2, 6]
+    row = ag.agreement(pairs, ["criterion"]).first()
+    assert (row.n, row.agreement, row.bias) == (3, 1.0, 0.0)
+
+
+def test_no_comparable_rows_give_no_group(spark):
+    pairs = spark.createDataFrame([("tone", "", "good")], "criterion string, human string, judge string")
+    assert ag.agreement(pairs, ["criterion"]).count() == 0
+    assert ag.agreement(pairs, []).first().agreement is None
+
+
+def test_long_alignment_equals_wide(golden):
+    long = golden.select("run_id", "row_no", "criterion", F.inline(F.array(
+        F.struct(F.lit("human").alias("rater"), F.col("human").alias("verdict")),
+        F.struct(F.lit("judge").alias("rater"), F.col("judge").alias("verdict")))))
+    aligned = ag.align_raters(long, ["run_id", "row_no"])
+    assert aligned.exceptAll(golden.select(*aligned.columns)).count() == 0
+    assert aligned.count() == golden.count()
+
+
+def test_report_order_and_top(golden, spark):
+    answers = golden.select("run_id", "row_no", F.lit("text").alias("answer")).distinct()
+    report = ag.disagreement_report(golden, answers, ["run_id", "row_no"], ["run_id", "row_no"]).collect()
+    assert len(report) == 52
+    assert [(r.criterion, r.row_no) for r in report] == sorted((r.criterion, r.row_no) for r in report)
+    top = ag.first_disagreements(golden, ["run_id", "row_no"], 3)
+    assert top.count() == 15
+    assert {r["rank"] for r in top.collect()} == {1, 2, 3}
+
+
+def test_bias_alarm(golden):
+    alarms = ag.bias_alarm(golden, ["criterion"], min_rows=20, min_bias=0.3, max_opposite=0.1)
+    assert [r.criterion for r in alarms.collect()] == ["tone"]
+    assert ag.bias_alarm(golden, ["criterion"], 100, 0.3, 0.1).count() == 0
