@@ -35,7 +35,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = QUESTIONS) -> DataF
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file: path and whole text."""
     return (
-        spark.read.option("wholetext", "true").text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
