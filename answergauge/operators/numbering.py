@@ -5,51 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = 1 << 20
+# Key values per bucket, as a power of two: a million rows at most.
+SPAN_BITS = 20
 
 
-def _rows_before(counts: DataFrame, group: str, levels: int, span: int) -> DataFrame:
-    """(group, bucket, n) -> (group, bucket, before): rows in lower buckets."""
+def _bucket(key: str, bits: int) -> Column:
+    """Floor of key / 2^bits. Declared non-NULL, so that the joins below add no
+    filters and Spark can reuse one exchange of the counts."""
+    return F.coalesce(F.shiftright(F.col(key), bits), F.lit(0).cast("bigint"))
+
+
+def _rows_before(counts: DataFrame, run: str, levels: int, bits: int) -> DataFrame:
+    """(run, bucket, n) -> (run, bucket, before): rows in lower buckets."""
     def running(*parts: str) -> Column:
         lower = Window.partitionBy(*parts).orderBy("bucket").rowsBetween(
             Window.unboundedPreceding, -1)
         return F.coalesce(F.sum("n").over(lower), F.lit(0))
 
     if levels == 0:
-        return counts.select(group, "bucket", running(group).alias("before"))
-    parted = counts.withColumn("parent", F.floor(F.col("bucket") / span))
-    upper = _rows_before(
-        parted.groupBy(group, F.col("parent").alias("bucket")).agg(F.sum("n").alias("n")),
-        group, levels - 1, span,
-    ).select(group, F.col("bucket").alias("parent"), F.col("before").alias("above"))
+        return counts.select(run, "bucket", running(run).alias("before"))
+    parted = counts.withColumn("parent", _bucket("bucket", bits))
+    totals = parted.groupBy(run, F.col("parent").alias("bucket")).agg(F.sum("n").alias("n"))
+    upper = _rows_before(totals, run, levels - 1, bits).select(
+        run, F.col("bucket").alias("parent"), F.col("before").alias("above"))
     return (
-        parted.withColumn("inside", running(group, "parent"))
-        .join(upper, [group, "parent"])
-        .select(group, "bucket", (F.col("above") + F.col("inside")).alias("before"))
+        parted.withColumn("inside", running(run, "parent"))
+        .join(upper, [run, "parent"])
+        .select(run, "bucket", (F.col("above") + F.col("inside")).alias("before"))
     )
 
 
 def number_rows(
-    df: DataFrame, run: str, key: str, out: str = "row_no", span: int = SPAN, levels: int = 1
+    df: DataFrame, run: str, key: str, out: str = "row_no", bits: int = SPAN_BITS, levels: int = 1
 ) -> DataFrame:
     """Consecutive 1-based position of each row of a run, ordered by an integer key.
 
     One run may hold a third of all rows, so the rank is built in two parts:
-    the rank inside a bucket of ``span`` consecutive key values, plus the number
-    of rows in lower buckets. The key is unique in its run, so a bucket holds at
-    most ``span`` rows whatever the skew. The bucket counts are summed up the
-    same way: with the defaults the last window sees at most 2^24 narrow rows
-    per run for any 64-bit key, and only a handful for dense ids.
+    the rank inside a bucket of ``2**bits`` consecutive key values, plus the
+    number of rows in lower buckets. The key is unique in its run, so a bucket
+    is bounded whatever the skew. The bucket counts are summed up the same way:
+    with the defaults the last window sees at most 2^24 narrow rows per run for
+    any 64-bit key, and only a handful for dense ids. Run and key must be set.
     """
-    bucketed = df.withColumn("bucket", F.floor(F.col(key) / span))
+    bucketed = df.withColumn("bucket", _bucket(key, bits))
     counts = (
-        df.select(run, F.floor(F.col(key) / span).alias("bucket"))
+        df.select(run, _bucket(key, bits).alias("bucket"))
         .groupBy(run, "bucket").agg(F.count(F.lit(1)).alias("n"))
     )
     inside = Window.partitionBy(run, "bucket").orderBy(key)
     return (
         bucketed.withColumn("inside", F.row_number().over(inside))
-        .join(_rows_before(counts, run, levels, span), [run, "bucket"])
+        .join(_rows_before(counts, run, levels, bits), [run, "bucket"])
         .withColumn(out, (F.col("before") + F.col("inside")).cast("bigint"))
         .drop("bucket", "inside", "before")
     )

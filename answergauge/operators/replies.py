@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from answergauge.functions.text import strip, strip_fence
 from answergauge.functions.verdicts import CRITERIA, ERROR, in_domain
+from answergauge.operators.gate import gate
 
 # The citation marker and the refusal sentence of the answer
 # contract, and the types a JSON number field accepts when read leniently.
@@ -124,6 +125,19 @@ def validate_verdicts(
     }).drop("_j")
 
 
+def gate_replies(
+    df: DataFrame, raw: str, latency_ms: str, criteria: tuple[str, ...] = CRITERIA
+) -> DataFrame:
+    """Judge replies to pass/fail in one projection: parse, band the latency, gate.
+
+    A reply that cannot be used turns its own row into ERROR.
+    """
+    judged = validate_verdicts(df, raw, criteria)
+    return gate(
+        judged, {c: f"{c}_verdict" for c in criteria}, latency_ms,
+        failed=F.col("reason").isNotNull())
+
+
 def melt_verdicts(
     df: DataFrame, keys: list[str], rater: str, criteria: tuple[str, ...] = CRITERIA
 ) -> DataFrame:

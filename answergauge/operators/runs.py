@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answergauge.functions.text import text_hash
-from answergauge.functions.verdicts import VERDICTS
+from answergauge.functions.verdicts import ORDINAL, VERDICTS, ordinal
 
 
 def stack_runs(runs: Mapping[str, DataFrame], tag: str = "source_run") -> DataFrame:
@@ -156,10 +156,17 @@ def unchanged_rows(left: DataFrame, right: DataFrame, columns: list[str]) -> Dat
 
 
 def changed_rows(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of either run without an equal in the other, tagged with their side."""
-    a, b = left.select(*columns), right.select(*columns)
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(
-        b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Rows of one run without an equal in the other: side and surplus copies ``n``.
+
+    One aggregation over both runs, each read once; equal rows cancel out
+    before the shuffle where they meet, NULL cells count as equal.
+    """
+    sides = left.select(*columns, F.lit(1).alias("_s")).unionByName(
+        right.select(*columns, F.lit(-1).alias("_s")))
+    surplus = sides.groupBy(*columns).agg(F.sum("_s").alias("_s")).where(F.col("_s") != 0)
+    return surplus.select(
+        *columns, F.when(F.col("_s") > 0, "left").otherwise("right").alias("side"),
+        F.abs("_s").alias("n"))
 
 
 def changed_but_unrated(changed: DataFrame, rated: DataFrame, keys: list[str]) -> DataFrame:
@@ -208,23 +215,26 @@ def carry_ratings(
 ) -> DataFrame:
     """Give an unrated answer the rating of an identical rated text.
 
-    Texts with conflicting ratings carry nothing. A text may be copied into a
+    ``answers`` has one narrow row per answer and is read more than once. Texts
+    with conflicting ratings carry nothing. A text may be copied into a
     third of all rows, so texts with ``hot_rows`` unrated copies or more are
     looked up in a broadcast table, whose size is bounded by
     ``rows / hot_rows``; their rows then enter the shuffled join for the other
     texts under a key of their own and spread evenly.
     """
-    value = F.col(verdict)
+    # ordinals instead of words: minimum and maximum of numbers need no sort
+    value = ordinal(F.col(verdict))
     per_text = answers.groupBy(text_hash).agg(
-        F.min(verdict).alias("_low"), F.max(verdict).alias("_high"),
-        F.count_if(value.isNull()).alias("_open"))
-    carried = F.when(F.col("_low") == F.col("_high"), F.col("_low"))
+        F.min(value).alias("_low"), F.max(value).alias("_high"),
+        F.count_if(F.col(verdict).isNull()).alias("_open"))
+    words = F.array(*[F.lit(v) for v in sorted(ORDINAL, key=ORDINAL.get)])
+    carried = F.when(F.col("_low") == F.col("_high"), F.get(words, F.col("_low")))
     per_text = per_text.where(F.col("_open") > 0).withColumn("_carried", carried)
     hot = per_text.where(F.col("_open") >= hot_rows).select(
         text_hash, F.col("_carried").alias("_hot_rating"), F.lit(True).alias("_hot"))
     cold = per_text.where((F.col("_open") < hot_rows) & F.col("_carried").isNotNull()).select(
         F.col(text_hash).alias("_cold_key"), F.col("_carried").alias("_cold_rating"))
-    unrated = answers.where(value.isNull()).join(F.broadcast(hot), text_hash, "left")
+    unrated = answers.where(F.col(verdict).isNull()).join(F.broadcast(hot), text_hash, "left")
     spread = F.when(F.col("_hot"), F.concat(F.lit("row:"), F.col(key).cast("string"))).otherwise(
         F.col(text_hash))
     return (

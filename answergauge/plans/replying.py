@@ -106,7 +106,7 @@ def reply_reasons(spark, sf):
     return rp.reason_counts(_answers(spark, sf), ["event_type"])
 
 
-def _verdict_replies(spark, sf):
+def _raw_verdicts(spark, sf):
     """Judge replies as fenced JSON; Spanish rows lack the tone, short French rows are prose."""
     cells = [
         F.when(
@@ -119,8 +119,11 @@ def _verdict_replies(spark, sf):
     prose = (F.col("category") == "fr") & (F.col("n_chars") < 2000)
     reply = F.when(prose, "I cannot judge this.").otherwise(
         F.concat(F.lit("```json\n"), F.to_json(F.struct(*cells)), F.lit("\n```")))
-    return rp.validate_verdicts(
-        src.rated_sheet(spark, sf).select("run_id", "doc_id", reply.alias("reply")), "reply")
+    return src.rated_sheet(spark, sf).select("run_id", "doc_id", reply.alias("reply"))
+
+
+def _verdict_replies(spark, sf):
+    return rp.validate_verdicts(_raw_verdicts(spark, sf), "reply")
 
 
 _OFF = " + ".join(
@@ -155,6 +158,24 @@ def judged_verdicts(spark, sf):
     return rp.melt_verdicts(_verdict_replies(spark, sf), ["run_id", "doc_id"], "judge")
 
 
+_GOOD, _BAD = (" + ".join(f"(human_{c} = '{v}')::INT" for c in CRITERIA) for v in ("good", "bad"))
+
+
+@query(f"""WITH {_VERDICTS_SQL}, timed AS (
+  SELECT p.*, CASE WHEN value * 50 <= 2500 THEN 'good' WHEN value * 50 <= 6000 THEN 'ok' ELSE 'bad' END
+    AS latency FROM parsed p LEFT JOIN events e ON e.event_id = p.doc_id)
+SELECT run_id, doc_id, CASE WHEN reason IS NOT NULL THEN 'ERROR' ELSE latency END AS judge_latency_verdict,
+  CASE WHEN reason IS NOT NULL THEN 'ERROR' WHEN human_grounding <> 'good' THEN 'fail'
+    WHEN {_GOOD} + (latency = 'good')::INT >= 4 AND {_BAD} + (latency = 'bad')::INT <= 1 THEN 'pass'
+    ELSE 'fail' END AS judge_final_score FROM timed""")
+def gate_from_replies(spark, sf):
+    """The whole judging step: reply, verdicts, latency band, pass or fail."""
+    replies = _raw_verdicts(spark, sf).join(
+        src.latencies(spark, sf).select("doc_id", "latency_ms"), "doc_id", "left")
+    return rp.gate_replies(replies, "reply", "latency_ms").select(
+        "run_id", "doc_id", "judge_latency_verdict", "judge_final_score")
+
+
 def _cited(spark, sf):
     """Answers citing the last line of their document, right, altered, refused or not at all."""
     docs = src.documents(spark, sf)

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from answergauge.functions.verdicts import CRITERIA, repair
 from answergauge.operators import runs as rn
-from answergauge.operators.gate import gate
+from answergauge.operators.agreement import agreement, pair_columns
+from answergauge.operators.gate import gate, rated
 from answergauge.operators.numbering import number_rows
 from answergauge.plans import inputs as src
 from answergauge.plans.gating import JUDGED, gated
 from answergauge.plans.registry import collector
-from answergauge.session import shared_folder
+from answergauge.session import shared_folder, written
 from answergauge.sources import readers, writers
 
 QUERIES, query = collector()
@@ -88,10 +89,10 @@ def unchanged_rows(spark, sf):
 
 
 @query(f"""WITH {src.RUNS_SQL}
-(SELECT run_id, doc_id, text_hash, 'left' AS side FROM run_a
+(SELECT run_id, doc_id, text_hash, 'left' AS side, 1::BIGINT AS n FROM run_a
   WHERE (doc_id, text_hash) NOT IN (SELECT (doc_id, text_hash) FROM run_b))
 UNION ALL
-(SELECT run_id, doc_id, text_hash, 'right' FROM run_b
+(SELECT run_id, doc_id, text_hash, 'right', 1 FROM run_b
   WHERE (doc_id, text_hash) NOT IN (SELECT (doc_id, text_hash) FROM run_a))""")
 def changed_rows(spark, sf):
     return rn.changed_rows(src.run_a(spark, sf), src.run_b(spark, sf), [*KEYS, "text_hash"])
@@ -108,8 +109,8 @@ def changed_unrated(spark, sf):
 @query(f"""WITH {src.RUNS_SQL} SELECT run_id, doc_id FROM run_a
 WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id IN (SELECT doc_id FROM run_b)""")
 def rated_in_both(spark, sf):
-    rated = src.run_a(spark, sf).join(src.human_ratings(spark, sf), "doc_id", "left_semi")
-    return rn.rated_in_both(rated, src.run_b(spark, sf), ["doc_id"]).select(*KEYS)
+    scored = src.run_a(spark, sf).join(src.human_ratings(spark, sf), "doc_id", "left_semi")
+    return rn.rated_in_both(scored, src.run_b(spark, sf), ["doc_id"]).select(*KEYS)
 
 
 @query(f"""WITH {src.RUNS_SQL},
@@ -170,7 +171,8 @@ def rating_drift(spark, sf):
   FROM texts GROUP BY text_hash)
 SELECT doc_id, text_hash, carried_verdict FROM texts JOIN known USING (text_hash) WHERE verdict IS NULL""")
 def rating_carryover(spark, sf):
-    return rn.carry_ratings(_rated_texts(spark, sf), "doc_id", "text_hash", "verdict").select(
+    texts = written(_rated_texts(spark, sf), "rated-texts")
+    return rn.carry_ratings(texts, "doc_id", "text_hash", "verdict").select(
         "doc_id", "text_hash", "carried_verdict")
 
 
@@ -235,3 +237,27 @@ def run_sheet_versions(spark, sf):
         judged.select("run_id", "doc_id", *JUDGED, "judge_final_score"), folder, "2")
     return readers.read_run_sheets(spark, folder, version="2").select(
         "run_id", "doc_id", *JUDGED, "judge_final_score")
+
+
+@query("""SELECT source AS run_id, count(*) AS saved_rows, count(l.doc_id) AS rated_rows
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source""")
+def row_totals(spark, sf):
+    """Saved and rated rows per run."""
+    rows = src.documents(spark, sf).select(F.col("source").alias("run_id"), "doc_id")
+    marks = src.human_ratings(spark, sf).select("doc_id", F.lit(1).alias("rated"))
+    return rows.join(marks, "doc_id", "left").groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("saved_rows"), F.count("rated").alias("rated_rows"))
+
+
+@query(f"""WITH {src.PAIRS_SQL} SELECT c.run_id, c.criterion, count(*) AS n,
+  round(avg((human = judge)::INT), 6) AS agreement
+FROM comparable c JOIN rated r USING (doc_id)
+WHERE nullif(r.human_length, '') IS NOT NULL GROUP BY ALL""")
+def sheet_agreement(spark, sf):
+    """Stored sheets of all runs, their rated rows (anchor: length), agreement per run."""
+    folder = shared_folder(spark, "sheets")
+    writers.write_run_sheets(src.full_sheet(spark, sf), folder, "1")
+    rows = rated(readers.read_run_sheets(spark, folder, version="1"), "human_length")
+    pairs = pair_columns(rows, ["run_id", "doc_id"], src.PAIRS)
+    return agreement(pairs, ["run_id", "criterion"]).select(
+        "run_id", "criterion", "n", F.round("agreement", 6).alias("agreement"))

@@ -8,8 +8,8 @@ from answergauge.operators.numbering import first_rows, number_rows, rows_at
 from answergauge.operators.sampling import sample_exact, weekly_sample
 
 
-@pytest.mark.parametrize("levels,span", [(0, 4), (1, 3), (2, 8), (1, 1 << 20)])
-def test_positions_match_a_plain_sort(spark, levels, span):
+@pytest.mark.parametrize("levels,bits", [(0, 2), (1, 1), (2, 3), (1, 20)])
+def test_positions_match_a_plain_sort(spark, levels, bits):
     rng = random.Random(levels)
     keys = defaultdict(set)
     for _ in range(300):
@@ -17,7 +17,7 @@ def test_positions_match_a_plain_sort(spark, levels, span):
         keys[run].add(rng.choice([rng.randint(-40, 200), rng.randint(-2**62, 2**62)]))
     rows = [(run, k, f"text {k}") for run, ks in keys.items() for k in ks]
     df = spark.createDataFrame(rows, "run string, k bigint, t string")
-    got = {(r.run, r.k): r.row_no for r in number_rows(df, "run", "k", span=span, levels=levels).collect()}
+    got = {(r.run, r.k): r.row_no for r in number_rows(df, "run", "k", bits=bits, levels=levels).collect()}
     assert len(got) == len(rows)
     for run, ks in keys.items():
         assert [got[run, k] for k in sorted(ks)] == list(range(1, len(ks) + 1))

@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
 
 QUERIES = entry_point.queries()
-WRITES = {"live_pass_rate", "csv_roundtrip", "jsonl_roundtrip", "run_sheet_versions"}
+WRITES = {
+    "live_pass_rate", "csv_roundtrip", "jsonl_roundtrip", "run_sheet_versions", "sheet_agreement"}
 
 
 @pytest.fixture(scope="module")

@@ -28,8 +28,10 @@ def test_diff_partitions_the_outer_rows(sides):
 def test_set_operations(sides):
     a, b = sides
     assert sorted(r.n for r in rn.unchanged_rows(a, b, ["n", "t"]).collect()) == [2, 3]
-    changed = {(r.n, r.side) for r in rn.changed_rows(a, b, ["n", "t"]).collect()}
-    assert changed == {(1, "left"), (1, "right"), (4, "right")}
+    changed = {(r.k, r.side, r.n) for r in rn.changed_rows(
+        a.union(a).withColumnRenamed("n", "k"), b.withColumnRenamed("n", "k"), ["k", "t"]).collect()}
+    assert changed == {
+        (1, "left", 2), (2, "left", 1), (3, "left", 1), (1, "right", 1), (4, "right", 1)}
     stacked = rn.stack_runs({"A": a, "B": b.drop("v")})
     assert stacked.count() == 7 and stacked.where("source_run = 'B' and v is null").count() == 4
 
