@@ -208,7 +208,7 @@ def first_rows_per_run(spark, sf):
 def weekly_audit_sample(spark, sf):
     events = read_table(spark, sf, "events").select("ts", "event_id", "event_type")
     return weekly_sample(events, "ts", "event_id", 25, "audit").select(
-        "week", "audit_no", "event_id", "event_type")
+        F.col("week").cast("timestamp_ntz").alias("week"), "audit_no", "event_id", "event_type")
 
 
 def _rule(text: str) -> str:
