@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answergauge.functions.rounding import plain_number, round_exact
+
 # Patterns shared by the text checks.
 NUMBER = r"[0-9]+(\.[0-9]+)?"
 SENTENCE_END = r"[.!?]+"
@@ -101,15 +103,18 @@ def csv_cell(value: Column) -> Column:
     return F.when(text.rlike(r'[",\r\n]'), quoted).otherwise(text)
 
 
-def csv_line(columns: list[str]) -> Column:
-    return F.concat_ws(",", *[csv_cell(F.col(c)) for c in columns])
+def csv_line(df: DataFrame, columns: list[str]) -> Column:
+    """The named columns of a row as one CSV line."""
+    doubles = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
+    cells = [plain_number(F.col(c)) if c in doubles else F.col(c) for c in columns]
+    return F.concat_ws(",", *[csv_cell(c) for c in cells])
 
 
 def percent(share: Column) -> Column:
     """``0.577`` as ``57.7%``."""
-    return F.format_string("%.1f%%", F.bround(share * 100, 1))
+    return F.format_string("%.1f%%", round_exact(share * 100, 1))
 
 
 def signed(value: Column) -> Column:
     """``0.6`` as ``+0.60``."""
-    return F.format_string("%+.2f", F.bround(value, 2))
+    return F.format_string("%+.2f", round_exact(value, 2))

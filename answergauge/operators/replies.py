@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answergauge.functions.rounding import round_exact
 from answergauge.functions.text import strip, strip_fence
 from answergauge.functions.verdicts import CRITERIA, ERROR, in_domain
 from answergauge.operators.gate import gate
@@ -29,7 +30,7 @@ def run_records(
     return df.select(
         *keep,
         reply_text(F.col(blocks)).alias("generated_description"),
-        F.bround(F.col(latency_ms), 1).alias("latency_ms"),
+        round_exact(F.col(latency_ms), 1).alias("latency_ms"),
         F.col(f"{usage}.input_tokens").cast("bigint").alias("input_tokens"),
         F.col(f"{usage}.output_tokens").cast("bigint").alias("output_tokens"),
         *[F.lit(None).cast("string").alias(r) for r in ratings],

@@ -60,7 +60,7 @@ def fact_blocks(facts: DataFrame, fact_id: str, columns: list[str], span: int =
     """
     lines = facts.select(
         F.floor(F.col(fact_id) / span).alias("block_no"), F.col(fact_id).alias("_id"),
-        csv_line(columns).alias("_line"))
+        csv_line(facts, columns).alias("_line"))
     return lines.groupBy("block_no").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.expr(r"listagg(_line, '\n') WITHIN GROUP (ORDER BY _id)").alias("block"),
@@ -74,7 +74,7 @@ def reference_block(dim: DataFrame, columns: list[str], order: str, max_rows: in
     ``max_rows`` the job fails and the table belongs into ``fact_blocks``. At
     most ``max_rows + 1`` rows ever reach the aggregating task.
     """
-    lines = dim.select(F.col(order).alias("_o"), csv_line(columns).alias("_line"))
+    lines = dim.select(F.col(order).alias("_o"), csv_line(dim, columns).alias("_line"))
     body = F.expr(r"listagg(_line, '\n') WITHIN GROUP (ORDER BY _o)")
     size = F.count(F.lit(1))
     text = F.concat_ws("\n", F.lit(",".join(columns)), body)
@@ -89,7 +89,8 @@ def fact_context(
 
     Grouping is by question and bounded by the ids in its own text.
     """
-    lines = matching_facts(questions, key, facts.select(fact_id, csv_line(columns).alias("_line")), fact_id)
+    rendered = facts.select(fact_id, csv_line(facts, columns).alias("_line"))
+    lines = matching_facts(questions, key, rendered, fact_id)
     return lines.groupBy(key).agg(
         F.expr(rf"listagg(_line, '\n') WITHIN GROUP (ORDER BY {fact_id})").alias("facts_csv"))
 

@@ -58,8 +58,8 @@ def rater_alignment(spark, sf):
 
 @query(f"""WITH {src.PAIRS_SQL}
 SELECT rpad(criterion, 10, ' ') AS criterion, count(*) AS n,
-  printf('%.1f%%', round_even(avg((human = judge)::INT) * 100, 1)) AS agreement,
-  printf('%+.2f', round_even(avg({_GAP}), 2)) AS bias
+  printf('%.1f%%', avg((human = judge)::INT) * 100) AS agreement,
+  printf('%+.2f', avg({_GAP})) AS bias
 FROM comparable GROUP BY ALL""")
 def agreement_table(spark, sf):
     rates = ag.agreement(_pairs(spark, sf), ["criterion"])

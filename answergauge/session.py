@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a JSON reply that repeats a field counts with its last value
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -1,8 +1,9 @@
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
-from answergauge.functions import bands, text, verdicts
+from answergauge.functions import bands, rounding, text, verdicts
 
 
 def test_latency_band_boundaries(one):
@@ -109,3 +110,24 @@ def test_report_formats(one):
     assert one(text.percent(F.col("v")), [(0.576923,), (0.884615,)], "v double") == ["57.7%", "88.5%"]
     assert one(text.signed(F.col("v")), [(0.5962,), (-0.0385,)], "v double") == ["+0.60", "-0.04"]
     assert one(text.occurrences(F.col("t"), "ab"), [("ababcab",), ("",)], "t string") == [3, 0]
+
+
+def test_rounding_follows_the_binary_value(one):
+    rng = random.Random(1)
+    values = [k / 20 for k in range(-400, 400)] + [k / 200 for k in range(-2000, 2000)]
+    values += [rng.uniform(-1e5, 1e5) for _ in range(2000)] + [rng.randint(0, 10**7) / 20 for _ in range(2000)]
+    rows = [(v,) for v in values]
+    for digits in (1, 2):
+        got = one(rounding.round_exact(F.col("v"), digits), rows, "v double")
+        wrong = [(v, g) for v, g in zip(values, got) if g != round(v, digits)]
+        assert not wrong, wrong[:5]
+    shares = [(k / 2000,) for k in range(2001)]
+    assert one(text.percent(F.col("v")), shares, "v double") == [f"{v:.1%}" for (v,) in shares]
+    assert one(rounding.round_exact(F.col("v"), 1), [(None,), (float("inf"),)], "v double") == [
+        None, float("inf")]
+
+
+def test_numbers_as_text(one):
+    values = [70.0, 12.5, 12345678.9, 1e7, 123456789012345.0, 0.0005, 0.00012, -2.5e8, 0.001, 0.0, 98765432.125]
+    got = one(rounding.plain_number(F.col("v")), [(v,) for v in values], "v double")
+    assert got == [repr(v) for v in values]

@@ -28,6 +28,7 @@ ANSWERS = {
     '{"confidence": 1}': ("missing_answer", None, None),
     '{"answer": "hi"}': ("missing_confidence", None, None),
     '{"answer": 5, "confidence": 1}': ("answer_not_text", None, None),
+    '{"answer": "no", "answer": "hi", "confidence": 1}': (None, "hi", 1.0),
     '{"answer": null, "confidence": 1}': ("answer_not_text", None, None),
     '{"answer": "hi", "confidence": "high"}': ("confidence_not_number", None, None),
     '{"answer": "hi", "confidence": [1]}': ("confidence_not_number", None, None),
@@ -42,7 +43,7 @@ def test_answer_validation(spark):
     lenient = rp.validate_answers(df, "raw")
     assert lenient.where("raw like '%1.5%'").first().confidence == 1.5
     counts = {r.outcome: r.n for r in rp.reason_counts(lenient).collect()}
-    assert counts["valid"] == 4 and sum(counts.values()) == len(ANSWERS)
+    assert counts["valid"] == 5 and sum(counts.values()) == len(ANSWERS)
 
 
 def _verdicts(**changes):
