@@ -61,6 +61,15 @@ def number_rows(
     )
 
 
+def source_order(df: DataFrame, out: str = "position") -> DataFrame:
+    """A unique integer that grows in file order, for rows that come without a key.
+
+    It depends on how the files are split: assign it once, directly on the scan,
+    and store it; ``number_rows`` makes it consecutive.
+    """
+    return df.withColumn(out, F.monotonically_increasing_id())
+
+
 def first_rows(df: DataFrame, group: str, order: list, n: int, out: str = "row_no") -> DataFrame:
     """The first ``n`` rows of each group.
 

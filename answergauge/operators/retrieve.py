@@ -53,17 +53,20 @@ def retrieve(questions: DataFrame, key: str, facts: DataFrame, fact_id: str) ->
     return matched.unionByName(rest, allowMissingColumns=True)
 
 
-def fact_blocks(facts: DataFrame, fact_id: str, columns: list[str], span: int = 1000) -> DataFrame:
-    """The fact table as CSV text in blocks of at most ``span`` consecutive ids.
+def fact_blocks(
+    facts: DataFrame, columns: list[str], position: Column, span: int = 1000
+) -> DataFrame:
+    """The fact table as CSV text in blocks of at most ``span`` consecutive positions.
 
-    The id must be an integer that is unique per row, so no group is unbounded.
+    ``position`` is an integer that differs from row to row (a numeric id, or the
+    number inside a text id), so no group is unbounded.
     """
     lines = facts.select(
-        F.floor(F.col(fact_id) / span).alias("block_no"), F.col(fact_id).alias("_id"),
+        F.floor(position / span).alias("block_no"), position.alias("_at"),
         csv_line(facts, columns).alias("_line"))
     return lines.groupBy("block_no").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.expr(r"listagg(_line, '\n') WITHIN GROUP (ORDER BY _id)").alias("block"),
+        F.expr(r"listagg(_line, '\n') WITHIN GROUP (ORDER BY _at)").alias("block"),
     )
 
 

@@ -9,14 +9,14 @@ from answergauge.functions.verdicts import CRITERIA, ERROR
 from answergauge.operators import gate as gt
 from answergauge.operators import ranges as rg
 from answergauge.operators import runs as rn
+from answergauge.operators import scorer
 from answergauge.operators.numbering import first_rows, number_rows, rows_at
 from answergauge.operators.sampling import weekly_sample
-from answergauge.operators.scorer import bulk_score
 from answergauge.plans import inputs as src
 from answergauge.plans.registry import collector
 from answergauge.session import shared_folder
-from answergauge.streaming.live import monitor, windowed_pass_rate
 from answergauge.sources.readers import read_table
+from answergauge.streaming.live import monitor, windowed_pass_rate
 
 QUERIES, query = collector()
 
@@ -155,10 +155,11 @@ SELECT g.run_id, g.doc_id, {', '.join(
 FROM gated g LEFT JOIN rescored r USING (doc_id)""")
 def retry_upsert(spark, sf):
     """The retry answers only rows that come back within ten seconds; the rest stay ERROR."""
-    again = src.judged_sheet(spark, sf).where("latency_ms <= 10000")
-    rescored = gt.gate(again, src.JUDGE, "latency_ms")
-    repaired = gt.retry_errors(
-        gated(spark, sf), rescored, ["doc_id"], CELLS, "judge_fluency_verdict")
+    sheet = gated(spark, sf)
+    open_rows = gt.errored(sheet, "judge_fluency_verdict").where("latency_ms <= 10000")
+    rescored = gt.gate(
+        open_rows.select("doc_id", "latency_ms", *src.JUDGE.values()), src.JUDGE, "latency_ms")
+    repaired = gt.retry_errors(sheet, rescored, ["doc_id"], CELLS, "judge_fluency_verdict")
     return repaired.select("run_id", "doc_id", *CELLS)
 
 
@@ -227,9 +228,9 @@ _STOPS = "len(regexp_extract_all(text, '[.!?]'))"
        WHEN {_STOPS} <= 60 THEN 'ok' ELSE 'bad' END AS verdict,
   CASE WHEN {_STOPS} = 0 THEN 'no sentence' END AS error
 FROM documents""")
-def bulk_score_rows(spark, sf):
+def bulk_score(spark, sf):
     answers = src.documents(spark, sf).withColumnRenamed("source", "run_id")
-    return bulk_score(answers, ["doc_id", "run_id"], "text", _rule).select(
+    return scorer.bulk_score(answers, ["doc_id", "run_id"], "text", _rule).select(
         "doc_id", "run_id", "verdict", "error")
 
 

@@ -93,7 +93,7 @@ def _line(columns: list[str]) -> str:
 FROM part GROUP BY 1""")
 def fact_blocks(spark, sf):
     """The shared context of all questions without ids, in bounded blocks."""
-    return rt.fact_blocks(_parts(spark, sf), "p_partkey", FACT_COLUMNS, span=1000)
+    return rt.fact_blocks(_parts(spark, sf), FACT_COLUMNS, F.col("p_partkey"), span=1000)
 
 
 @query(f"""WITH {_wanted(_IDS)}, c AS (

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from answergauge.operators.numbering import first_rows, number_rows, rows_at
+from answergauge.operators.numbering import first_rows, number_rows, rows_at, source_order
 from answergauge.operators.sampling import sample_exact, weekly_sample
 
 
@@ -23,6 +23,14 @@ def test_positions_match_a_plain_sort(spark, levels, bits):
         assert [got[run, k] for k in sorted(ks)] == list(range(1, len(ks) + 1))
 
 
+def test_rows_without_a_key_keep_file_order(spark, tmp_path):
+    path = tmp_path / "questions.jsonl"
+    path.write_text("".join(f'{{"question": "q{i}"}}\n' for i in range(40)))
+    rows = source_order(spark.read.schema("question string").json(str(path))).withColumn("run", F.lit("r"))
+    got = {r.question: r.row_no for r in number_rows(rows, "run", "position").collect()}
+    assert got == {f"q{i}": i + 1 for i in range(40)}
+
+
 def test_numbering_of_nothing(spark):
     df = spark.createDataFrame([], "run string, k bigint")
     assert number_rows(df, "run", "k").count() == 0

@@ -29,7 +29,7 @@ def plan(spark):
 def test_no_operator_that_cannot_scale(plan, name):
     text = plan(name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert ("InPandas" in text or "PythonUDF" in text or "BatchEvalPython" in text) == (name == "bulk_score_rows")
+    assert ("InPandas" in text or "PythonUDF" in text or "BatchEvalPython" in text) == (name == "bulk_score")
     for spec in re.findall(r"Window \[.*?windowspecdefinition\((.*?)specifiedwindowframe", text):
         assert "ASC" in spec and not re.match(r"\s*\w+#\d+L? (ASC|DESC)", spec), spec
     # only the bounded list of hot texts may carry a broadcast hint

@@ -67,9 +67,11 @@ def test_reference_block_is_bounded(spark):
 
 def test_blocks_cover_all_facts(spark):
     facts = spark.range(25).select(F.col("id"), F.concat(F.lit("n"), F.col("id")).alias("name"))
-    blocks = rt.fact_blocks(facts, "id", ["id", "name"], span=10).orderBy("block_no").collect()
+    blocks = rt.fact_blocks(facts, ["id", "name"], F.col("id"), span=10).orderBy("block_no").collect()
     assert [b.n_rows for b in blocks] == [10, 10, 5]
     assert "\n".join(b.block for b in blocks) == "\n".join(f"{i},n{i}" for i in range(25))
+    number = F.regexp_extract("name", "[0-9]+", 0).cast("bigint")
+    assert rt.fact_blocks(facts, ["name"], number, span=20).count() == 2
 
 
 def test_status_rate_and_audit(spark, facts):

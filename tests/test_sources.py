@@ -71,3 +71,9 @@ def test_shared_folder_follows_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     a, b = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert a.startswith(base) and a != b
+
+
+def test_sheets_are_rebalanced_by_run(spark):
+    sheet = spark.range(10).withColumn("run_id", F.lit("r"))
+    plan = sheet.hint("rebalance", "run_id")._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan
