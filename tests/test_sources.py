@@ -77,3 +77,19 @@ def test_sheets_are_rebalanced_by_run(spark):
     sheet = spark.range(10).withColumn("run_id", F.lit("r"))
     plan = sheet.hint("rebalance", "run_id")._jdf.queryExecution().executedPlan().toString()
     assert "REBALANCE_PARTITIONS_BY_COL" in plan
+
+
+class _Session:
+    """Just enough of a session: its settings."""
+
+    def __init__(self, **settings):
+        self.conf = settings
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    local = _Session(**{"spark.master": "local[2]"})
+    assert "answergauge-" in shared_folder(local, "x")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(_Session(**{"spark.master": "yarn"}), "x")
+    cluster = _Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///shared/"})
+    assert shared_folder(cluster, "x").startswith("hdfs:///shared/x-")
