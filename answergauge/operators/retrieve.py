@@ -85,6 +85,12 @@ def reference_block(dim: DataFrame, columns: list[str], order: str, max_rows: in
     return lines.limit(max_rows + 1).agg(F.when(size <= max_rows, text).otherwise(too_big).alias("block"))
 
 
+def text_block(corpus: DataFrame, text: str, max_chars: int = 1_000_000) -> DataFrame:
+    """The one corpus text that goes into every request; a larger one fails the job."""
+    too_big = F.raise_error(F.lit(f"corpus text exceeds {max_chars} characters"))
+    return corpus.select(F.when(F.length(text) <= max_chars, F.col(text)).otherwise(too_big).alias("block"))
+
+
 def fact_context(
     questions: DataFrame, key: str, facts: DataFrame, fact_id: str, columns: list[str]
 ) -> DataFrame:
@@ -111,8 +117,9 @@ def build_requests(
 ) -> DataFrame:
     """Request text per question: facts, reference table, corpus, labelled lines.
 
-    ``reference`` and ``corpus`` are one-cell tables (``reference_block``, a text
-    file); as scalar subqueries they run once and join nothing. Questions keep
+    ``reference`` and ``corpus`` are one-cell tables of checked size
+    (``reference_block``, ``text_block``); as scalar subqueries they run once and
+    join nothing. Questions keep
     their row even when no id matches a fact. ``extra`` lists (label, column).
     """
     context = fact_context(questions, key, facts, fact_id, fact_columns)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from answergauge.functions.bands import latency_band
-from answergauge.functions.verdicts import CRITERIA, ERROR
+from answergauge.functions.bands import band, latency_band
+from answergauge.functions.verdicts import CRITERIA
 from answergauge.operators import gate as gt
 from answergauge.operators import ranges as rg
 from answergauge.operators import runs as rn
@@ -22,12 +22,10 @@ QUERIES, query = collector()
 
 # The valid range of each event type, and the older rule whose
 # stored status the audit compares with.
-EVENT_RANGES = """SELECT * FROM VALUES
-  ('click', 10.0, 200.0), ('view', 5.0, 150.0), ('purchase', 1.0, 100.0),
-  ('signup', 20.0, 250.0), ('error', 0.5, 50.0)
-  AS t(event_type, reference_low, reference_high)"""
-_RANGES_SQL = "ranges AS (SELECT * FROM (" + EVENT_RANGES.split("FROM ", 1)[1].replace(
-    "AS t(", ") AS t(", 1) + ")"
+EVENT_RANGES = """SELECT event_type, CAST(low AS DOUBLE) AS reference_low, CAST(high AS DOUBLE) AS reference_high
+FROM (VALUES ('click', 10.0, 200.0), ('view', 5.0, 150.0), ('purchase', 1.0, 100.0),
+  ('signup', 20.0, 250.0), ('error', 0.5, 50.0)) AS t(event_type, low, high)"""
+_RANGES_SQL = f"ranges AS ({EVENT_RANGES})"
 _STATUS = "CASE WHEN value < reference_low OR value > reference_high THEN 'OOS' ELSE 'Pass' END"
 _STORED = "CASE WHEN value > 200 THEN 'OOS' ELSE 'Pass' END"
 
@@ -234,24 +232,49 @@ def bulk_score(spark, sf):
         "doc_id", "run_id", "verdict", "error")
 
 
-_LIVE_SCORE = "CASE WHEN value * 50 <= 2500 THEN 'pass' ELSE 'fail' END"
+# Limits of the verdicts derived from streamed events.
+LIVE_FLUENCY, LIVE_GRAMMAR = ((50, "good"), (80, "ok")), ((70, "good"), (90, "ok"))
+LIVE_TONE = ((100, "good"), (200, "ok"))
 
+_LIVE_SQL = f"""verdicts AS (
+  SELECT ts::TIMESTAMP AS ts, {src.sql_band('k', LIVE_FLUENCY)} AS fluency,
+    {src.sql_band('k', LIVE_GRAMMAR)} AS grammar, {src.sql_band('value', LIVE_TONE)} AS tone,
+    CASE event_type WHEN 'view' THEN 'ok' ELSE 'good' END AS length,
+    CASE event_type WHEN 'error' THEN 'bad' ELSE 'good' END AS grounding,
+    CASE WHEN value * 50 <= 2500 THEN 'good' WHEN value * 50 <= 6000 THEN 'ok' ELSE 'bad' END AS latency
+  FROM (SELECT *, (props::JSON ->> '$.k')::INT AS k FROM events)),
+scored AS (SELECT ts, grounding = 'good'
+    AND {' + '.join(f"({c} = 'good')::INT" for c in (*CRITERIA, 'latency'))} >= 4
+    AND {' + '.join(f"({c} = 'bad')::INT" for c in (*CRITERIA, 'latency'))} <= 1 AS passed FROM verdicts),
+w AS (
+  SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS n,
+    count(*) FILTER (WHERE passed) AS n_pass
+  FROM scored GROUP BY 1)"""
 
-@query(f"""WITH w AS (
-  SELECT time_bucket(INTERVAL '1 hour', ts::TIMESTAMP) AS window_start,
-    count(*) AS n, count(*) FILTER (WHERE {_LIVE_SCORE} = 'pass') AS n_pass
-  FROM events GROUP BY 1)
+
+@query(f"""WITH {_LIVE_SQL}
 SELECT window_start, window_start + INTERVAL '1 hour' AS window_end, n, n_pass,
   round(n_pass / n, 6) AS pass_rate
 FROM w WHERE window_start + INTERVAL '1 hour' <=
   (SELECT max(ts)::TIMESTAMP - INTERVAL '10 minutes' FROM events)""")
 def live_pass_rate(spark, sf):
-    """Windows closed by the watermark once the events so far have been streamed."""
+    """The gate on a stream: windows closed by the watermark once the events so far have passed."""
     schema = read_table(spark, sf, "events").schema
     # a pattern instead of a plain path: the table may be one file or a folder of files
     stream = spark.readStream.schema(schema).parquet(f"{sf}/{{events}}.parquet")
-    judged = stream.select(F.col("ts").cast("timestamp"), F.expr(_LIVE_SCORE).alias("final_score"))
-    windows = windowed_pass_rate(judged, "ts", "final_score", "1 hour", "10 minutes")
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind, value = F.col("event_type"), F.col("value")
+    answers = stream.select(
+        F.col("ts").cast("timestamp"),
+        (value * 50).alias("latency_ms"),
+        band(k, LIVE_FLUENCY).alias("fluency"),
+        band(k, LIVE_GRAMMAR).alias("grammar"),
+        band(value, LIVE_TONE).alias("tone"),
+        F.when(kind == "view", "ok").otherwise("good").alias("length"),
+        F.when(kind == "error", "bad").otherwise("good").alias("grounding"),
+    )
+    judged = gt.gate(answers, {c: c for c in CRITERIA}, "latency_ms")
+    windows = windowed_pass_rate(judged, "ts", "judge_final_score", "1 hour", "10 minutes")
     out = monitor(spark, windows, shared_folder(spark, "live"))
     return out.withColumns({
         "window_start": F.col("window_start").cast("timestamp_ntz"),

@@ -54,7 +54,8 @@ def test_requests(lab):
         lab["ranges"], ["test_name", "unit", "reference_low", "reference_high"], "test_name")
     columns = ["sample_id", "test_name", "result_value", "technician"]
     rows = {r.row_no: r for r in rt.build_requests(
-        asked, "row_no", "question", lab["facts"], "sample_id", columns, ranges, lab["rules"],
+        asked, "row_no", "question", lab["facts"], "sample_id", columns, ranges,
+        rt.text_block(lab["rules"], "text"),
         extra=[("Category", "category")]).collect()}
     assert [rows[i].context_ref for i in (1, 2, 3, 4)] == ["IDS", "IDS", "IDS", "ALL"]
     assert 'S-20002,Sodium,150.25,"C, D"' in rows[2].request and "S-20001" not in rows[2].request

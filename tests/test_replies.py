@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from answergauge.functions.verdicts import CRITERIA
 from answergauge.operators import replies as rp
 

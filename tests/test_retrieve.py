@@ -45,7 +45,10 @@ def test_retrieve_keeps_fall_back_as_one_row(questions, facts):
 def test_requests(spark, questions, facts):
     ranges = spark.createDataFrame([("B", 2.0), ("A", 1.0)], "test_name string, low double")
     block = rt.reference_block(ranges, ["test_name", "low"], "test_name")
-    corpus = spark.createDataFrame([("1. Rule.",)], "text string")
+    rules = spark.createDataFrame([("1. Rule.",)], "text string")
+    corpus = rt.text_block(rules, "text")
+    with pytest.raises(Exception, match="exceeds 3 characters"):
+        rt.text_block(rules, "text", max_chars=3).collect()
     rows = {r.qid: r.request for r in rt.build_requests(
         rt.with_ids(questions, "question", PATTERN, "expected"), "qid", "question", facts, "sample_id",
         ["sample_id", "test_name", "result_value"], block, corpus, extra=[("Expected", "expected")]).collect()}
