@@ -20,6 +20,7 @@ ASCII_RUN = r"[\x00-\x7F]+"
 # backtracking, so that the scan is linear in the text.
 OFF_SCRIPT_WORD = r"(?<!\S)[\x00-\x7F&&\S]*+[^\x00-\x7F]\S*"
 FENCE = "```"
+FENCED = r"(?s)^```(?:json)?(.*?)(?:```|\z)"
 
 
 def strip(text: Column) -> Column:
@@ -79,8 +80,7 @@ def mentions_number(text: Column, expected: Column) -> Column:
 
 def strip_fence(raw: Column) -> Column:
     """Body of a code-fenced reply, without the ``json`` tag; other text as it is."""
-    body = F.get(F.split(raw, FENCE, -1), 1)
-    body = F.when(F.startswith(body, F.lit("json")), F.substring(body, 5, 2**31 - 1)).otherwise(body)
+    body = F.regexp_extract(raw, FENCED, 1)
     return strip(F.when(F.startswith(raw, F.lit(FENCE)), body).otherwise(raw))
 
 

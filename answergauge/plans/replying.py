@@ -59,8 +59,7 @@ def run_records(spark, sf):
 
 def _answers(spark, sf):
     """Replies wrapped from event properties, some of them malformed per event type."""
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    kind = F.col("event_type")
+    k, kind = F.col("k"), F.col("event_type")
     head = F.concat(F.lit('{"answer": "'), kind, F.lit('"'))
     percent = F.concat(k.cast("string"), F.lit("e-2"))
     raw = (
@@ -77,8 +76,10 @@ def _answers(spark, sf):
         .when(k < 50, F.concat(head, F.lit("}")))
         .otherwise(F.concat(head, F.lit(', "confidence": "high"}')))
     )
-    events = read_table(spark, sf, "events").select("event_id", "event_type", raw.alias("raw"))
-    return rp.validate_answers(events, "raw", require_unit_range=True)
+    events = read_table(spark, sf, "events").select(
+        "event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    replies = events.select("event_id", "event_type", raw.alias("raw"))
+    return rp.validate_answers(replies, "raw", require_unit_range=True)
 
 
 _ANSWERS_SQL = """k AS (SELECT event_id, event_type, (props::JSON ->> '$.k')::BIGINT AS k FROM events),

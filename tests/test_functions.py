@@ -72,8 +72,9 @@ def test_strip_all_white_space(one):
 
 
 def test_strip_fence(one):
-    rows = [('```json\n{"a": 1}\n```',), ('```\n{"a": 1}\n```\nDone.',), ('  {"a": 1}\n',), ("```",)]
-    assert one(text.strip_fence(F.col("t")), rows, "t string") == ['{"a": 1}'] * 3 + [""]
+    rows = [('```json\n{"a": 1}\n```',), ('```\n{"a": 1}\n```\nDone.',), ('  {"a": 1}\n',),
+            ('```json {"a": 1}\n',), ("```",), ("``````x",), ("``` a ``` b ``` c",)]
+    assert one(text.strip_fence(F.col("t")), rows, "t string") == ['{"a": 1}'] * 4 + ["", "", "a"]
 
 
 def test_csv_cells(one):
