@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +30,16 @@ def build_session(app: str = "answergauge", master: str | None = None, **conf: s
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of the cluster's shared folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local-mode session
-    without that setting (tests, laptops) gets a temporary folder; on a cluster
-    a machine-local folder would be invisible to other executors, so the call
+    The folder comes from ``spark.checkpoint.dir``. A local-mode session without
+    that setting (tests, laptops) uses its warehouse folder; on a cluster a
+    machine-local folder would be invisible to other executors, so the call
     fails instead.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith(("local[", "local*")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="answergauge-")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
