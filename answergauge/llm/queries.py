@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answergauge.llm import packing, simhash, token_counts
+from answergauge.llm import interpolation, packing, pii, quality, range_join, simhash, token_counts
 from answergauge.plans.registry import collector
 from answergauge.sources.readers import read_table
 
@@ -17,16 +17,37 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query()
+def op2_interpolation(spark: SparkSession, sf: str) -> DataFrame:
+    return interpolation.score(read_table(spark, sf, "documents"))
+
+
 @query()
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf, "documents")).drop("fp")
 
 
+@query()
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
 @query()
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read_table(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+@query()
+def op7_range_join(spark: SparkSession, sf: str) -> DataFrame:
+    return range_join.near_vectors(read_table(spark, sf, "embeddings"))
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query()
+def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
+    key = spark.conf.get("spark.answergauge.pii.key", "set spark.answergauge.pii.key to a secret")
+    return pii.pseudonymise(read_table(spark, sf, "documents"), key)
