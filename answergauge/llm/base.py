@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,32 @@ def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def block_count(rows: DataFrame, block_bytes: int, block_docs: int = 40_000) -> int:
+    """How many blocks of about so many bytes, or so many documents, the texts of ``input_rows`` need."""
+    total = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    return max(1, int((total[0] or 0) / block_bytes), int(total[1] / block_docs))
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Byte planes of unsigned numbers: their equal high bytes then compress to nothing."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def slices(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Borders of the buckets, equal ranges of 64-bit hashes, in sorted keys."""
+    borders = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, borders, "left"), [len(keys)]))
+
+
+def arrow_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest linked row of each of ``n`` rows, given links (i, j) inside one task."""
     label = np.arange(n)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.base import fold, input_rows, lower_words, stored
+from answergauge.llm.base import arrow_table, block_count, fold, input_rows, lower_words, packed, slices, stored, unpacked
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3  # remainders: scored only; deleted from the counts that the weights learn with
 BLOCK_BYTES, BLOCK_DOCS = 16_000_000, 40_000
@@ -46,7 +46,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     an empty result.
     """
     rows = input_rows(docs, id_col, text_col)
-    n_blocks = _blocks(rows)
+    n_blocks = block_count(rows, BLOCK_BYTES, BLOCK_DOCS)
     dealt = rows.select(
         "id", "text", fold(F.col("id"), FOLDS).cast("int").alias("fold"),
         F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).alias("block"))
@@ -80,11 +80,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(mix, SCHEMA)
 
 
-def _blocks(rows: DataFrame) -> int:
-    total = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    return max(1, int((total[0] or 0) / BLOCK_BYTES), int(total[1] / BLOCK_DOCS))
-
-
 class _Block:
     """A block's tokens as numbers, and its distinct words and bigrams as sorted hashes."""
 
@@ -123,21 +118,6 @@ def _mix(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _slices(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Borders of the buckets, equal ranges of hashes, in sorted keys."""
-    borders = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, borders, "left"), [len(keys)]))
-
-
-def _packed(x: np.ndarray) -> bytes:
-    """Byte planes of the numbers: their equal high bytes then compress to nothing."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unpacked(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
-
-
 def _ask(table: pa.Table, buckets: int) -> pa.Table:
     block = _Block(table)
     number = table.column("block")[0].as_py()
@@ -147,14 +127,14 @@ def _ask(table: pa.Table, buckets: int) -> pa.Table:
     for kind, keys, at in ((WORD, block.words, block.word_at), (PAIR, block.pairs, block.pair_at)):
         of_trained = np.bincount(at[trained], minlength=len(keys))
         of_deleted = np.bincount(at[deleted], minlength=len(keys))
-        borders = _slices(keys, buckets)
+        borders = slices(keys, buckets)
         for b in range(buckets):
             x, y = borders[b], borders[b + 1]
             if x < y:
                 part = keys[x:y]
                 steps = np.concatenate((part[:1], np.diff(part)))
-                out.append((kind, b, number, _packed(steps), _packed(of_trained[x:y]), _packed(of_deleted[x:y])))
-    return _table(out, ["kind", "bucket", "block", "keys", "trained", "deleted"], _ASKED)
+                out.append((kind, b, number, packed(steps), packed(of_trained[x:y]), packed(of_deleted[x:y])))
+    return arrow_table(out, _ASKED)
 
 
 _ASKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()),
@@ -163,18 +143,13 @@ _ANSWERED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", p
                        ("kept", pa.binary()), ("sizes", pa.list_(pa.int64()))])
 
 
-def _table(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.Table:
-    columns = list(zip(*rows)) or [()] * len(names)
-    return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
-
-
 def _answer(table: pa.Table) -> pa.Table:
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    keys = [np.cumsum(_unpacked(k.as_py()), dtype=np.uint64) for k in table.column("keys")]
+    keys = [np.cumsum(unpacked(k.as_py()), dtype=np.uint64) for k in table.column("keys")]
     merged, place = np.unique(np.concatenate(keys), return_inverse=True)
 
     def total(name: str) -> np.ndarray:
-        counts = np.concatenate([_unpacked(c.as_py()) for c in table.column(name)])
+        counts = np.concatenate([unpacked(c.as_py()) for c in table.column(name)])
         return np.bincount(place, weights=counts.astype(float), minlength=len(merged)).astype(np.uint64)
 
     trained, deleted = total("trained"), total("deleted")
@@ -185,14 +160,14 @@ def _answer(table: pa.Table) -> pa.Table:
         mine = place[at:at + len(own)]
         at += len(own)
         # only blocks of deleted documents learn from what is kept
-        out.append((kind, bucket, number, _packed(trained[mine]), _packed(kept[mine]) if number % 2 else None,
+        out.append((kind, bucket, number, packed(trained[mine]), packed(kept[mine]) if number % 2 else None,
                     [] if out else sizes))
-    return _table(out, [], _ANSWERED)
+    return arrow_table(out, _ANSWERED)
 
 
 def _replies(counts: pa.Table, name: str, kind: int) -> np.ndarray:
     rows = [(b, c) for k, b, c in zip(*(counts.column(x).to_pylist() for x in ("kind", "bucket", name))) if k == kind]
-    return np.concatenate([_unpacked(c) for _, c in sorted(rows, key=lambda r: r[0])]).astype(np.float64)
+    return np.concatenate([unpacked(c) for _, c in sorted(rows, key=lambda r: r[0])]).astype(np.float64)
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answergauge.llm import interpolation, packing, pii, quality, range_join, simhash, token_counts
+from answergauge.llm import interpolation, packing, pii, quality, range_join, repeats, simhash, token_counts
 from answergauge.plans.registry import collector
 from answergauge.sources.readers import read_table
 
@@ -42,6 +42,11 @@ def op7_range_join(spark: SparkSession, sf: str) -> DataFrame:
     return range_join.near_vectors(read_table(spark, sf, "embeddings"))
 
 
+@query()
+def op8_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf, "documents"))
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
