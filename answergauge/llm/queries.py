@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answergauge.llm import interpolation, packing, pii, quality, range_join, repeats, simhash, token_counts
+from answergauge.llm import edit_join, interpolation, packing, pii, quality, range_join, repeats, simhash, token_counts
 from answergauge.plans.registry import collector
 from answergauge.sources.readers import read_table
 
@@ -17,6 +17,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query()
+def op1_edit_join(spark: SparkSession, sf: str) -> DataFrame:
+    return edit_join.join_lines(read_table(spark, sf, "documents"))
+
+
 @query()
 def op2_interpolation(spark: SparkSession, sf: str) -> DataFrame:
     return interpolation.score(read_table(spark, sf, "documents"))
