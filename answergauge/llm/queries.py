@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from answergauge.llm import edit_join, interpolation, packing, pii, quality, range_join, repeats, simhash, token_counts
+from answergauge.llm import edit_join, interpolation, latent_search, packing, pii, quality, range_join, repeats, simhash, token_counts
 from answergauge.plans.registry import collector
 from answergauge.sources.readers import read_table
 
@@ -32,6 +32,11 @@ def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf, "documents")).drop("fp")
 
 
+@query()
+def op4_latent_search(spark: SparkSession, sf: str) -> DataFrame:
+    return latent_search.find_leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
 @query()
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
