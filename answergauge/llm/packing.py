@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from answergauge.llm.base import input_rows, stored
 
 _WORKER: dict[str, tuple] = {}  # per Python worker: tokenizer, id width, its cache
+_PUNCTUATION = b".,!?;:|#$%&*"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, padded_length long")
 
 
 def pack(
     docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 4096,
-    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_size: int = 400_000,
+    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_size: int = 1_000_000,
 ) -> DataFrame:
     """One row per piece: which ids of a document stand where in which sequence.
 
@@ -111,14 +112,29 @@ def _model(path: str) -> tuple:
 def _ids(text: str, model, wide: bool, cache: dict, cache_size: int) -> bytes:
     """The text's ids as bytes, word by word: this kind of tokenizer drops white space before it
     looks for tokens, so words between ASCII white space are encoded independently."""
-    words = text.encode().split()
-    if b"|>" not in text.encode():
-        words = [w.lower() for w in words]  # the tokenizer does so too, past its special strings
+    raw = text.encode()
+    if b"|>" not in raw:
+        raw = raw.lower()  # the tokenizer does so too, past its special strings
+    words = raw.split()
     unknown = [w for w in dict.fromkeys(words) if w not in cache]
     if unknown:
-        if len(cache) + len(unknown) > cache_size:
+        if len(cache) + 2 * len(unknown) > cache_size:
             cache.clear()
             unknown = list(dict.fromkeys(words))
-        for w, e in zip(unknown, model.encode_batch([w.decode() for w in unknown], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4" if wide else "<u2").tobytes()
+        _learn(unknown, model, wide, cache)
     return b"".join(map(cache.__getitem__, words))
+
+
+def _learn(words: list[bytes], model, wide: bool, cache: dict) -> None:
+    """Encode words into the cache; a letter or digit and the punctuation after it never share a token."""
+    split = {}
+    for w in words:
+        core = w.rstrip(_PUNCTUATION)
+        if len(core) < len(w) and core[-1:].isalnum() and b"|" not in core:
+            split[w] = core, w[len(core):]
+    parts = dict.fromkeys(x for w in words for x in split.get(w, (w,)))
+    new = [p for p in parts if p not in cache]
+    for p, e in zip(new, model.encode_batch([p.decode() for p in new], add_special_tokens=False)):
+        cache[p] = np.array(e.ids, "<u4" if wide else "<u2").tobytes()
+    for w, (core, rest) in split.items():
+        cache[w] = cache[core] + cache[rest]

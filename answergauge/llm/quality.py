@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.base import fold, input_rows, stored
+from answergauge.llm.base import fold, input_rows, keep_where, stored
 
 FOLDS, HELD_OUT = 5, 0
 POSITIVES, UNLABELLED = 20_000, 40_000  # bounds of the training sample
@@ -144,3 +144,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return x.mapInArrow(run, "id long, score double").select(
         F.col("id").alias("doc_id"), (fold(F.col("id"), FOLDS) == HELD_OUT).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``classify`` predicts as 1."""
+    model = fit(stored(features(docs, id_col, text_col), "quality-features"), labels, id_col, label_col)
+
+    def good(texts: list[str]) -> list[bool]:
+        return (model.score(np.stack([text_features(t) for t in texts]).astype(float)) >= threshold).tolist() if texts else []
+
+    return keep_where(docs, text_col, good)

@@ -39,7 +39,7 @@ def _references(seed: int = 7, random_ones: int = 16) -> tuple[int, list[int], l
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """id, fp (long): bit majority of the XXH64 (seed 42) of all word shingles, repeats included.
+    """id, row (hash of id and text), fp (long): bit majority of the XXH64 (seed 42) of all word shingles, repeats included.
 
     Fewer words than a shingle: the whole sequence is one shingle. No word (null,
     empty or blank text): 0. One row per input row, null ids too.
@@ -48,9 +48,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             fps = [_fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], ["id", "fp"])
+                [batch.column("id"), batch.column("row"), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())],
+                ["id", "row", "fp"])
 
-    return input_rows(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
+    rows = input_rows(docs, id_col, text_col).withColumn("row", F.xxhash64("id", "text"))
+    return rows.mapInArrow(run, "id long, row long, fp long")
 
 
 def _fingerprint(text: str, shingle: int) -> int:
@@ -86,15 +88,33 @@ def near_duplicates(
     empty result.
     """
     fps = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-fps")
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("low"))
+    named = _grouped(fps, max_bits, task_rows)
+    lowest = named.groupBy("group").agg(F.min("first.id").alias("component_id"))
+    return fps.join(named, "fp").join(lowest, "group").select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4,
+    task_rows: int = 4096,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their group by id (nulls last), then by a hash of the
+    text; of rows that repeat id and text one stays."""
+    fps = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-fps")
+    named = _grouped(fps, max_bits, task_rows)
+    kept = named.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
+def _grouped(fps: DataFrame, max_bits: int, task_rows: int) -> DataFrame:
+    """fp, group (a fingerprint of the component), first (the fingerprint's first row by id, nulls last, and hash)."""
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    distinct = fps.groupBy("fp").agg(F.min(first).alias("first"))
     groups = components(links(distinct.select("fp"), max_bits, task_rows), "simhash-groups")
-    named = stored(
+    return stored(
         distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "low", F.coalesce("component", "fp").alias("group")), "simhash-named")
-    lowest = named.groupBy("group").agg(F.min("low").alias("component_id"))
-    per_fp = named.join(lowest, "group").select("fp", "component_id")
-    return fps.join(per_fp, "fp").select(
-        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+        .select("fp", "first", F.coalesce("component", "fp").alias("group")), "simhash-named")
 
 
 def links(distinct: DataFrame, max_bits: int = 4, task_rows: int = 4096) -> DataFrame:
