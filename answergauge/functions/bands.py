@@ -13,6 +13,7 @@ from answergauge.functions.verdicts import ERROR, count_equal
 LATENCY_LIMITS_MS = ((2500, "good"), (6000, "ok"))
 SENTENCE_LIMITS = ((3, "good"), (5, "ok"))
 STATUS_PASS, STATUS_OUT = "Pass", "OOS"
+NO_RANGE = "no_range"  # of our own: the fact has no reference range
 VETO, MIN_GOOD, MAX_BAD = "grounding", 4, 1
 
 
@@ -39,7 +40,8 @@ def in_range(value: Column, low: Column, high: Column) -> Column:
 
 
 def range_status(value: Column, low: Column, high: Column) -> Column:
-    """``OOS`` strictly outside the range, else ``Pass`` (also when a bound is NULL)."""
+    """``OOS`` strictly outside the range, else ``Pass`` (also where a number is NULL or NaN)."""
+    value, low, high = (F.nanvl(x.cast("double"), F.lit(None).cast("double")) for x in (value, low, high))
     return F.when((value < low) | (value > high), STATUS_OUT).otherwise(STATUS_PASS)
 
 

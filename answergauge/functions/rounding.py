@@ -29,7 +29,7 @@ def round_exact(value: Column, digits: int) -> Column:
     side = F.signum((total - nearest) + error)
     midpoint = F.pmod(nearest, F.lit(2.0)) == 1
     return (
-        F.when((F.abs(value) >= 1e12) | (midpoint & (side == 0)), F.bround(value, digits))
+        F.when((F.abs(value) >= 1e13) | (midpoint & (side == 0)), F.bround(value, digits))
         .when(midpoint, (nearest + side) / (2 * 10**digits))
         .otherwise(nearest / (2 * 10**digits))
     )

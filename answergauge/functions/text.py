@@ -9,6 +9,8 @@ from answergauge.functions.rounding import plain_number, round_exact
 
 # Patterns shared by the text checks.
 NUMBER = r"[0-9]+(\.[0-9]+)?"
+SIGNED_NUMBER = r"-?[0-9]+(\.[0-9]+)?"
+HYPHEN = r"([0-9A-Za-z])-"  # joins words or ends of a range, no sign
 SENTENCE_END = r"[.!?]+"
 SENTENCE = r"[^.!?]+[.!?]*"
 SPACES = (
@@ -43,11 +45,12 @@ def text_hash(text: Column) -> Column:
 
 
 def sentence_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(SENTENCE_END))
+    """Runs of end marks: the length with each run cut to one mark, less the other characters."""
+    return F.length(F.regexp_replace(text, SENTENCE_END, ".")) - F.length(F.translate(text, ".!?", ""))
 
 
 def digit_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("[0-9]"))
+    return F.length(text) - F.length(F.translate(text, "0123456789", ""))
 
 
 def occurrences(text: Column, literal: str) -> Column:
@@ -68,8 +71,8 @@ def off_script_share(text: Column, expected: str = ASCII_RUN) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """Distinct numbers of a text as doubles."""
-    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+    """Distinct numbers of a text as doubles. A minus counts, the hyphen of ``70-100`` or ``P-12`` does not."""
+    found = F.regexp_extract_all(F.regexp_replace(text, HYPHEN, "$1 "), F.lit(SIGNED_NUMBER), F.lit(0))
     return F.array_distinct(F.transform(found, lambda x: x.cast("double")))
 
 

@@ -72,7 +72,7 @@ def upsert(
 ) -> DataFrame:
     """Merge new cells back by key; rows without an update keep theirs.
 
-    ``updates`` holds one row per key. ``replace`` starts from empty columns
+    ``updates`` holds one row per key; two for one fail the job. ``replace`` starts from empty columns
     (a full run), ``fill`` from the present ones (a subset or a retry). ``only``
     restricts which sheet rows may take an update, read before the merge.
     """
@@ -81,8 +81,9 @@ def upsert(
         base = base.withColumn("_open", F.coalesce(only, F.lit(False)))
     else:
         base = base.withColumn("_open", F.lit(True))
-    new = updates.select(
-        *keys, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
+    once = F.when(F.count(F.lit(1)) == 1, True).otherwise(F.raise_error(F.lit("two updates for one key")))
+    new = updates.groupBy(*keys).agg(
+        *[F.any_value(c).alias(f"_new_{c}") for c in columns], once.cast("boolean").alias("_hit"))
     take = F.col("_open") & F.col("_hit").isNotNull()
     merged = base.join(new, keys, "left").withColumns(
         {c: F.when(take, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns})

@@ -70,14 +70,22 @@ def source_order(df: DataFrame, out: str = "position") -> DataFrame:
     return df.withColumn(out, F.monotonically_increasing_id())
 
 
-def first_rows(df: DataFrame, group: str, order: list, n: int, out: str = "row_no") -> DataFrame:
-    """The first ``n`` rows of each group.
+def first_rows(
+    df: DataFrame, group: str, order: list, n: int, out: str = "row_no", spread: int = 64
+) -> DataFrame:
+    """The first ``n`` rows of each group, for any ``n``.
 
-    Spark turns the rank filter into a per-task group limit ahead of the
-    shuffle, so a hot group sends ``n`` rows per task and no more.
+    A group is first cut to ``n`` rows in each of ``spread`` buckets of its rows'
+    hashes, so that a hot group is sorted in ``spread`` tasks and the final rank
+    sees ``spread * n`` rows of it at most. Spark's own group limit, which acts
+    before the shuffle, only covers ranks up to a thousand.
     """
+    hashed = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*hashed), F.lit(spread)))
+    part = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order))
+    cut = bucketed.withColumn("_part", part).where(F.col("_part") <= n).drop("_part", "_bucket")
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn(out, rank).where(F.col(out) <= n)
+    return cut.withColumn(out, rank).where(F.col(out) <= n)
 
 
 def rows_at(numbered: DataFrame, positions: list[int], row_no: str = "row_no") -> DataFrame:

@@ -37,6 +37,18 @@ def run_records(
     )
 
 
+def _single(raw: Column) -> Column:
+    """The one JSON value of a reply; NULL where there is none, or anything after it."""
+    whole = F.try_parse_json(F.concat(F.lit("["), strip_fence(raw), F.lit("]")))
+    second = F.try_variant_get(whole, "$[1]", "variant")
+    return F.when(second.isNull(), F.try_variant_get(whole, "$[0]", "variant"))
+
+
+def _kind(value: str, path: str) -> Column:
+    """Type of a field: NULL where it is absent, VOID for a JSON null."""
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
 def validate_answers(
     df: DataFrame, raw: str, require_unit_range: bool = False
 ) -> DataFrame:
@@ -46,16 +58,12 @@ def validate_answers(
     Extra fields are ignored and a numeric string counts as a number. The 0-to-1
     rule for the confidence is a separate choice.
     """
-    parsed = df.withColumn("_v", F.try_parse_json(strip_fence(F.col(raw))))
-
-    def kind(path: str) -> Column:
-        # NULL for an absent field, VOID for a JSON null
-        return F.schema_of_variant(F.try_variant_get("_v", path, "variant"))
+    parsed = df.withColumn("_v", _single(F.col(raw)))
 
     typed = parsed.withColumns({
         "_root": F.schema_of_variant("_v"),
-        "_answer": kind("$.answer"),
-        "_confidence": kind("$.confidence"),
+        "_answer": _kind("_v", "$.answer"),
+        "_confidence": _kind("_v", "$.confidence"),
     })
     text = F.when(F.col("_answer") == "STRING", F.try_variant_get("_v", "$.answer", "string"))
     number = F.when(
@@ -97,14 +105,18 @@ def validate_verdicts(
 ) -> DataFrame:
     """Parse nested verdict replies.
 
-    A reply is usable only when every criterion is present and on the scale;
-    otherwise ``reason`` says why and each ``{criterion}_verdict`` is ERROR.
+    A reply is usable only when it is one JSON object and every criterion has an
+    explanation that is a text and a verdict on the scale; otherwise ``reason`` says why and each ``{criterion}_verdict`` is ERROR.
     """
-    parsed = df.withColumn("_j", F.from_json(strip_fence(F.col(raw)), verdict_schema(criteria)))
+    parsed = df.withColumn("_v", _single(F.col(raw)))
+    fields = [f"{c}.{x}" for c in criteria for x in ("verdict", "explanation")]
+    texts = {f"_{x.replace('.', '_')}": F.when(
+        _kind("_v", f"$.{x}") == "STRING", F.try_variant_get("_v", f"$.{x}", "string")) for x in fields}
+    parsed = parsed.withColumns(texts)
     missing, off_scale = F.lit(0), F.lit(0)
     for c in criteria:
-        verdict = F.col(f"_j.{c}.verdict")
-        absent = verdict.isNull() | F.col(f"_j.{c}.explanation").isNull()
+        verdict = F.col(f"_{c}_verdict")
+        absent = verdict.isNull() | F.col(f"_{c}_explanation").isNull()
         missing = missing + F.when(absent, 1).otherwise(0)
         off_scale = off_scale + F.when(~absent & ~in_domain(verdict), 1).otherwise(0)
     counted = parsed.withColumns({"n_missing": missing, "n_off_scale": off_scale})
@@ -119,11 +131,11 @@ def validate_verdicts(
         name: value
         for c in criteria
         for name, value in (
-            (f"{c}_verdict", F.when(failed, ERROR).otherwise(F.col(f"_j.{c}.verdict"))),
+            (f"{c}_verdict", F.when(failed, ERROR).otherwise(F.col(f"_{c}_verdict"))),
             (f"{c}_explanation",
-             F.when(failed, F.col("reason")).otherwise(F.col(f"_j.{c}.explanation"))),
+             F.when(failed, F.col("reason")).otherwise(F.col(f"_{c}_explanation"))),
         )
-    }).drop("_j")
+    }).drop("_v", *texts)
 
 
 def gate_replies(
@@ -158,19 +170,17 @@ def check_citations(
     """Outcome per reply: supported, unsupported, refused or no_citation.
 
     The quote after the marker has to occur verbatim in the reply's document.
-    One equi-join on the document id; a document cited by very many replies is
-    split by adaptive execution, its text is never copied into the shuffle of
-    the replies.
+    Only replies with a quote are joined to texts, one equi-join on the document
+    id; a document cited by very many replies is split by adaptive execution.
     """
     marker = F.instr(F.col(reply), CITATION)
     quote = F.when(
         marker > 0, F.substring(F.col(reply), marker + len(CITATION), F.length(F.col(reply))))
-    quoted = replies.withColumn("_quote", F.nullif(strip(quote), F.lit("")))
-    joined = quoted.join(documents.select(doc_id, F.col(text).alias("_text")), doc_id, "left")
-    outcome = (
-        F.when(strip(F.col(reply)) == REFUSAL, "refused")
-        .when(F.col("_quote").isNull(), "no_citation")
-        .when(F.contains("_text", F.col("_quote")), "supported")
-        .otherwise("unsupported")
-    )
-    return joined.withColumn("outcome", outcome).drop("_text", "_quote")
+    refused = F.coalesce(strip(F.col(reply)) == REFUSAL, F.lit(False))
+    read = replies.withColumn("_quote", F.when(~refused, F.nullif(strip(quote), F.lit(""))))
+    quoted = read.where(F.col("_quote").isNotNull()).join(
+        documents.select(doc_id, F.col(text).alias("_text")), doc_id, "left")
+    found = F.when(F.contains("_text", F.col("_quote")), "supported").otherwise("unsupported")
+    rest = read.where(F.col("_quote").isNull()).withColumn(
+        "outcome", F.when(refused, "refused").otherwise("no_citation"))
+    return quoted.withColumn("outcome", found).drop("_text", "_quote").unionByName(rest.drop("_quote"))

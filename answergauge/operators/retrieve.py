@@ -70,25 +70,16 @@ def fact_blocks(
     )
 
 
-def reference_block(dim: DataFrame, columns: list[str], order: str, max_rows: int = 1000) -> DataFrame:
-    """A small reference table as one CSV cell with a header.
+def text_blocks(corpus: DataFrame, keys: list[str], text: str, span: int = 100_000) -> DataFrame:
+    """(keys, block_no, block): corpus texts in blocks of at most ``span`` characters, none left out.
 
-    Its text is spliced into every request, so it has to be small: beyond
-    ``max_rows`` the job fails and the table belongs into ``fact_blocks``. At
-    most ``max_rows + 1`` rows ever reach the aggregating task.
+    Requests refer to a corpus by name, so it may be of any size and number of files.
     """
-    lines = dim.select(F.col(order).alias("_o"), csv_line(dim, columns).alias("_line"))
-    body = F.expr(r"listagg(_line, '\n') WITHIN GROUP (ORDER BY _o)")
-    size = F.count(F.lit(1))
-    text = F.concat_ws("\n", F.lit(",".join(columns)), body)
-    too_big = F.raise_error(F.lit(f"reference table exceeds {max_rows} rows"))
-    return lines.limit(max_rows + 1).agg(F.when(size <= max_rows, text).otherwise(too_big).alias("block"))
-
-
-def text_block(corpus: DataFrame, text: str, max_chars: int = 1_000_000) -> DataFrame:
-    """The one corpus text that goes into every request; a larger one fails the job."""
-    too_big = F.raise_error(F.lit(f"corpus text exceeds {max_chars} characters"))
-    return corpus.select(F.when(F.length(text) <= max_chars, F.col(text)).otherwise(too_big).alias("block"))
+    size = F.greatest(F.length(text), F.lit(1))
+    numbered = corpus.where(F.col(text).isNotNull()).select(
+        *keys, text, F.explode(F.sequence(F.lit(0), F.floor((size - 1) / span).cast("int"))).alias("block_no"))
+    return numbered.select(
+        *keys, "block_no", F.substring(F.col(text), F.col("block_no") * span + 1, F.lit(span)).alias("block"))
 
 
 def fact_context(
@@ -111,16 +102,15 @@ def build_requests(
     facts: DataFrame,
     fact_id: str,
     fact_columns: list[str],
-    reference: DataFrame,
-    corpus: DataFrame | None = None,
+    reference: str,
+    corpus: str | None = None,
     extra: list[tuple[str, str]] = (),
 ) -> DataFrame:
     """Request text per question: facts, reference table, corpus, labelled lines.
 
-    ``reference`` and ``corpus`` are one-cell tables of checked size
-    (``reference_block``, ``text_block``); as scalar subqueries they run once and
-    join nothing. Questions keep
-    their row even when no id matches a fact. ``extra`` lists (label, column).
+    ``reference`` and ``corpus`` name what all requests share; it is rendered once
+    (``fact_blocks``, ``text_blocks``) and never copied into a request. Questions
+    keep their row even when no id matches a fact. ``extra`` lists (label, column).
     """
     context = fact_context(questions, key, facts, fact_id, fact_columns)
     header = F.lit(",".join(fact_columns))
@@ -128,10 +118,10 @@ def build_requests(
         F.concat_ws("\n", header, F.col("facts_csv")))
     parts = [
         F.lit("## Facts"), facts_text,
-        F.lit("## Reference ranges"), reference.scalar(),
+        F.lit("## Reference ranges"), F.lit(f"see blocks: {reference}"),
     ]
     if corpus is not None:
-        parts += [F.lit("## Procedures"), corpus.scalar()]
+        parts += [F.lit("## Procedures"), F.lit(f"see blocks: {corpus}")]
     parts += [F.concat(F.lit(f"{label}: "), F.coalesce(F.col(c), F.lit(""))) for label, c in extra]
     parts.append(F.concat(F.lit("Question: "), F.col(text)))
     return questions.join(context, key, "left").select(

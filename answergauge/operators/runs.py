@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answergauge.functions.text import text_hash
@@ -40,10 +40,12 @@ def verdict_distribution(melted: DataFrame, by: list[str]) -> DataFrame:
 def delta_vs_baseline(distribution: DataFrame, run: str, baseline: str, on: str) -> DataFrame:
     """Change of the good count against the baseline run, per criterion.
 
-    The input is already one row per run and criterion.
+    The input is one row per run and criterion, and is read once. Where the
+    baseline has no row for a criterion both columns are NULL.
     """
-    base = distribution.where(F.col(run) == baseline).select(on, F.col("n_good").alias("base_good"))
-    return distribution.join(base, on).withColumn("delta_good", F.col("n_good") - F.col("base_good"))
+    base = F.max(F.when(F.col(run) == baseline, F.col("n_good"))).over(Window.partitionBy(on))
+    return distribution.withColumn("base_good", base).withColumn(
+        "delta_good", F.col("n_good") - F.col("base_good"))
 
 
 def pass_rate(df: DataFrame, by: list[str], final_score: str) -> DataFrame:
@@ -88,12 +90,13 @@ def relative_change(
 ) -> DataFrame:
     """Relative change of the mean of each measure between two runs.
 
-    Each run is averaged first; only the means are joined.
+    Each run is averaged first; only the means are joined. A group that one run
+    lacks keeps its row, without a change.
     """
     def means(df: DataFrame, prefix: str) -> DataFrame:
         return df.groupBy(*by).agg(*[F.avg(m).alias(f"{prefix}_{m}") for m in measures])
 
-    joined = means(old, "old").join(means(new, "new"), by)
+    joined = means(old, "old").join(means(new, "new"), by, "full_outer")
     return joined.withColumns({
         f"change_{m}": F.try_divide(F.col(f"new_{m}") - F.col(f"old_{m}"), F.col(f"old_{m}"))
         for m in measures
@@ -210,50 +213,39 @@ def rating_drift(melted: DataFrame, text_hash: str, by: list[str], min_rows: int
     )
 
 
-def carry_ratings(
-    answers: DataFrame, key: str, text_hash: str, verdict: str, hot_rows: int = 1_000_000
-) -> DataFrame:
+def carry_ratings(answers: DataFrame, key: str, text_hash: str, verdict: str) -> DataFrame:
     """Give an unrated answer the rating of an identical rated text.
 
-    ``answers`` has one narrow row per answer and is read more than once. Texts
-    with conflicting ratings carry nothing. A text may be copied into a
-    third of all rows, so texts with ``hot_rows`` unrated copies or more are
-    looked up in a broadcast table, whose size is bounded by
-    ``rows / hot_rows``; their rows then enter the shuffled join for the other
-    texts under a key of their own and spread evenly.
+    ``answers`` has one narrow row per answer and is read twice. Texts with
+    conflicting ratings carry nothing. A text may be copied into a third of all
+    rows: both sides of the join come straight from a shuffle by the reversed
+    hash, which no other step of the plan provides, so adaptive execution can
+    split the hot partition.
     """
     # ordinals instead of words: minimum and maximum of numbers need no sort
     value = ordinal(F.col(verdict))
-    per_text = answers.groupBy(text_hash).agg(
-        F.min(value).alias("_low"), F.max(value).alias("_high"),
-        F.count_if(F.col(verdict).isNull()).alias("_open"))
+    per_text = answers.groupBy(text_hash).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     words = F.array(*[F.lit(v) for v in sorted(ORDINAL, key=ORDINAL.get)])
-    carried = F.when(F.col("_low") == F.col("_high"), F.get(words, F.col("_low")))
-    per_text = per_text.where(F.col("_open") > 0).withColumn("_carried", carried)
-    hot = per_text.where(F.col("_open") >= hot_rows).select(
-        text_hash, F.col("_carried").alias("_hot_rating"), F.lit(True).alias("_hot"))
-    cold = per_text.where((F.col("_open") < hot_rows) & F.col("_carried").isNotNull()).select(
-        F.col(text_hash).alias("_cold_key"), F.col("_carried").alias("_cold_rating"))
-    unrated = answers.where(F.col(verdict).isNull()).join(F.broadcast(hot), text_hash, "left")
-    spread = F.when(F.col("_hot"), F.concat(F.lit("row:"), F.col(key).cast("string"))).otherwise(
-        F.col(text_hash))
-    return (
-        unrated.withColumn("_cold_key", spread)
-        .join(cold, "_cold_key", "left")
-        .withColumn("carried_verdict", F.coalesce("_hot_rating", "_cold_rating"))
-        .drop("_cold_key", "_cold_rating", "_hot_rating", "_hot", verdict)
-    )
+    known = per_text.where(F.col("_low") == F.col("_high")).select(
+        F.reverse(text_hash).alias("_key"), F.get(words, F.col("_low")).alias("carried_verdict"))
+    unrated = answers.where(F.col(verdict).isNull()).withColumn("_key", F.reverse(text_hash))
+    return unrated.join(known, "_key", "left").drop("_key", verdict)
 
 
 def cost_by(
     df: DataFrame, prices: DataFrame, on: str, by: list[str],
     input_tokens: str = "input_tokens", output_tokens: str = "output_tokens",
 ) -> DataFrame:
-    """Cost from token counts and a price table in currency per million tokens."""
+    """Cost from token counts and a price table in currency per million tokens.
+
+    Rows without a price stay in the counts of rows and tokens, are reported as
+    ``n_unpriced`` and add nothing to the cost.
+    """
     row_cost = (
         F.col(input_tokens) * F.col("price_in") + F.col(output_tokens) * F.col("price_out")) / 1e6
-    return df.join(prices, on).groupBy(*by).agg(
+    return df.join(prices, on, "left").groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
+        F.count_if(row_cost.isNull()).alias("n_unpriced"),
         F.sum(input_tokens).alias("input_tokens"),
         F.sum(output_tokens).alias("output_tokens"),
         F.sum(row_cost).alias("cost"),

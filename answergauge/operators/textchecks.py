@@ -87,16 +87,17 @@ def unrequested_facts(
     """Numbers and status words an answer states although its question did not ask.
 
     ``allowed`` maps a category to the columns whose numbers it may state;
-    ``status_categories`` may also state a status.
+    ``status_categories`` may also state a status. A category that is not listed
+    may state no number at all.
     """
-    extra = F.lit(None).cast("array<double>")
+    extra = numbers(F.col(text))
     for name, columns in allowed.items():
         known = F.array(*[F.col(c).cast("double") for c in columns]).cast("array<double>")
         extra = F.when(
             F.col(category) == name, F.array_except(numbers(F.col(text)), known)).otherwise(extra)
     states = F.col(text).rlike(status_words) & ~F.col(category).isin(*status_categories)
     return df.withColumns({
-        "extra_numbers": F.size(extra),
+        "extra_numbers": F.coalesce(F.size(extra), F.lit(0)),
         "extra_status": F.coalesce(states, F.lit(False)),
     }).withColumn("padded", (F.col("extra_numbers") > 0) | F.col("extra_status"))
 

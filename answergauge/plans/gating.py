@@ -10,23 +10,23 @@ from answergauge.operators import gate as gt
 from answergauge.operators import ranges as rg
 from answergauge.operators import runs as rn
 from answergauge.operators import scorer
-from answergauge.operators.numbering import first_rows, number_rows, rows_at
+from answergauge.operators.numbering import first_rows, rows_at
 from answergauge.operators.sampling import weekly_sample
 from answergauge.plans import inputs as src
 from answergauge.plans.registry import collector
-from answergauge.session import shared_folder
+from answergauge.session import shared_folder, written
 from answergauge.sources.readers import read_table
 from answergauge.streaming.live import monitor, windowed_pass_rate
 
 QUERIES, query = collector()
 
-# The valid range of each event type, and the older rule whose
+# The valid range of each event type (errors have none), and the older rule whose
 # stored status the audit compares with.
 EVENT_RANGES = """SELECT event_type, CAST(low AS DOUBLE) AS reference_low, CAST(high AS DOUBLE) AS reference_high
 FROM (VALUES ('click', 10.0, 200.0), ('view', 5.0, 150.0), ('purchase', 1.0, 100.0),
-  ('signup', 20.0, 250.0), ('error', 0.5, 50.0)) AS t(event_type, low, high)"""
+  ('signup', 20.0, 250.0)) AS t(event_type, low, high)"""
 _RANGES_SQL = f"ranges AS ({EVENT_RANGES})"
-_STATUS = "CASE WHEN value < reference_low OR value > reference_high THEN 'OOS' ELSE 'Pass' END"
+_STATUS = "CASE WHEN reference_low IS NULL THEN 'no_range' WHEN value < reference_low OR value > reference_high THEN 'OOS' ELSE 'Pass' END"
 _STORED = "CASE WHEN value > 200 THEN 'OOS' ELSE 'Pass' END"
 
 JUDGED = [f"judge_{c}_verdict" for c in (*CRITERIA, "latency")]
@@ -45,15 +45,16 @@ def _ranged(spark, sf):
 @query(f"""WITH {_RANGES_SQL}
 SELECT event_id, event_type, value, {_STATUS} AS status,
   value BETWEEN reference_low AND reference_high AS in_range
-FROM events JOIN ranges USING (event_type)""")
+FROM events LEFT JOIN ranges USING (event_type)""")
 def range_status(spark, sf):
     return _ranged(spark, sf).select("event_id", "event_type", "value", "status", "in_range")
 
 
 @query(f"""WITH {_RANGES_SQL}, s AS (
-  SELECT event_type, {_STATUS} AS status FROM events JOIN ranges USING (event_type))
-SELECT event_type, count(*) AS n, count(*) FILTER (WHERE status = 'OOS') AS n_oos,
-  round(avg((status = 'OOS')::INT), 6) AS oos_rate
+  SELECT event_type, {_STATUS} AS status FROM events LEFT JOIN ranges USING (event_type))
+SELECT event_type, count(*) AS n, count(*) FILTER (WHERE status = 'no_range') AS n_no_range,
+  count(*) FILTER (WHERE status = 'OOS') AS n_oos,
+  round(avg(CASE WHEN status <> 'no_range' THEN (status = 'OOS')::INT END), 6) AS oos_rate
 FROM s GROUP BY event_type""")
 def range_status_rate(spark, sf):
     return rg.out_of_range_rate(_ranged(spark, sf), ["event_type"]).withColumn(
@@ -62,7 +63,7 @@ def range_status_rate(spark, sf):
 
 @query(f"""WITH {_RANGES_SQL}
 SELECT event_id, event_type, value, {_STORED} AS stored_status, {_STATUS} AS status
-FROM events JOIN ranges USING (event_type) WHERE {_STORED} <> {_STATUS}""")
+FROM events LEFT JOIN ranges USING (event_type) WHERE {_STORED} <> {_STATUS}""")
 def status_audit(spark, sf):
     stored = F.when(F.col("value") > 200, "OOS").otherwise("Pass")
     audited = rg.status_audit(_ranged(spark, sf).withColumn("stored_status", stored), "stored_status")
@@ -153,10 +154,10 @@ SELECT g.run_id, g.doc_id, {', '.join(
 FROM gated g LEFT JOIN rescored r USING (doc_id)""")
 def retry_upsert(spark, sf):
     """The retry answers only rows that come back within ten seconds; the rest stay ERROR."""
-    sheet = gated(spark, sf)
-    open_rows = gt.errored(sheet, "judge_fluency_verdict").where("latency_ms <= 10000")
+    sheet = written(gated(spark, sf).select("run_id", "doc_id", "latency_ms", *CELLS), "judged-sheet")
+    open_rows = gt.errored(sheet, "judge_fluency_verdict").where("latency_ms <= 10000").select("doc_id", "latency_ms")
     rescored = gt.gate(
-        open_rows.select("doc_id", "latency_ms", *src.JUDGE.values()), src.JUDGE, "latency_ms")
+        src.judge_ratings(spark, sf, only=open_rows).join(open_rows, "doc_id"), src.JUDGE, "latency_ms")
     repaired = gt.retry_errors(sheet, rescored, ["doc_id"], CELLS, "judge_fluency_verdict")
     return repaired.select("run_id", "doc_id", *CELLS)
 
@@ -170,7 +171,8 @@ def subset_fill(spark, sf):
     rows = src.documents(spark, sf).select(F.col("source").alias("run_id"), "doc_id")
     anchor = src.human_ratings(spark, sf).select("doc_id", "human_length")
     rated = gt.rated(anchor, "human_length").select("doc_id")
-    scored = gated(spark, sf).join(rated, "doc_id", "left_semi")
+    timed = src.judged_sheet(spark, sf, only=rated)
+    scored = gt.gate(timed, src.JUDGE, "latency_ms", failed=F.col("event_type") == "error")
     sheet = rows.join(anchor, "doc_id", "left")
     return gt.judge_subset(sheet, scored, ["doc_id"], CELLS, "human_length").drop("human_length")
 
@@ -184,11 +186,13 @@ SELECT n.run_id, n.row_no, n.doc_id, {', '.join(f'human_{c}, judge_{c}' for c in
 FROM numbered n JOIN rated r USING (doc_id) WHERE n.row_no IN (1, 2, 5)""")
 def spot_check(spark, sf):
     """Both raters side by side at chosen positions of every run."""
-    positions = number_rows(
-        src.documents(spark, sf).select(F.col("source").alias("run_id"), "doc_id"), "run_id", "doc_id")
-    chosen = rows_at(positions, [1, 2, 5]).drop("run_id")
+    wanted = [1, 2, 5]
+    rows = src.documents(spark, sf).select(F.col("source").alias("run_id"), "doc_id")
+    chosen = rows_at(first_rows(rows, "run_id", [F.col("doc_id")], max(wanted)), wanted)
+    sheet = src.human_ratings(spark, sf).join(chosen, "doc_id")
     both = [x for c in CRITERIA for x in src.PAIRS[c]]
-    return src.rated_sheet(spark, sf).join(chosen, "doc_id").select("run_id", "row_no", "doc_id", *both)
+    judged = src.judge_ratings(spark, sf, only=sheet.select("doc_id")).drop("run_id")
+    return sheet.join(judged, "doc_id").select("run_id", "row_no", "doc_id", *both)
 
 
 @query(f"""SELECT run_id, row_no, doc_id, lang FROM (

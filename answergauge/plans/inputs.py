@@ -57,12 +57,16 @@ def human_ratings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def judge_ratings(spark: SparkSession, sf: str) -> DataFrame:
+def judge_ratings(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
     """Verdicts measured on whole texts, computed before any join so that the
-    shuffles downstream carry five short strings and no text."""
+    shuffles downstream carry five short strings and no text. With ``only``, a
+    table of doc_ids, nothing but their texts is measured."""
     text = F.col("text")
+    docs = documents(spark, sf)
+    if only is not None:
+        docs = docs.join(only.select("doc_id"), "doc_id", "left_semi")
     # measures first: a band mentions its value once per limit
-    measured = documents(spark, sf).select(
+    measured = docs.select(
         "doc_id",
         F.col("source").alias("run_id"),
         F.col("lang").alias("category"),
@@ -96,10 +100,10 @@ def rated_sheet(spark: SparkSession, sf: str) -> DataFrame:
     return human_ratings(spark, sf).join(judge_ratings(spark, sf), "doc_id")
 
 
-def judged_sheet(spark: SparkSession, sf: str) -> DataFrame:
-    """Every answer with its judge verdicts and latency."""
+def judged_sheet(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
+    """Every answer (or those in ``only``) with its judge verdicts and latency."""
     timed = latencies(spark, sf).drop("value")
-    return judge_ratings(spark, sf).join(timed, "doc_id", "left")
+    return judge_ratings(spark, sf, only).join(timed, "doc_id", "left")
 
 
 def full_sheet(spark: SparkSession, sf: str) -> DataFrame:

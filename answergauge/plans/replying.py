@@ -32,7 +32,7 @@ def reply_text(spark, sf):
   round_even(e.value * 50, 1) AS latency_ms, ceil(length(u.text) / 4.0)::BIGINT AS input_tokens,
   ceil(length(a.text) / 4.0)::BIGINT AS output_tokens, NULL::VARCHAR AS fluency, NULL::VARCHAR AS final_score
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-JOIN events e ON e.event_id = u.conv_id
+LEFT JOIN events e ON e.event_id = u.conv_id
 WHERE u.role = 'user' AND a.role = 'assistant'""")
 def run_records(spark, sf):
     """A user turn with the assistant turn right after it.
@@ -51,7 +51,7 @@ def run_records(spark, sf):
             F.ceil(F.length("question") / 4).alias("input_tokens"),
             F.ceil(F.length("reply") / 4).alias("output_tokens")).alias("usage"))
     timed = pairs.join(
-        src.latencies(spark, sf).select(F.col("doc_id").alias("conv_id"), "latency_ms"), "conv_id")
+        src.latencies(spark, sf).select(F.col("doc_id").alias("conv_id"), "latency_ms"), "conv_id", "left")
     return rp.run_records(
         timed, ["conv_id", "turn", "question"], "content", "latency_ms", "usage",
         ["fluency", "final_score"])
@@ -70,9 +70,14 @@ def _answers(spark, sf):
         .when(kind == "view", F.concat(
             F.lit("```\n"), head, F.lit(', "confidence": '),
             (k * 2).cast("string"), F.lit("e-2}\n```\nDone.")))
+        .when((kind == "click") & (k < 20), F.concat(
+            head, F.lit(', "confidence": '), percent, F.lit("} as asked")))
+        .when((kind == "click") & (k < 35), F.concat(
+            head, F.lit(', "confidence": '), percent, F.lit('}, {"answer": "again"}')))
         .when((kind == "click") & (k < 50), F.concat(head, F.lit(', "confidence": '), percent))
         .when(kind == "click", F.concat(
             F.lit('{"answer": '), k.cast("string"), F.lit(', "confidence": 0.5}')))
+        .when(k < 10, "null")
         .when(k < 50, F.concat(head, F.lit("}")))
         .otherwise(F.concat(head, F.lit(', "confidence": "high"}')))
     )
@@ -87,6 +92,7 @@ checked AS (SELECT *, CASE
     WHEN event_type = 'view' AND k > 50 THEN 'confidence_out_of_range'
     WHEN event_type = 'click' AND k < 50 THEN 'invalid_json'
     WHEN event_type = 'click' THEN 'answer_not_text'
+    WHEN event_type = 'error' AND k < 10 THEN 'not_an_object'
     WHEN event_type = 'error' AND k < 50 THEN 'missing_confidence'
     WHEN event_type = 'error' THEN 'confidence_not_number' END AS reason FROM k)"""
 
@@ -108,7 +114,8 @@ def reply_reasons(spark, sf):
 
 
 def _raw_verdicts(spark, sf):
-    """Judge replies as fenced JSON; Spanish rows lack the tone, short French rows are prose."""
+    """Judge replies as fenced JSON; Spanish rows lack the tone, short French rows are prose,
+    short German ones explain with numbers, and short English ones go on after the object."""
     cells = [
         F.when(
             F.lit(c != "tone") | (F.col("category") != "es"),
@@ -118,8 +125,13 @@ def _raw_verdicts(spark, sf):
         for c in CRITERIA
     ]
     prose = (F.col("category") == "fr") & (F.col("n_chars") < 2000)
+    numbers = (F.col("category") == "de") & (F.col("n_chars") < 1000)
+    more = (F.col("category") == "en") & (F.col("n_chars") < 500)
+    json = F.to_json(F.struct(*cells))
+    body = F.when(numbers, F.replace(json, F.lit('"because de"'), F.lit("5"))).when(
+        more, F.concat(json, F.lit("\nThat is all."))).otherwise(json)
     reply = F.when(prose, "I cannot judge this.").otherwise(
-        F.concat(F.lit("```json\n"), F.to_json(F.struct(*cells)), F.lit("\n```")))
+        F.concat(F.lit("```json\n"), body, F.lit("\n```")))
     return src.rated_sheet(spark, sf).select("run_id", "doc_id", reply.alias("reply"))
 
 
@@ -131,10 +143,12 @@ _OFF = " + ".join(
     f"(human_{c} NOT IN ('good', 'ok', 'bad'))::INT" for c in CRITERIA)
 _OFF_NO_TONE = " + ".join(
     f"(human_{c} NOT IN ('good', 'ok', 'bad'))::INT" for c in CRITERIA if c != "tone")
+_UNREADABLE = ("(category = 'fr' AND n_chars < 2000 OR category = 'de' AND n_chars < 1000"
+               " OR category = 'en' AND n_chars < 500)")
 _VERDICTS_SQL = f"""{src.RATED_SQL}, counted AS (
-  SELECT *, CASE WHEN category = 'fr' AND n_chars < 2000 THEN 5 WHEN category = 'es' THEN 1 ELSE 0 END
+  SELECT *, CASE WHEN {_UNREADABLE} THEN 5 WHEN category = 'es' THEN 1 ELSE 0 END
       AS n_missing,
-    CASE WHEN category = 'fr' AND n_chars < 2000 THEN 0
+    CASE WHEN {_UNREADABLE} THEN 0
          WHEN category = 'es' THEN {_OFF_NO_TONE} ELSE {_OFF} END AS n_off_scale
   FROM rated),
 parsed AS (SELECT *, CASE WHEN n_missing = 5 THEN 'unreadable' WHEN n_missing > 0 THEN 'missing_criterion'

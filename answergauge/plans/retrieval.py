@@ -19,7 +19,7 @@ PAGE_ID, PART_ID = "[0-9]{3}", "P-[0-9]+"
 PART_RANGES = """SELECT p_type, CAST(low AS DOUBLE) AS reference_low, CAST(high AS DOUBLE) AS reference_high
 FROM (VALUES ('STANDARD', 5, 40), ('ECONOMY', 1, 30), ('PROMO', 10, 50),
   ('SMALL', 1, 20), ('LARGE', 25, 50), ('MEDIUM', 10, 35)) AS t(p_type, low, high)"""
-FACT_COLUMNS = ["p_partkey", "p_name", "p_size", "p_retailprice"]
+FACT_COLUMNS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 
 def _questions(spark, sf, expected=False):
@@ -57,8 +57,8 @@ w AS (SELECT page_id, unnest(ids)::BIGINT AS id FROM q)"""
 
 _RETRIEVE = """SELECT page_id, 'IDS' AS context_ref, {columns}
 FROM w JOIN part ON p_partkey = id
-UNION ALL SELECT page_id, 'ALL', NULL, NULL, NULL, NULL FROM q WHERE len(ids) = 0""".format(
-    columns=", ".join(FACT_COLUMNS))
+UNION ALL SELECT page_id, 'ALL', {nulls} FROM q WHERE len(ids) = 0""".format(
+    columns=", ".join(FACT_COLUMNS), nulls=", ".join(["NULL"] * len(FACT_COLUMNS)))
 
 
 @query(f"WITH {_wanted(_IDS)} {_RETRIEVE}")
@@ -96,25 +96,51 @@ def fact_blocks(spark, sf):
     return rt.fact_blocks(_parts(spark, sf), FACT_COLUMNS, F.col("p_partkey"), span=1000)
 
 
-@query(f"""WITH {_wanted(_IDS)}, c AS (
+@query("""SELECT (r_regionkey // 1000)::BIGINT AS block_no, count(*) AS n_rows,
+  string_agg(r_regionkey || ',' || r_name, chr(10) ORDER BY r_regionkey) AS block
+FROM region GROUP BY 1""")
+def reference_blocks(spark, sf):
+    """The reference table that all requests share."""
+    region = read_table(spark, sf, "region")
+    return rt.fact_blocks(region, ["r_regionkey", "r_name"], F.col("r_regionkey"))
+
+
+@query("""SELECT page_id, b::INT AS block_no, md5(substr(html, (b * 500 + 1)::BIGINT, 500)) AS block_md5
+FROM (SELECT page_id, html, unnest(range(0, (greatest(length(html), 1) - 1) // 500 + 1)) AS b FROM pages)""")
+def corpus_blocks(spark, sf):
+    """The corpus that all requests share, in bounded blocks."""
+    blocks = rt.text_blocks(read_table(spark, sf, "pages"), ["page_id"], "html", span=500)
+    return blocks.select("page_id", "block_no", F.md5("block").alias("block_md5"))
+
+
+def _request_sql(ids: str, corpus: str, extra: str) -> str:
+    return f"""WITH {_wanted(ids)}, c AS (
   SELECT page_id, string_agg({_line(FACT_COLUMNS)}, chr(10) ORDER BY p_partkey) AS facts
-  FROM w JOIN part ON p_partkey = id GROUP BY page_id),
-r AS (SELECT 'r_regionkey,r_name' || chr(10) ||
-  string_agg({_line(['r_regionkey', 'r_name'])}, chr(10) ORDER BY r_regionkey) AS ranges FROM region)
+  FROM w JOIN part ON p_partkey = id GROUP BY page_id)
 SELECT page_id, CASE WHEN len(ids) = 0 THEN 'ALL' ELSE 'IDS' END AS context_ref,
   concat_ws(chr(10), '## Facts',
     CASE WHEN len(ids) = 0 THEN 'see blocks: ALL'
          ELSE concat_ws(chr(10), '{','.join(FACT_COLUMNS)}', facts) END,
-    '## Reference ranges', (SELECT ranges FROM r),
-    'Category: ' || coalesce(regexp_extract(url, '/([a-z]{{2}})/', 1), ''),
+    '## Reference ranges', 'see blocks: RANGES', {corpus}
+    'Category: ' || coalesce(regexp_extract(url, '/([a-z]{{2}})/', 1), ''), {extra}
     'Question: ' || url) AS request
-FROM q LEFT JOIN c USING (page_id)""")
+FROM q LEFT JOIN c USING (page_id)"""
+
+
+@query(_request_sql(_IDS, "", ""))
 def request_table(spark, sf):
-    region = read_table(spark, sf, "region")
     return rt.build_requests(
         _questions(spark, sf), "page_id", "question", _parts(spark, sf), "p_partkey", FACT_COLUMNS,
-        rt.reference_block(region, ["r_regionkey", "r_name"], "r_regionkey"),
-        extra=[("Category", "category")])
+        "RANGES", extra=[("Category", "category")])
+
+
+@query(_request_sql(_WITH_EXPECTED, "'## Procedures', 'see blocks: CORPUS',", "'Generated answer: See ' || url,"))
+def judge_request_table(spark, sf):
+    """What the judging service is asked: the answer, the expected fact, ranges and corpus."""
+    answered = _questions(spark, sf, expected=True).withColumn("answer", F.concat(F.lit("See "), "question"))
+    return rt.build_requests(
+        answered, "page_id", "question", _parts(spark, sf), "p_partkey", FACT_COLUMNS, "RANGES", "CORPUS",
+        extra=[("Category", "category"), ("Generated answer", "answer")])
 
 
 GOLDEN_SQL = f"""ranges AS ({PART_RANGES}),
@@ -151,11 +177,21 @@ def golden_sample(spark, sf):
     return sample_exact(golden(spark, sf), "p_partkey", 40, "sample").select(*_GOLDEN_COLUMNS)
 
 
-@query(f"""WITH {GOLDEN_SQL} SELECT category, count(*) AS n, count(*) AS n_id_ok, count(*) AS n_answer_ok
+@query(f"""WITH {GOLDEN_SQL} SELECT category, count(*) AS n,
+  count(*) FILTER (WHERE p_partkey % 5 <> 0) AS n_id_ok, count(*) FILTER (WHERE p_partkey % 7 <> 0) AS n_answer_ok
 FROM golden GROUP BY category""")
 def golden_self_check(spark, sf):
+    """Every fifth expected id and every seventh expected answer is spoilt on purpose."""
     facts = ranged_parts(spark, sf).select("part_id", "size", "reference_low", "reference_high")
-    checked = gd.self_check(golden(spark, sf), facts, PART_ID, "part_id", "size")
+    answer = F.col("expected_answer")
+    spoilt = (
+        F.when(answer == "OOS", "Pass").when(answer == "Pass", "OOS")
+        .when(answer.contains("Range"), F.regexp_replace(answer, "Range [0-9]", "Range 77"))
+        .otherwise(F.concat(F.lit("9"), answer)))
+    questions = golden(spark, sf).withColumns({
+        "expected_answer": F.when(F.col("p_partkey") % 7 == 0, spoilt).otherwise(answer),
+        "part_id": F.when(F.col("p_partkey") % 5 == 0, F.concat("part_id", F.lit("0"))).otherwise(F.col("part_id"))})
+    checked = gd.self_check(questions, facts, PART_ID, "part_id", "size")
     return checked.groupBy("category").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("id_ok").alias("n_id_ok"),
         F.count_if("answer_ok").alias("n_answer_ok"))

@@ -12,14 +12,14 @@ from answergauge.operators.numbering import number_rows
 from answergauge.plans import inputs as src
 from answergauge.plans.gating import JUDGED, gated
 from answergauge.plans.registry import collector
-from answergauge.session import shared_folder, written
+from answergauge.session import shared_folder
 from answergauge.sources import readers, writers
 
 QUERIES, query = collector()
 
-# Prices in currency per million tokens, by answer language.
+# Prices in currency per million tokens, by answer language; Spanish has none.
 PRICES = """SELECT lang, CAST(price_in AS DOUBLE) AS price_in, CAST(price_out AS DOUBLE) AS price_out
-FROM (VALUES ('en', 2, 10), ('fr', 3, 15), ('de', 1, 5), ('es', 2, 8)) AS t(lang, price_in, price_out)"""
+FROM (VALUES ('en', 2, 10), ('fr', 3, 15), ('de', 1, 5)) AS t(lang, price_in, price_out)"""
 BASELINE = "src0"
 KEYS = ["run_id", "doc_id"]
 
@@ -52,7 +52,7 @@ def verdict_distribution(spark, sf):
 
 
 @query(f"""WITH {_MELTED_SQL} SELECT d.*, b.n_good AS base_good, d.n_good - b.n_good AS delta_good
-FROM distribution d JOIN distribution b ON b.criterion = d.criterion AND b.run_id = '{BASELINE}'""")
+FROM distribution d LEFT JOIN distribution b ON b.criterion = d.criterion AND b.run_id = '{BASELINE}'""")
 def delta_vs_baseline(spark, sf):
     distribution = rn.verdict_distribution(_melted(spark, sf), ["run_id", "criterion"])
     return rn.delta_vs_baseline(distribution, "run_id", BASELINE, "criterion")
@@ -118,7 +118,7 @@ a AS (SELECT run_id, avg(tokens) AS old_tokens, avg(latency_ms) AS old_latency_m
 b AS (SELECT run_id, avg(tokens) AS new_tokens, avg(latency_ms) AS new_latency_ms FROM run_b GROUP BY 1)
 SELECT run_id, round((new_tokens - old_tokens) / old_tokens, 6) AS change_tokens,
   round((new_latency_ms - old_latency_ms) / old_latency_ms, 6) AS change_latency_ms
-FROM a JOIN b USING (run_id)""")
+FROM a FULL JOIN b USING (run_id)""")
 def relative_change(spark, sf):
     change = rn.relative_change(
         src.run_a(spark, sf), src.run_b(spark, sf), ["run_id"], ["tokens", "latency_ms"])
@@ -171,8 +171,7 @@ def rating_drift(spark, sf):
   FROM texts GROUP BY text_hash)
 SELECT doc_id, text_hash, carried_verdict FROM texts JOIN known USING (text_hash) WHERE verdict IS NULL""")
 def rating_carryover(spark, sf):
-    texts = written(_rated_texts(spark, sf), "rated-texts")
-    return rn.carry_ratings(texts, "doc_id", "text_hash", "verdict").select(
+    return rn.carry_ratings(_rated_texts(spark, sf), "doc_id", "text_hash", "verdict").select(
         "doc_id", "text_hash", "carried_verdict")
 
 
@@ -180,10 +179,10 @@ _COST = "(ceil(n_chars / 4.0) * price_in + ceil(n_chars / 16.0) * price_out) / 1
 
 
 @query(f"""WITH prices AS ({PRICES})
-SELECT source AS run_id, count(*) AS n, sum(ceil(n_chars / 4.0))::BIGINT AS input_tokens,
+SELECT source AS run_id, count(*) AS n, count(*) FILTER (WHERE price_in IS NULL) AS n_unpriced, sum(ceil(n_chars / 4.0))::BIGINT AS input_tokens,
   sum(ceil(n_chars / 16.0))::BIGINT AS output_tokens, round(sum({_COST}), 6) AS cost,
   round(avg({_COST}), 6) AS cost_per_row
-FROM documents JOIN prices USING (lang) GROUP BY source""")
+FROM documents LEFT JOIN prices USING (lang) GROUP BY source""")
 def cost_by_run(spark, sf):
     usage = src.documents(spark, sf).select(
         F.col("source").alias("run_id"), "lang",
@@ -216,6 +215,28 @@ def csv_roundtrip(spark, sf):
         "p_size INT, p_retailprice DOUBLE")
 
 
+@query("SELECT event_id, event_type, ts::TIMESTAMP AS ts, value FROM events")
+def csv_timestamps(spark, sf):
+    """Timestamps to the microsecond through CSV."""
+    events = readers.read_table(spark, sf, "events").select(
+        "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    path = shared_folder(spark, "csv")
+    writers.write_csv(events, path)
+    back = readers.read_csv(spark, path, "event_id BIGINT, event_type STRING, ts TIMESTAMP, value DOUBLE")
+    return back.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("SELECT item_id, md5(text || chr(10)) AS text_md5, length(text) + 1 AS chars FROM benchmark")
+def whole_text_scan(spark, sf):
+    """Each text as a file of its own, read back whole."""
+    path = shared_folder(spark, "texts")
+    readers.read_table(spark, sf, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    found = readers.read_documents(spark, f"{path}/*/*.txt")
+    return found.select(
+        F.regexp_extract("path", "item_id=([0-9]+)/", 1).cast("bigint").alias("item_id"),
+        F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("chars"))
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def jsonl_roundtrip(spark, sf):
     """Texts with newlines and accents through JSON lines."""
@@ -225,20 +246,34 @@ def jsonl_roundtrip(spark, sf):
     return readers.read_jsonl(spark, path, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
 
 
+# runs named by digits, some with a leading zero: 7 and 07 are different runs
+_DIGITS = "regexp_replace(run_id, '[a-z]+', '')"
+_NAMED = f"CASE WHEN doc_id % 2 = 0 THEN '0' || {_DIGITS} ELSE {_DIGITS} END"
+
+
 @query(f"""WITH {src.GATED_SQL}
-SELECT run_id, doc_id, {', '.join(JUDGED)}, judge_final_score FROM gated""")
+SELECT {_NAMED} AS run_id, doc_id, {', '.join(JUDGED)}, judge_final_score FROM gated""")
 def run_sheet_versions(spark, sf):
     """Judge a sheet read from version 1 and write it as version 2 of the same folder."""
     folder = shared_folder(spark, "sheets")
-    writers.write_run_sheets(src.full_sheet(spark, sf), folder, "1")
-    first = readers.read_run_sheets(spark, folder, version="1")
+    writers.write_run_sheets(src.full_sheet(spark, sf).withColumn("run_id", F.expr(_NAMED)), folder, "01")
+    first = readers.read_run_sheets(spark, folder, version="01")
     judged = gate(first, src.JUDGE, "latency_ms", failed=F.col("event_type") == "error")
     writers.write_run_sheets(
-        judged.select("run_id", "doc_id", *JUDGED, "judge_final_score"), folder, "2")
-    return readers.read_run_sheets(spark, folder, version="2").select(
+        judged.select("run_id", "doc_id", *JUDGED, "judge_final_score"), folder, "02")
+    return readers.read_run_sheets(spark, folder).select(
         "run_id", "doc_id", *JUDGED, "judge_final_score")
 
 
+@query(f"""WITH {src.SHEET_SQL}
+SELECT {_NAMED} AS run_id, doc_id, judge_fluency FROM sheet WHERE {_NAMED} = '07'""")
+def single_run_sheet(spark, sf):
+    """One stored run, read by its id."""
+    folder = shared_folder(spark, "sheets")
+    writers.write_run_sheets(src.judged_sheet(spark, sf).withColumn("run_id", F.expr(_NAMED)), folder, "1")
+    return readers.read_run_sheets(spark, folder, run_id="07").select("run_id", "doc_id", "judge_fluency")
+
+
 @query("""SELECT source AS run_id, count(*) AS saved_rows, count(l.doc_id) AS rated_rows
 FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source""")
 def row_totals(spark, sf):

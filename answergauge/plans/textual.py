@@ -46,7 +46,7 @@ _BOT_SQL = f"""{GOLDEN_SQL}, bot AS (
     WHEN 'new' THEN expected_answer || ' For example 70-100 mg.'
     ELSE expected_answer END AS answer FROM golden),
 found AS (SELECT *, list_distinct(list_transform(
-    regexp_extract_all(answer, '[0-9]+(\\.[0-9]+)?'), lambda x: x::DOUBLE)) AS nums FROM bot)"""
+    regexp_extract_all(regexp_replace(answer, '([0-9A-Za-z])-', '\\1 ', 'g'), '-?[0-9]+(\\.[0-9]+)?'), lambda x: x::DOUBLE)) AS nums FROM bot)"""
 
 
 @query(f"""WITH {_BOT_SQL} SELECT part_id, category, answer, list_contains(nums, size) AS value_present

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # The column types of the lab fact table, its range dimension and
 # the question set, and the text form of a collection time.
@@ -14,17 +15,24 @@ SAMPLES = (
 )
 RANGES = "test_name STRING, unit STRING, reference_low DOUBLE, reference_high DOUBLE"
 QUESTIONS = "question STRING, expected_answer STRING, expected_sample_id STRING, category STRING"
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm"
+LAB_TIME = "yyyy-MM-dd HH:mm"
+FULL_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"  # keeps a timestamp whole
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
-    """CSV with a header; quotes are doubled, an unreadable cell fails the job."""
-    settings = {"header": "true", "escape": '"', "mode": "FAILFAST",
-                "timestampFormat": TIMESTAMP_FORMAT, **options}
+def read_csv(
+    spark: SparkSession, path: str, schema: str, timestamp_format: str = FULL_TIME,
+    multi_line: bool = False, **options: str,
+) -> DataFrame:
+    """CSV with a header; quotes are doubled, an unreadable cell fails the job.
+
+    ``multi_line`` reads cells with line breaks; a file is then one task.
+    """
+    settings = {"header": "true", "escape": '"', "mode": "FAILFAST", "multiLine": str(multi_line).lower(),
+                "timestampFormat": timestamp_format, **options}
     return spark.read.schema(schema).options(**settings).csv(path)
 
 
@@ -46,11 +54,16 @@ def read_run_sheets(
 
     Version and run are partition folders, so other runs and versions are not
     scanned, and versions may have different columns. Without ``version`` the
-    greatest one is taken; finding it reads folder names and row counts only.
+    greatest one is taken (as a number where it is one); finding it reads folder
+    names and row counts only. Versions and run ids are texts: ``007`` and ``7``
+    are two runs.
     """
     if version is None:
-        version = str(spark.read.parquet(folder).agg(F.max("version")).first()[0])
+        named = spark.read.schema("version STRING").parquet(folder).select("version").distinct()
+        number = F.col("version").try_cast("bigint")
+        version = named.orderBy(F.desc_nulls_last(number), F.desc("version")).first()[0]
     path = f"{folder}/version={version}"
-    sheets = spark.read.option("basePath", path).parquet(path)
-    sheets = sheets.withColumn("run_id", F.col("run_id").cast("string"))
+    found = spark.read.option("basePath", path).parquet(path).schema
+    schema = StructType([StructField(f.name, StringType()) if f.name == "run_id" else f for f in found])
+    sheets = spark.read.schema(schema).option("basePath", path).parquet(path)
     return sheets if run_id is None else sheets.where(F.col("run_id") == run_id)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from answergauge.sources.readers import TIMESTAMP_FORMAT
+from answergauge.sources.readers import FULL_TIME
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, timestamp_format: str = FULL_TIME) -> None:
     """CSV with a header in every part file, quotes doubled, no blanks trimmed."""
     df.write.options(
-        header="true", escape='"', timestampFormat=TIMESTAMP_FORMAT,
+        header="true", escape='"', timestampFormat=timestamp_format,
         ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
 

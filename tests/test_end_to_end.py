@@ -41,7 +41,7 @@ def lab(spark, tmp_path_factory):
         for q in QUESTIONS))
     ordered = source_order(readers.read_jsonl(spark, str(folder / "questions.jsonl")))
     return {
-        "facts": readers.read_csv(spark, str(folder / "samples.csv"), readers.SAMPLES),
+        "facts": readers.read_csv(spark, str(folder / "samples.csv"), readers.SAMPLES, readers.LAB_TIME),
         "ranges": readers.read_csv(spark, str(folder / "ranges.csv"), readers.RANGES),
         "rules": readers.read_documents(spark, str(folder / "rules.md")).select("text"),
         "questions": number_rows(ordered.withColumn("run_id", F.lit(RUN)), "run_id", "position").drop("position"),
@@ -50,18 +50,16 @@ def lab(spark, tmp_path_factory):
 
 def test_requests(lab):
     asked = rt.with_ids(lab["questions"], "question", r"S-\d{5}", "expected_sample_id")
-    ranges = rt.reference_block(
-        lab["ranges"], ["test_name", "unit", "reference_low", "reference_high"], "test_name")
     columns = ["sample_id", "test_name", "result_value", "technician"]
     rows = {r.row_no: r for r in rt.build_requests(
-        asked, "row_no", "question", lab["facts"], "sample_id", columns, ranges,
-        rt.text_block(lab["rules"], "text"),
+        asked, "row_no", "question", lab["facts"], "sample_id", columns, "RANGES", "CORPUS",
         extra=[("Category", "category")]).collect()}
     assert [rows[i].context_ref for i in (1, 2, 3, 4)] == ["IDS", "IDS", "IDS", "ALL"]
     assert 'S-20002,Sodium,150.25,"C, D"' in rows[2].request and "S-20001" not in rows[2].request
-    assert "Glucose,mg/dL,70.0,100.0\nSodium" in rows[1].request
     assert rows[4].request.endswith("Category: status_reasoning\nQuestion: Which samples failed?")
-    assert all("## Status\n1. Inside the range is Pass." in r.request for r in rows.values())
+    assert all("see blocks: CORPUS" in r.request for r in rows.values())
+    shared = rt.text_blocks(lab["rules"], [], "text").collect()
+    assert [r.block for r in shared] == ["# Rules\n\n## Status\n1. Inside the range is Pass.\n"]
 
 
 def _judge_reply(**verdicts):

@@ -53,3 +53,18 @@ def test_samples_are_exact_and_repeatable(spark):
     assert sample_exact(df.limit(3), "id", 40, "s").count() == 3
     weeks = weekly_sample(df, "ts", "id", 10, "s").groupBy("week").count().collect()
     assert len(weeks) == 3 and all(r["count"] == 10 for r in weeks)
+
+
+@pytest.mark.parametrize("n", [3, 1001, 5000])
+def test_first_rows_of_any_number(spark, n):
+    rows = spark.range(12_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("g"), "id")
+    cut = first_rows(rows, "g", [F.desc("id")], n)
+    got = {}
+    for r in cut.collect():
+        got.setdefault(r.g, []).append((r.row_no, r.id))
+    for g, found in got.items():
+        ids = sorted((r.id for r in rows.collect() if r.g == g), reverse=True)[:n]
+        assert sorted(found) == list(enumerate(ids, 1))
+    # a rank filter below the shuffle by group alone
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [row_number()") >= 2

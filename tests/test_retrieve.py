@@ -43,29 +43,25 @@ def test_retrieve_keeps_fall_back_as_one_row(questions, facts):
 
 
 def test_requests(spark, questions, facts):
-    ranges = spark.createDataFrame([("B", 2.0), ("A", 1.0)], "test_name string, low double")
-    block = rt.reference_block(ranges, ["test_name", "low"], "test_name")
-    rules = spark.createDataFrame([("1. Rule.",)], "text string")
-    corpus = rt.text_block(rules, "text")
-    with pytest.raises(Exception, match="exceeds 3 characters"):
-        rt.text_block(rules, "text", max_chars=3).collect()
     rows = {r.qid: r.request for r in rt.build_requests(
         rt.with_ids(questions, "question", PATTERN, "expected"), "qid", "question", facts, "sample_id",
-        ["sample_id", "test_name", "result_value"], block, corpus, extra=[("Expected", "expected")]).collect()}
+        ["sample_id", "test_name", "result_value"], "RANGES", "CORPUS", extra=[("Expected", "expected")]).collect()}
     assert len(rows) == 4
     assert rows[3] == (
         "## Facts\nsample_id,test_name,result_value\nS-10002,\"Sodium, total\",150.0\nS-10003,Glucose,70.0\n"
-        "## Reference ranges\ntest_name,low\nA,1.0\nB,2.0\n## Procedures\n1. Rule.\n"
+        "## Reference ranges\nsee blocks: RANGES\n## Procedures\nsee blocks: CORPUS\n"
         "Expected: S-10003\nQuestion: Is S-100023 fine?")
     assert "see blocks: ALL" in rows[2]
     assert rows[4].startswith("## Facts\nsample_id,test_name,result_value\n## Reference")
 
 
-def test_reference_block_is_bounded(spark):
-    dim = spark.range(20).select(F.col("id"))
-    assert rt.reference_block(dim, ["id"], "id", max_rows=20).first().block.count("\n") == 20
-    with pytest.raises(Exception, match="exceeds 19 rows"):
-        rt.reference_block(dim, ["id"], "id", max_rows=19).collect()
+def test_corpus_blocks_are_whole(spark):
+    rules = spark.createDataFrame([("a", "1. Rule. " * 50), ("b", "x"), ("c", ""), ("d", None)], "path string, text string")
+    parts = {}
+    for r in rt.text_blocks(rules, ["path"], "text", span=7).orderBy("path", "block_no").collect():
+        assert len(r.block) <= 7
+        parts[r.path] = parts.get(r.path, "") + r.block
+    assert parts == {"a": "1. Rule. " * 50, "b": "x", "c": ""}
 
 
 def test_blocks_cover_all_facts(spark):
@@ -87,6 +83,9 @@ def test_status_rate_and_audit(spark, facts):
     audit = rg.status_audit(stored, "stored").collect()
     assert sorted(r.sample_id for r in audit) == ["S-10002", "S-10003"]
     rate = {r.test_name: (r.n, r.n_oos, r.oos_rate) for r in rg.out_of_range_rate(ranged, ["test_name"]).collect()}
+    lost = rg.with_range_status(plain, dim.where("test_name = 'Glucose'"), "test_name", "result_value")
+    assert {r.test_name: (r.n, r.n_no_range, r.oos_rate) for r in rg.out_of_range_rate(lost, ["test_name"]).collect()} == {
+        "Glucose": (2, 0, 0.0), "Sodium, total": (1, 1, None)}
     assert rate == {"Glucose": (2, 0, 0.0), "Sodium, total": (1, 1, 1.0)}
 
 

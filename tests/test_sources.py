@@ -15,10 +15,10 @@ def test_samples_csv_round_trip(spark, tmp_path):
         ("S-10002", "pH", 12.5, "pH", 6.8, 7.4, "OOS", None, " spaced ", datetime(2026, 7, 20, 15, 0), "B-2"),
     ]
     df = spark.createDataFrame(rows, readers.SAMPLES)
-    writers.write_csv(df, str(tmp_path / "csv"))
+    writers.write_csv(df, str(tmp_path / "csv"), readers.LAB_TIME)
     text = "".join(open(f, encoding="utf-8").read() for f in glob.glob(str(tmp_path / "csv/part-*")))
     assert '"ד. ""כהן"""' in text and "2026-01-02 05:00" in text
-    back = readers.read_csv(spark, str(tmp_path / "csv"), readers.SAMPLES)
+    back = readers.read_csv(spark, str(tmp_path / "csv"), readers.SAMPLES, readers.LAB_TIME)
     assert sorted(map(tuple, back.collect())) == sorted(rows)
 
 
@@ -87,9 +87,26 @@ class _Session:
 
 
 def test_no_machine_local_folder_on_a_cluster():
-    local = _Session(**{"spark.master": "local[2]"})
-    assert "answergauge-" in shared_folder(local, "x")
+    local = _Session(**{"spark.master": "local[2]", "spark.sql.warehouse.dir": "/data/warehouse"})
+    assert shared_folder(local, "x").startswith("/data/warehouse/x-")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(_Session(**{"spark.master": "yarn"}), "x")
     cluster = _Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///shared/"})
     assert shared_folder(cluster, "x").startswith("hdfs:///shared/x-")
+
+
+def test_csv_cells_with_line_breaks_and_seconds(spark, tmp_path):
+    rows = [(1, "a\nb", datetime(2026, 1, 2, 3, 4, 55, 123456)), (2, None, None)]
+    schema = "id int, note string, at timestamp"
+    writers.write_csv(spark.createDataFrame(rows, schema), str(tmp_path / "csv"))
+    assert sorted(map(tuple, readers.read_csv(spark, str(tmp_path / "csv"), schema, multi_line=True).collect())) == rows
+
+
+def test_run_ids_and_versions_come_back_as_written(spark, tmp_path):
+    folder = str(tmp_path / "sheets")
+    for version in ("01", "9", "10"):
+        sheet = spark.createDataFrame([("007", version), ("7", version)], "run_id string, v string")
+        writers.write_run_sheets(sheet, folder, version)
+    rows = readers.read_run_sheets(spark, folder).collect()
+    assert sorted((r.run_id, r.v) for r in rows) == [("007", "10"), ("7", "10")]
+    assert readers.read_run_sheets(spark, folder, run_id="007", version="01").first().v == "01"
