@@ -31,6 +31,14 @@ def input_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def keep_where(docs: DataFrame, text_col: str, test: Callable[[list[str]], list[bool]]) -> DataFrame:
     """The rows of ``docs``, all columns, whose text passes ``test``; a null text is tested as an empty one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.base import components, input_rows, stored
+from answergauge.llm.base import components, input_rows, spare_name, stored
 
 THRESHOLD = 2
 MIN_CHARS = 20
@@ -97,13 +97,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A document that loses all its lines stays with an empty text; a null text stays null.
     """
+    row, taken = spare_name(docs, "_row"), spare_name(docs, "_gone")
     gone = join_lines(docs, id_col, text_col, threshold, min_chars).where(~F.col("kept")).groupBy(
-        F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
+        F.col("row").alias(row)).agg(F.collect_set("line_no").alias(taken))
     text = F.col(text_col)
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_gone", i.cast("long"))), "\n")
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(text, F.lit(""))))
-    return keyed.join(gone, "_row", "left").withColumn(
-        text_col, F.when(F.col("_gone").isNull() | text.isNull(), text).otherwise(left)).drop("_row", "_gone")
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(taken, i.cast("long"))), "\n")
+    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(text, F.lit(""))))
+    return keyed.join(gone, row, "left").withColumn(
+        text_col, F.when(F.col(taken).isNull() | text.isNull(), text).otherwise(left)).select(*docs.columns)
 
 
 def line_links(docs: DataFrame, id_col: str, text_col: str, threshold: int, min_chars: int) -> DataFrame:

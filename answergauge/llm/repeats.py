@@ -47,7 +47,7 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100,
-                   with_text: bool = False) -> DataFrame:
+                   with_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left): one row per input row.
 
     Removed is every byte of a ``length``-byte string that also starts earlier:
@@ -63,7 +63,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     answers = stored(
         dealt.groupBy("block").applyInArrow(lambda t: _ask(t, length, buckets), _ddl(_ASKED))
-        .groupBy("bucket").applyInArrow(_answer, _ddl(_ANSWERED)), "repeats-anchors")
+        .groupBy("bucket").applyInArrow(lambda t: _answer(t, hot), _ddl(_ANSWERED)), "repeats-anchors")
     sent = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         lambda t, a: _send(t, a, length, buckets, shards), _ddl(_SENT))
     marks = stored(sent.groupBy("kind", "shard").applyInArrow(lambda t: _settle(t, length), _ddl(_MARKS)), "repeats-marks")
@@ -142,13 +142,13 @@ def _ask(table: pa.Table, length: int, buckets: int) -> pa.Table:
     return arrow_table(out, _ASKED)
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(table: pa.Table, hot: int) -> pa.Table:
     """For each distinct anchor of each block: 0 occurs once, 1 repeats, 2 is hot."""
     keys = [np.cumsum(unpacked(k.as_py()), dtype=np.uint64) for k in table.column("keys")]
     times = np.concatenate([unpacked(t.as_py()) for t in table.column("times")])
     merged, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(place, weights=times.astype(float), minlength=len(merged))
-    codes = ((total > 1).astype(np.uint8) + (total > HOT))[place]
+    codes = ((total > 1).astype(np.uint8) + (total > hot))[place]
     out, at, bucket = [], 0, table.column("bucket")[0].as_py()
     for block, own in zip(table.column("block").to_pylist(), keys):
         out.append((bucket, block, codes[at:at + len(own)].tobytes()))

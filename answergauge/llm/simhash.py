@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.base import components, forest, input_rows, lower_words, stored
+from answergauge.llm.base import components, forest, input_rows, lower_words, spare_name, stored
 
 BITS = 64
 RANGE_BITS = 2  # bits flipped by a range reference
@@ -102,9 +102,10 @@ def keep_one(
     text; of rows that repeat id and text one stays."""
     fps = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-fps")
     named = _grouped(fps, max_bits, task_rows)
-    kept = named.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    row = spare_name(docs, "_row")
+    kept = named.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
+    return keyed.join(kept, row, "left_semi").dropDuplicates([row]).drop(row)
 
 
 def _grouped(fps: DataFrame, max_bits: int, task_rows: int) -> DataFrame:
@@ -118,7 +119,8 @@ def _grouped(fps: DataFrame, max_bits: int, task_rows: int) -> DataFrame:
 
 
 def links(distinct: DataFrame, max_bits: int = 4, task_rows: int = 4096) -> DataFrame:
-    """Links (a, b) that span the same components as all pairs of ``fp`` within ``max_bits``.
+    """Links (a, b) that span the same components as all pairs of ``fp`` within ``max_bits``: a task reports a
+    fingerprint with the first one it reaches there, not each pair.
 
     A cell of more than ``task_rows`` fingerprints is dealt into blocks, and each
     pair of blocks is a task's share of its own.
