@@ -17,6 +17,7 @@ more never leave the join.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,31 +30,59 @@ from answergauge.llm.base import components, input_rows, spare_name, stored
 THRESHOLD = 2
 MIN_CHARS = 20
 CELLS = 4_000_000  # characters compared at a time in a task
+SIEVE_BITS = 1 << 25
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return input_rows(docs, id_col, text_col).withColumn("row", F.xxhash64("id", "text"))
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, row (hash of id and text), line_no (from 0), line (64-bit hash of the text), chars (and the text)."""
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row (hash of id and text), line_no (from 0), line (64-bit hash of the text), chars."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
 
         for batch in batches:
-            for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "text"))):
-                parts = text.split("\n")
-                n = len(parts)
-                hashes = np.fromiter((digest(p.encode()) for p in parts), np.uint64, n).view(np.int64)
-                arrays = [pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, row)), pa.array(np.arange(n)),
-                          pa.array(hashes), pa.array([len(p) for p in parts], pa.int64())]
-                names = ["doc_id", "row", "line_no", "line", "chars"]
-                if with_text:
-                    arrays, names = [*arrays, pa.array(parts, pa.string())], [*names, "text"]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+            parts = [t.split("\n") for t in batch.column("text").to_pylist()]
+            times = np.fromiter(map(len, parts), np.int64, len(parts))
+            every = list(itertools.chain.from_iterable(parts))
+            whole = np.repeat(np.arange(len(parts)), times)
+            place = np.arange(len(every)) - np.repeat(np.cumsum(times) - times, times)
+            hashes = np.fromiter((digest(p.encode()) for p in every), np.uint64, len(every)).view(np.int64)
+            chars = np.fromiter(map(len, every), np.int64, len(every))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(whole)), batch.column("row").take(pa.array(whole)), pa.array(place),
+                 pa.array(hashes), pa.array(chars)], ["doc_id", "row", "line_no", "line", "chars"])
+
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, row long, line_no long, line long, chars long")
+
+
+def _wanted_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(line, text) of the lines in ``wanted``: a bitmap of fixed size keeps most other lines out of the shuffle."""
+    at = F.pmod("line", F.lit(SIEVE_BITS)) + 1  # bitmaps count from 1
+    found = wanted.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)))
+    sieve = np.zeros(SIEVE_BITS // 8, np.uint8)
+    for k, part in found.collect():  # parts of 4096 bytes
+        sieve[(k - 1) * 4096:k * 4096] |= np.frombuffer(part, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(sieve.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest as digest
+
+        bits, seen = np.frombuffer(shared.value, np.uint8), set()
+        for batch in batches:
+            every = [p for t in batch.column("text").to_pylist() for p in t.split("\n")]
+            hashes = np.fromiter((digest(p.encode()) for p in every), np.uint64, len(every)).view(np.int64)
+            number = hashes % SIEVE_BITS
+            keep = np.flatnonzero(bits[number >> 3] >> (number & 7).astype(np.uint8) & 1)
+            if len(seen) > 500_000:
+                seen.clear()
+            new = [i for i in keep.tolist() if not (hashes[i] in seen or seen.add(hashes[i]))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes[new]), pa.array([every[i] for i in new], pa.string())], ["line", "text"])
 
-    schema = "doc_id long, row long, line_no long, line long, chars long" + (", text string" if with_text else "")
-    return _rows(docs, id_col, text_col).mapInArrow(run, schema)
+    kept = _rows(docs, id_col, text_col).mapInArrow(run, "line long, text string")
+    return kept.join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text"))
 
 
 def join_lines(
@@ -119,9 +148,7 @@ def line_links(docs: DataFrame, id_col: str, text_col: str, threshold: int, min_
         .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("m").bitwiseXOR(F.col("marks"))) <= 2 * threshold))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edit-join-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    texts = stored(
-        lines(docs, id_col, text_col, with_text=True).where(F.col("chars") >= min_chars).select("line", "text")
-        .join(wanted, "line", "left_semi").groupBy("line").agg(F.min("text").alias("text")), "edit-join-texts")
+    texts = stored(_wanted_texts(docs, id_col, text_col, wanted), "edit-join-texts")
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("s")), "a").join(
         texts.select(F.col("line").alias("b"), F.col("text").alias("t")), "b")
     return both.select("a", "b", "s", "t").mapInArrow(_verifier(threshold), "a long, b long, edits int")
@@ -153,12 +180,15 @@ def probes(length: int, threshold: int, min_chars: int) -> list[tuple[int, int,
     return out
 
 
-def _marks(line: bytes) -> int:
-    """Parities of the counts of 32 kinds of characters, told apart by their first byte."""
-    counts = np.bincount(np.frombuffer(line, np.uint8), minlength=256)
-    counts[128:192] = 0  # further bytes of a character
-    odd = (counts.reshape(8, 32).sum(axis=0) & 1).astype(np.uint8)
-    return int.from_bytes(np.packbits(odd).tobytes(), "big")
+# one bit for each of 32 kinds of characters, told apart by their first byte; none for a character's further bytes
+_KINDS = np.where((np.arange(256) & 0xC0) == 0x80, 0, 1 << (np.arange(256) & 31)).astype(np.uint32)
+
+
+def _marks(raws: list[bytes]) -> np.ndarray:
+    """Parities of the counts of 32 kinds of characters in each (non-empty) line."""
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+    joined = np.frombuffer(b"".join(raws), np.uint8)
+    return np.bitwise_xor.reduceat(_KINDS[joined], np.cumsum(sizes) - sizes).astype(np.int64) if len(raws) else np.empty(0, np.int64)
 
 
 def _segments(threshold: int, min_chars: int, probe: bool):
@@ -168,7 +198,7 @@ def _segments(threshold: int, min_chars: int, probe: bool):
         plans: dict[int, list] = {}
         seen: set[int] = set()
         for batch in batches:
-            keys, names, marks, times = [], [], [], []
+            keys, names, raws, times = [], [], [], []
             for text in batch.column("text").to_pylist():
                 for line in text.split("\n"):
                     n = len(line)
@@ -189,12 +219,12 @@ def _segments(threshold: int, min_chars: int, probe: bool):
                     else:
                         keys += [digest(line[at:at + k].encode(), o * 64 + i) for o, i, at, k in plans[n]]
                     names.append(name)
-                    marks.append(_marks(raw))
+                    raws.append(raw)
                     times.append(len(plans[n]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(keys, np.uint64).view(np.int64)),
                  pa.array(np.repeat(np.array(names, np.uint64), times).view(np.int64)),
-                 pa.array(np.repeat(np.array(marks, np.int64), times))], ["key", "line", "marks"])
+                 pa.array(np.repeat(_marks(raws), times))], ["key", "line", "marks"])
 
     return run
 
