@@ -9,6 +9,7 @@ plain arithmetic, and it is cut wherever a multiple of the window falls.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +23,9 @@ from answergauge.llm.base import input_rows, stored
 
 _WORKER: dict[str, tuple] = {}  # per Python worker: tokenizer, id width, its cache
 _PUNCTUATION = b".,!?;:|#$%&*"
+# the byte-level alphabet by its rule: bytes without a visible character of their own take those from 256 on, in order
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, padded_length long")
 
@@ -129,12 +133,20 @@ def _learn(words: list[bytes], model, wide: bool, cache: dict) -> None:
     """Encode words into the cache; a letter or digit and the punctuation after it never share a token."""
     split = {}
     for w in words:
-        core = w.rstrip(_PUNCTUATION)
-        if len(core) < len(w) and core[-1:].isalnum() and b"|" not in core:
-            split[w] = core, w[len(core):]
+        stem = w.rstrip(_PUNCTUATION)
+        if len(stem) < len(w) and stem[-1:].isalnum() and b"|" not in stem:
+            split[w] = stem, w[len(stem):]
     parts = dict.fromkeys(x for w in words for x in split.get(w, (w,)))
-    new = [p for p in parts if p not in cache]
-    for p, e in zip(new, model.encode_batch([p.decode() for p in new], add_special_tokens=False)):
-        cache[p] = np.array(e.ids, "<u4" if wide else "<u2").tobytes()
-    for w, (core, rest) in split.items():
-        cache[w] = cache[core] + cache[rest]
+    kind, core, rest = "<u4" if wide else "<u2", model.model, []
+    for p in parts:
+        if p not in cache:
+            word = p.decode()
+            # a word of small letters only is one pre-token and goes to the merges as it is
+            if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):
+                cache[p] = np.array([t.id for t in core.tokenize(p.decode("latin-1").translate(_BYTES))], kind).tobytes()
+            else:
+                rest.append(p)
+    for p, e in zip(rest, model.encode_batch([p.decode() for p in rest], add_special_tokens=False)):
+        cache[p] = np.array(e.ids, kind).tobytes()
+    for w, (stem, end) in split.items():
+        cache[w] = cache[stem] + cache[end]
