@@ -98,14 +98,18 @@ def disagreement_direction(spark, sf):
 
 
 @query(f"""WITH {src.PAIRS_SQL}
-SELECT criterion, c.run_id, c.doc_id, human, judge, left(text, 200) AS answer_preview
+SELECT criterion, c.run_id, c.doc_id, human, judge, left(text, 200) AS answer_preview,
+  string_split(text, chr(10))[1] AS question, judge || ' for ' || criterion AS judge_explanation
 FROM comparable c JOIN documents d USING (doc_id) WHERE human <> judge
 ORDER BY criterion, run_id, doc_id""")
 def disagreement_report(spark, sf):
     answers = src.documents(spark, sf).select(
-        "doc_id", tx.preview(F.col("text"), 200).alias("answer_preview"))
-    report = ag.disagreement_report(_pairs(spark, sf), answers, ["doc_id"], ["run_id", "doc_id"])
-    return report.select("criterion", "run_id", "doc_id", "human", "judge", "answer_preview")
+        "doc_id", tx.preview(F.col("text"), 200).alias("answer_preview"),
+        F.element_at(F.split("text", "\n", 2), 1).alias("question"))
+    explained = _pairs(spark, sf).withColumn("judge_explanation", F.concat_ws(" for ", "judge", "criterion"))
+    report = ag.disagreement_report(explained, answers, ["doc_id"], ["run_id", "doc_id"])
+    return report.select("criterion", "run_id", "doc_id", "human", "judge", "answer_preview", "question",
+        "judge_explanation")
 
 
 @query(f"""WITH {src.PAIRS_SQL}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from answergauge.functions.verdicts import CRITERIA
 from answergauge.operators import replies as rp
+from answergauge.operators.gate import upsert
 from answergauge.plans import inputs as src
 from answergauge.plans.registry import collector
 from answergauge.sources.readers import read_table
@@ -191,6 +192,25 @@ def gate_from_replies(spark, sf):
         "run_id", "doc_id", "judge_latency_verdict", "judge_final_score")
 
 
+_EXPLAINED = [x for c in CRITERIA for x in (f"judge_{c}_verdict", f"judge_{c}_explanation")]
+
+
+@query(f"""WITH {_VERDICTS_SQL}
+SELECT d.source AS run_id, d.doc_id, {', '.join(
+  f"CASE WHEN p.doc_id IS NULL THEN NULL WHEN reason IS NULL THEN human_{c} ELSE 'ERROR' END AS judge_{c}_verdict,"
+  f" CASE WHEN p.doc_id IS NULL THEN NULL ELSE coalesce(reason, 'because ' || category) END AS judge_{c}_explanation"
+  for c in CRITERIA)}
+FROM documents d LEFT JOIN parsed p USING (doc_id)""")
+def full_run_explained(spark, sf):
+    """A full run: verdicts and explanations, those of failed replies included, replace what the sheet held."""
+    stale = src.documents(spark, sf).select(
+        F.col("source").alias("run_id"), "doc_id", F.lit("stale").alias(_EXPLAINED[0]))
+    replies = _raw_verdicts(spark, sf).withColumn("latency_ms", F.lit(0.0))
+    judged = rp.gate_replies(replies, "reply", "latency_ms").withColumns(
+        {f"judge_{c}_explanation": F.col(f"{c}_explanation") for c in CRITERIA})
+    return upsert(stale, judged, ["doc_id"], _EXPLAINED, mode="replace").select("run_id", "doc_id", *_EXPLAINED)
+
+
 def _cited(spark, sf):
     """Answers citing the last line of their document, right, altered, refused or not at all."""
     docs = src.documents(spark, sf)

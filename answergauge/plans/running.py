@@ -158,11 +158,19 @@ _TEXTS_SQL = f"""{src.HUMAN_SQL}, texts AS (
   FROM documents LEFT JOIN human USING (doc_id))"""
 
 
-@query(f"""WITH {_TEXTS_SQL} SELECT text_hash, 'grounding' AS criterion, count(*) AS n,
-  count(DISTINCT verdict) AS distinct_verdicts
-FROM texts WHERE verdict IN ('good', 'ok', 'bad') GROUP BY text_hash HAVING count(*) >= 2""")
+@query(f"""WITH {src.HUMAN_SQL}, texts AS (
+  SELECT sha256(text) AS text_hash, human.* FROM documents JOIN human USING (doc_id)),
+cells AS (""" + " UNION ALL ".join(
+    f"SELECT text_hash, '{c}' AS criterion, {src.sql_repair('human_' + c)} AS verdict FROM texts" for c in CRITERIA) + """)
+SELECT text_hash, criterion, count(*) AS n, count(DISTINCT verdict) AS distinct_verdicts
+FROM cells WHERE verdict IN ('good', 'ok', 'bad') GROUP BY ALL HAVING count(*) >= 2""")
 def rating_drift(spark, sf):
-    melted = _rated_texts(spark, sf).withColumn("criterion", F.lit("grounding"))
+    """Copies of a text and how differently they were rated, for every criterion."""
+    hashed = rn.with_text_hash(src.documents(spark, sf), ["doc_id"], "text")
+    ratings = src.human_ratings(spark, sf).withColumns(
+        {f"human_{c}": repair(F.col(f"human_{c}")) for c in CRITERIA})
+    melted = rn.melt(
+        hashed.join(ratings, "doc_id"), ["text_hash"], {c: f"human_{c}" for c in CRITERIA})
     return rn.rating_drift(melted, "text_hash", ["criterion"])
 
 
