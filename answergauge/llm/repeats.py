@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,7 +192,7 @@ def _send(table: pa.Table, answers: pa.Table, length: int, buckets: int, shards:
         for shard, items in groups.items():
             d, start, size, key, data = zip(*items)
             out.append((kind, shard % shards, block, ordinal[list(d)].tobytes(), packed(np.array(start)), packed(np.array(size)),
-                        packed(np.array(key, np.uint64)), b"".join(data)))
+                        packed(np.array(key, np.uint64)), zstandard.compress(b"".join(data))))
     if settled:
         d, start, end = zip(*settled)
         out.append((2, block, block, ordinal[list(d)].tobytes(), packed(np.array(start)), packed(np.array(end)), b"", b""))
@@ -209,7 +210,7 @@ def _settle(table: pa.Table, length: int) -> pa.Table:
     start, size, key = (np.concatenate([unpacked(x.as_py()) for x in table.column(n)]).astype(t) for n, t in (
         ("start", np.int64), ("size", np.int64), ("key", np.uint64)))
     owner = np.repeat(blocks, [len(x.as_py()) // 16 for x in table.column("doc")])
-    data = b"".join(table.column("data").to_pylist())
+    data = b"".join(map(zstandard.decompress, table.column("data").to_pylist()))
     order = np.lexsort((start, doc[:, 1], doc[:, 0]))  # earliest first
     if kind == 1:
         later = _later(np.frombuffer(data, np.uint64).reshape(-1, 2)[order])
