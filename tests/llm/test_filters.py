@@ -70,10 +70,10 @@ def test_search_against_brute_force(spark, leaky):
     for (d, i), r in got.items():
         part = latent_search.words(texts[d])[r.start_word:r.start_word + r.n_words]
         assert r.lcs == _lcs(own[i], part) and r.share == r.lcs / len(own[i])
-        assert r.share >= 0.8 or r.share >= 0.5 and r.answer
+        assert r.share >= 0.8 or r.share >= 0.6 and r.answer
     clean = {r.doc_id for r in latent_search.drop_leaked(df, benchmark).collect()}
     assert clean == {d for d, _ in docs} - {d for d, _ in got}
-    assert not {(d, i) for d, i in got if (d, i) not in planted and got[d, i].share < 0.5}
+    assert not {(d, i) for d, i in got if (d, i) not in planted and got[d, i].share < 0.6}
 
 
 def test_benchmark_in_blocks_and_answers(spark, monkeypatch, leaky):
