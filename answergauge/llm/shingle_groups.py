@@ -1,0 +1,165 @@
+"""Groups of texts with like sets of word shingles, for stages that go by similarity instead of differing bits.
+
+Texts with a Jaccard similarity of 0.8 differ in about ten of 64 SimHash bits, a
+radius at which pivot tables discard next to nothing. So texts meet by bands of
+min-hashes: one with the wanted similarity s shares a band of BAND_ROWS values
+with a chance of s ** BAND_ROWS, and misses all BANDS with one of 7 in 100,000
+at s = 0.8. One bit of each min-hash makes a sketch that drops most other pairs
+inside the join, and what is left is verified on the whole sets of shingles.
+
+Texts with equal sets are one node. A band that very many nodes share would give
+all their pairs, so nodes are first compared with one pivot of the band, for
+ROUNDS pivots; pairs that links already join are never compared.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from answergauge.llm.base import components, input_rows, lower_words, spare_name, stored
+
+SHINGLE, SIMILAR = 5, 0.8
+BANDS, BAND_ROWS = 24, 5
+ROUNDS = 3
+SIEVE_BITS = 1 << 25
+_MULTIPLIERS = np.random.default_rng(11).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Sorted hashes of the different word shingles; fewer words than a shingle are one, no words none."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    words = lower_words(text)
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    last = ends[shingle - 1:] if len(words) > shingle else ends[-1:]
+    first = np.concatenate(([0], ends[:-1] + 1))[:len(last)]
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(last)))
+
+
+def _signature(own: np.ndarray) -> tuple[list[int], int, int]:
+    """Band keys and the two halves of the sketch."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    low = np.full(len(_MULTIPLIERS), 2**64 - 1, np.uint64)
+    for k in range(0, len(own), 2048):
+        np.minimum(low, (own[k:k + 2048, None] * _MULTIPLIERS).min(axis=0), out=low)
+    keys = [digest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, BAND_ROWS))]
+    # a bit of a mixed value: the lowest bits of odd multiples of a number are those of the number
+    bits = np.packbits(((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8))
+    halves = np.frombuffer(bits.tobytes().ljust(16, b"\0"), np.int64)
+    return np.array(keys, np.uint64).view(np.int64).tolist(), int(halves[0]), int(halves[1])
+
+
+def _named(own: np.ndarray) -> int:
+    from xxhash import xxh3_64_intdigest as digest
+
+    return int(np.uint64(digest(own.tobytes())).astype(np.int64)) if len(own) else 0
+
+
+def _most_bits(similar: float) -> int:
+    """Sketch bits that pairs of that similarity may differ in: the mean and five deviations."""
+    n, p = BANDS * BAND_ROWS, (1 - similar) / 2
+    return int(n * p + 5 * (n * p * (1 - p)) ** 0.5) + 1
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their group by id (nulls last), then by a hash of the
+    text; of rows that repeat id and text one stays.
+
+    A group is what links reach, and two texts link if their sets of ``shingle``
+    words have a Jaccard similarity of ``similar`` or more. Texts without words
+    (null, empty, blank) are one group. An empty table gives an empty result.
+    """
+    rows = input_rows(docs, id_col, text_col).withColumn("row", F.xxhash64("id", "text"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
+            signs = [_signature(s) if len(s) else ([], 0, 0) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("row"), pa.array([_named(s) for s in sets], pa.int64()),
+                 pa.array([s[0] for s in signs], pa.list_(pa.int64())), pa.array([s[1] for s in signs], pa.int64()),
+                 pa.array([s[2] for s in signs], pa.int64())], ["id", "row", "node", "keys", "m1", "m2"])
+
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "row").alias("first")
+    signed = rows.mapInArrow(sign, "id long, row long, node long, keys array<long>, m1 long, m2 long")
+    nodes = stored(signed.select("node", first, "keys", "m1", "m2").groupBy("node").agg(
+        F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("keys", "m1", "m2")]), "shingle-nodes")
+    groups = components(_links(rows, nodes, shingle, similar), "shingle-groups").withColumnRenamed("component", "group")
+    row = spare_name(docs, "_row")
+    kept = nodes.select("node", "first").join(groups, "node", "left").groupBy(F.coalesce("group", "node")).agg(
+        F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    keyed = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
+    return keyed.join(kept, row, "left_semi").dropDuplicates([row]).drop(row)
+
+
+def _links(rows: DataFrame, nodes: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Links (a, b) of nodes that span the same components as all similar pairs that share a band."""
+    every = nodes.select("node", "m1", "m2", F.explode("keys").alias("key"))
+    common = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = stored(every.join(common, "key", "left_semi"), "shingle-bands")
+    sets = stored(_wanted_sets(rows, met.select("node").distinct().join(nodes.select("node", "first.row"), "node"), shingle),
+                  "shingle-sets")
+    close = F.bit_count(F.col("m1").bitwiseXOR(F.col("o1"))) + F.bit_count(F.col("m2").bitwiseXOR(F.col("o2"))) <= _most_bits(similar)
+    pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+    links, at = None, met.withColumn("group", F.col("node"))
+    for k in range(ROUNDS + 1):
+        spread = at.groupBy("key").agg(
+            F.min("group").alias("low"), F.max("group").alias("high"),
+            F.min(F.struct(F.xxhash64(F.lit(k), "node"), F.col("node").alias("other"), F.col("group").alias("other_group"),
+                           F.col("m1").alias("o1"), F.col("m2").alias("o2"))).alias("pivot")).where("low < high")
+        if k < ROUNDS:
+            pairs = at.join(spread.select("key", "pivot.other", "pivot.other_group", "pivot.o1", "pivot.o2"), "key")
+        else:
+            rest = at.join(spread.select("key"), "key", "left_semi")
+            pairs = rest.join(rest.select("key", F.col("node").alias("other"), F.col("group").alias("other_group"),
+                                          F.col("m1").alias("o1"), F.col("m2").alias("o2")), "key").where("node < other")
+        pairs = pairs.where((F.col("group") != F.col("other_group")) & close).select(*pair).distinct()
+        new = _verified(pairs, sets, similar)
+        links = stored(new if links is None else links.unionByName(new).distinct(), "shingle-links")
+        if k < ROUNDS:
+            groups = components(links, "shingle-joined").withColumnRenamed("component", "found")
+            at = stored(met.join(groups, "node", "left").select(
+                "node", "m1", "m2", "key", F.coalesce("found", "node").alias("group")), "shingle-bands")
+    return links
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("s")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("own").alias("t")), "b")
+    shared: Column = F.size(F.array_intersect("s", "t"))
+    return both.withColumn("shared", shared).where(
+        F.col("shared") >= similar * (F.size("s") + F.size("t") - F.col("shared")) - 1e-9).select("a", "b")
+
+
+def _wanted_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, own) of the wanted nodes; a bitmap of fixed size keeps most other texts from being cut again."""
+    at = F.pmod("row", F.lit(SIEVE_BITS)) + 1  # bitmaps count from 1
+    found = wanted.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)))
+    sieve = np.zeros(SIEVE_BITS // 8, np.uint8)
+    for k, part in found.collect():  # parts of 4096 bytes
+        sieve[(k - 1) * 4096:k * 4096] |= np.frombuffer(part, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(sieve.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            number = batch.column("row").to_numpy() % SIEVE_BITS
+            keep = np.flatnonzero(bits[number >> 3] >> (number & 7).astype(np.uint8) & 1)
+            sets = [shingle_set(batch.column("text")[i].as_py(), shingle) for i in keep.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(pa.array(keep)), pa.array([_named(s) for s in sets], pa.int64()),
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["row", "node", "own"])
+
+    kept = rows.mapInArrow(run, "row long, node long, own array<long>")
+    return kept.join(wanted.select("row"), "row", "left_semi").dropDuplicates(["node"]).select("node", "own")

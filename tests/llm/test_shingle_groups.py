@@ -1,0 +1,69 @@
+"""Groups by similarity of word shingles against all pairs."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from answergauge.llm import shingle_groups
+
+
+def _shingles(text, k=5):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def _kept(docs, similar=0.8):
+    """Smallest id of each group of texts that similar pairs join."""
+    sets = {i: _shingles(t) for i, t in docs}
+    low = {i: i for i in sets}
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and (sets[i] == sets[j] or both >= similar * (len(sets[i]) + len(sets[j]) - both) and both):
+                low[max(root(i), root(j))] = min(root(i), root(j))
+    return {root(i) for i in sets}
+
+
+@pytest.fixture(scope="module")
+def like():
+    """Texts of 30 to 300 words with copies at similarities on both sides of 0.8, and chains of them."""
+    rng = random.Random(3)
+    docs = []
+    for _ in range(60):
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 300))]
+        for _ in range(rng.randint(1, 6)):
+            docs.append(" ".join(text))
+            text = list(text) if rng.random() < 0.5 else docs[-1].split()
+            for _ in range(max(1, int(len(text) * rng.choice([0.005, 0.01, 0.02, 0.05])))):
+                text[rng.randrange(len(text))] = f"w{rng.randrange(5000)}"
+    return [*enumerate(docs), (900, None), (901, " \n"), (902, "three words only"), (903, "Three  words only"), (904, docs[0].upper())]
+
+
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_groups_against_all_pairs(spark, monkeypatch, like, rounds):
+    monkeypatch.setattr(shingle_groups, "ROUNDS", rounds)
+    df = spark.createDataFrame(like, "doc_id long, text string")
+    assert {r.doc_id for r in shingle_groups.keep_one(df).collect()} == _kept(like)
+
+
+def test_stage_joins_what_differs_in_many_bits(spark, like):
+    """Five-word similarity decides in the pipeline, not four of 64 bits."""
+    df = spark.createDataFrame(like, "doc_id long, text string")
+    (stage,) = [f for name, f in corpus_pipeline.STAGES if name == "simhash_dedup"]
+    assert {r.doc_id for r in stage(spark, df, "").collect()} == _kept(like)
+
+
+def test_groups_on_edges(edge_docs, no_docs):
+    assert shingle_groups.keep_one(no_docs).count() == 0
+    kept = shingle_groups.keep_one(edge_docs)
+    assert kept.columns == edge_docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 4, 5, 6, 8, None]
+    assert kept.where(F.col("doc_id").isNull()).count() == 1
