@@ -29,6 +29,7 @@ from answergauge.llm.base import components, input_rows, spare_name, stored
 
 THRESHOLD = 2
 MIN_CHARS = 20
+SHORT_THRESHOLD, SHORT_MIN_CHARS = 1, 10  # as for long lines, an edit for every ten characters
 CELLS = 4_000_000  # characters compared at a time in a task
 SIEVE_BITS = 1 << 25
 
@@ -87,7 +88,7 @@ def _wanted_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame
 
 def join_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    threshold: int = THRESHOLD, min_chars: int = MIN_CHARS,
+    threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short_lines: bool = False,
 ) -> DataFrame:
     """One row per line of a document: doc_id, row, line_no, line, n_copies, n_links, component, first_doc, first_row,
     first_line, kept.
@@ -97,12 +98,17 @@ def join_lines(
     removed or replaced), ``component`` what is reachable over links, and first_*
     its first line by (doc_id, row, line_no); ``kept`` marks that one. Lines
     under ``min_chars`` characters are ordinary repeats: they form classes, link
-    with nothing and are all kept. A null text is one empty line, and so is an
+    with nothing and are all kept. With ``short_lines`` they count as well: lines
+    of SHORT_MIN_CHARS or more link at SHORT_THRESHOLD edits, shorter ones only
+    equal each other, and all but empty lines are kept once. A null text is one empty line, and so is an
     empty one; a null id comes before others; rows that repeat both id and text are
     one document in this result's keys; an empty table gives an empty result.
     """
     found = stored(lines(docs, id_col, text_col), "edit-join-lines")
-    links = stored(line_links(docs, id_col, text_col, threshold, min_chars), "edit-join-links")
+    links = line_links(docs, id_col, text_col, threshold, min_chars)
+    if short_lines:
+        links = links.unionByName(line_links(docs, id_col, text_col, SHORT_THRESHOLD, SHORT_MIN_CHARS, min_chars))
+    links = stored(links, "edit-join-links")
     counts = links.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(F.count("*").alias("n_links"))
     groups = components(links, "edit-join-groups").withColumnRenamed("node", "line")
     place = F.struct("doc_id", "row", "line_no")
@@ -117,17 +123,17 @@ def join_lines(
     return found.drop("chars").join(per_line, "line").select(
         "doc_id", "row", "line_no", "line", "n_copies", "n_links", "component", F.col("first.doc_id").alias("first_doc"),
         F.col("first.row").alias("first_row"), F.col("first.line_no").alias("first_line"),
-        ((F.col("chars") < min_chars) | place.eqNullSafe(F.col("first"))).alias("kept"))
+        ((F.col("chars") < (1 if short_lines else min_chars)) | place.eqNullSafe(F.col("first"))).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+                threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
     """The rows of ``docs``, all columns, with the lines that ``join_lines`` does not keep taken out of the text.
 
     A document that loses all its lines stays with an empty text; a null text stays null.
     """
     row, taken = spare_name(docs, "_row"), spare_name(docs, "_gone")
-    gone = join_lines(docs, id_col, text_col, threshold, min_chars).where(~F.col("kept")).groupBy(
+    gone = join_lines(docs, id_col, text_col, threshold, min_chars, short_lines).where(~F.col("kept")).groupBy(
         F.col("row").alias(row)).agg(F.collect_set("line_no").alias(taken))
     text = F.col(text_col)
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(taken, i.cast("long"))), "\n")
@@ -136,11 +142,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         text_col, F.when(F.col(taken).isNull() | text.isNull(), text).otherwise(left)).select(*docs.columns)
 
 
-def line_links(docs: DataFrame, id_col: str, text_col: str, threshold: int, min_chars: int) -> DataFrame:
-    """Links (a, b, edits), a < b, of different lines."""
+def line_links(docs: DataFrame, id_col: str, text_col: str, threshold: int, min_chars: int,
+               below: int | None = None) -> DataFrame:
+    """Links (a, b, edits), a < b, of different lines; with ``below``, those whose shorter line has fewer characters."""
     rows = _rows(docs, id_col, text_col)
-    index = rows.mapInArrow(_segments(threshold, min_chars, probe=False), "key long, line long, marks long")
-    probe = rows.mapInArrow(_segments(threshold, min_chars, probe=True), "key long, line long, marks long")
+    index = rows.mapInArrow(_segments(threshold, min_chars, below, probe=False), "key long, line long, marks long")
+    probe = rows.mapInArrow(_segments(threshold, min_chars, below, probe=True), "key long, line long, marks long")
     # copies of a line in other tasks bring equal rows; they meet in distinct pairs
     pairs = stored(
         index.distinct().withColumnRenamed("line", "a").withColumnRenamed("marks", "m")
@@ -191,7 +198,10 @@ def _marks(raws: list[bytes]) -> np.ndarray:
     return np.bitwise_xor.reduceat(_KINDS[joined], np.cumsum(sizes) - sizes).astype(np.int64) if len(raws) else np.empty(0, np.int64)
 
 
-def _segments(threshold: int, min_chars: int, probe: bool):
+def _segments(threshold: int, min_chars: int, below: int | None, probe: bool):
+    # a longer line probes for shorter ones, so it may be up to ``threshold`` characters beyond what is indexed
+    most = float("inf") if below is None else below - 1 + (threshold if probe else 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
 
@@ -202,7 +212,7 @@ def _segments(threshold: int, min_chars: int, probe: bool):
             for text in batch.column("text").to_pylist():
                 for line in text.split("\n"):
                     n = len(line)
-                    if n < min_chars:
+                    if n < min_chars or n > most:
                         continue
                     raw = line.encode()
                     name = digest(raw)

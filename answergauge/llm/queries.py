@@ -19,7 +19,7 @@ def tokenizer_file(name: str) -> str:
 
 @query()
 def op1_edit_join(spark: SparkSession, sf: str) -> DataFrame:
-    return edit_join.join_lines(read_table(spark, sf, "documents"))
+    return edit_join.join_lines(read_table(spark, sf, "documents"), short_lines=True)
 
 
 @query()

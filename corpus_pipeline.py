@@ -22,8 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that are, within two edits, an earlier line again."""
-    return edit_join.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Texts without lines that are, within two edits (short lines: one or none), an earlier line again."""
+    return edit_join.dedup_lines(docs, short_lines=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
