@@ -33,7 +33,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return latent_search.drop_leaked(docs, read_table(spark, sf_dir, "benchmark"))
+    return latent_search.drop_leaked(docs, read_table(spark, sf_dir, "benchmark"), paraphrased=latent_search.PARAPHRASED)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
