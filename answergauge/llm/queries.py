@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from answergauge.llm import edit_join, interpolation, latent_search, packing, pii, quality, range_join, repeats, simhash, token_counts
+from answergauge.llm import (
+    edit_join, fill_middle, interpolation, latent_search, merkle, oracles, packing, pii, quality, range_join, repeats,
+    simhash, token_counts)
+from answergauge.llm.base import fold
 from answergauge.plans.registry import collector
 from answergauge.sources.readers import read_table
 
@@ -67,3 +71,24 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     key = spark.conf.get("spark.answergauge.pii.key", "set spark.answergauge.pii.key to a secret")
     return pii.pseudonymise(read_table(spark, sf, "documents"), key)
+
+
+@query(oracles.MERKLE)
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """Tampering deletes the line feeds of every document whose id has an even crc32."""
+    docs, columns = read_table(spark, sf, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
+    stripped = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    leaves = docs.select(
+        "doc_id", "source", merkle.leaf_digest(*(F.col(c) for c in columns)).alias("leaf"),
+        F.when(fold(F.col("doc_id"), 2) == 0, merkle.leaf_digest(*(F.col(c) for c in columns[:-1]), stripped))
+        .alias("tampered"))
+    proven = merkle.manifest(leaves, "source", "doc_id", "leaf")
+    folded = proven.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("steps")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query(oracles.FILL_MIDDLE)
+def op12_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_middle.fill_middle(read_table(spark, sf, "documents"), with_text=False)

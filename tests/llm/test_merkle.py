@@ -1,0 +1,103 @@
+"""The Merkle manifest against plain Python, and what tampering does to it."""
+
+import random
+from hashlib import sha256
+
+import pytest
+from pyspark.sql import functions as F
+
+from answergauge.llm import merkle
+
+
+def _h(*parts):
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def _leaf(values):
+    return _h(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def _tree(hashes):
+    """Root, and the (left, right) siblings of each leaf, level by level."""
+    steps = [[] for _ in hashes]
+    nodes = [(h, [i]) for i, h in enumerate(hashes)]
+    while len(nodes) > 1:
+        above = []
+        for start in range(0, len(nodes), 3):
+            run = nodes[start:start + 3]
+            for k, (_, below) in enumerate(run):
+                pair = "".join(h for h, _ in run[:k]), "".join(h for h, _ in run[k + 1:])
+                for i in below:
+                    steps[i].append(pair)
+            above.append((_h(*(h for h, _ in run)), [i for _, below in run for i in below]))
+        nodes = above
+    return nodes[0][0], steps
+
+
+def _plain(rows):
+    """(id, leaf, subroot, root, steps) of rows (id, group, text) as a multiset."""
+    groups = {}
+    for i, g, t in rows:
+        groups.setdefault(g, []).append((i is not None, i or 0, _leaf((i, t)), i))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    inner = {g: _tree([x[2] for x in sorted(groups[g], key=lambda x: x[:3])]) for g in order}
+    root, outer = _tree([inner[g][0] for g in order])
+    out = []
+    for g, above in zip(order, outer):
+        for x, below in zip(sorted(groups[g], key=lambda x: x[:3]), inner[g][1]):
+            out.append((x[3], x[2], inner[g][0], root, tuple(below + above)))
+    return sorted(out, key=repr)
+
+
+def _run(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns(
+        {"root": F.lit("x"), "STEPS": F.lit(1), "_merkle_pos": F.lit(5), "leaf": merkle.leaf_digest(F.col("doc_id"), F.col("text"))})
+    got = merkle.manifest(df, "source", "doc_id", "leaf").withColumns({
+        "folded": merkle.fold(F.col("leaf"), F.col("steps")), "proof": merkle.proof_digest(F.col("steps"))}).collect()
+    for r in got:
+        assert r.folded == r.root
+        assert r.proof == _h(*(x for s in r.steps for x in (s.left, s.right)))
+    return sorted(((r.doc_id, r.leaf, r.subroot, r.root, tuple((s.left, s.right) for s in r.steps)) for r in got), key=repr)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 28])
+def test_small_groups(spark, n):
+    rows = [(i, "a", f"t{i}") for i in range(n)]
+    assert _run(spark, rows) == _plain(rows)
+
+
+def test_a_hot_group_many_groups_ties_and_nulls(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, "hot", f"text {i}\n") for i in range(400)]
+    rows += [(rng.randint(0, 40), rng.choice([None, "", "é", "z", "Z", *map(str, range(12))]), "same") for _ in range(200)]
+    rows += [(None, "hot", None), (None, None, ""), (7, "hot", "text 7\n"), (7, "hot", "another")]
+    rng.shuffle(rows)
+    expected = _plain(rows)
+    assert _run(spark, rows) == expected
+    monkeypatch.setattr(merkle, "LEVELS", 2)  # blocks of 9 rows: three rounds
+    assert _run(spark, rows) == expected
+
+
+def test_tampering_is_seen(spark):
+    rows = spark.createDataFrame([(i, "s", f"line\nof {i}") for i in range(50)], "doc_id long, source string, text string")
+    rows = rows.withColumn("leaf", merkle.leaf_digest(F.col("doc_id"), F.col("text"))).withColumn(
+        "other", merkle.leaf_digest(F.col("doc_id"), F.replace("text", F.lit("\n"), F.lit(""))))
+    got = merkle.manifest(rows, "source", "doc_id", "leaf")
+    assert got.where(merkle.fold(F.col("other"), F.col("steps")) == F.col("root")).count() == 0
+
+
+def test_edge_tables(spark, edge_docs, no_docs):
+    for docs in (edge_docs, no_docs):
+        leaves = docs.withColumn("leaf", merkle.leaf_digest(F.col("doc_id"), F.col("text")))
+        got = merkle.manifest(leaves, "source", "doc_id", "leaf")
+        assert got.count() == docs.count()
+        assert got.where(merkle.fold(F.col("leaf"), F.col("steps")) != F.col("root")).count() == 0
+
+
+def test_windows_stay_inside_blocks(spark):
+    """The only windows without a block are sums over a partition's count."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.sha2(F.col("id").cast("string"), 256).alias("leaf"))
+    placed = merkle._positions(rows.select("*", F.lit("1s").alias("_merkle_group"), F.lit(0).alias("_merkle_tie")), ["doc_id", "leaf"])
+    plan = merkle._climb_block(placed.withColumn("_merkle_hash", F.col("leaf")))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_merkle_block" in w or "sum(" in w for w in windows)
