@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from answergauge.llm import (
     edit_join, fill_middle, interpolation, latent_search, merkle, oracles, packing, pii, quality, range_join, repeats,
-    simhash, token_counts)
+    simhash, token_counts, wrapper)
 from answergauge.llm.base import fold
 from answergauge.plans.registry import collector
 from answergauge.sources.readers import read_table
@@ -92,3 +92,8 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
 @query(oracles.FILL_MIDDLE)
 def op12_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
     return fill_middle.fill_middle(read_table(spark, sf, "documents"), with_text=False)
+
+
+@query()
+def op13_wrapper(spark: SparkSession, sf: str) -> DataFrame:
+    return wrapper.main_text(read_table(spark, sf, "pages"))
