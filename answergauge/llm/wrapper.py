@@ -106,7 +106,9 @@ def wrappers(rows: DataFrame) -> DataFrame:
         groups = trees.groupBy("host").agg(F.count("*").alias("n")).select("host", F.ceil(F.col("n") / GROUP).alias("groups"))
         left = groups.agg(F.max("groups")).first()[0] or 1
         met = trees.join(groups, "host").withColumn("part", F.pmod(F.xxhash64("deal", F.lit(left)), "groups"))
-        trees = stored(met.groupBy("host", "part").applyInArrow(align, "host string, deal long, tree binary"), "wrapper-trees")
+        # dealt by both columns: grouping alone would be content with a partitioning by host
+        trees = stored(met.repartition("host", "part").groupBy("host", "part").applyInArrow(
+            align, "host string, deal long, tree binary"), "wrapper-trees")
     return stored(trees.select("host", "tree").mapInArrow(mark, "host string, wrapper binary").where(
         "wrapper IS NOT NULL"), "wrappers")
 
