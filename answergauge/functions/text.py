@@ -45,12 +45,12 @@ def text_hash(text: Column) -> Column:
 
 
 def sentence_count(text: Column) -> Column:
-    """Runs of end marks: the length with each run cut to one mark, less the other characters."""
-    return F.length(F.regexp_replace(text, SENTENCE_END, ".")) - F.length(F.translate(text, ".!?", ""))
+    """Runs of end marks."""
+    return F.regexp_count(text, F.lit(SENTENCE_END))
 
 
 def digit_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, "0123456789", ""))
+    return F.regexp_count(text, F.lit("[0-9]"))
 
 
 def occurrences(text: Column, literal: str) -> Column:

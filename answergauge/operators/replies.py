@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from answergauge.functions.rounding import round_exact
 from answergauge.functions.text import strip, strip_fence
 from answergauge.functions.verdicts import CRITERIA, ERROR, in_domain
 from answergauge.operators.gate import gate
+from answergauge.operators.quotes import find_quotes
 
 # The citation marker and the refusal sentence of the answer
 # contract, and the types a JSON number field accepts when read leniently.
@@ -164,23 +167,54 @@ def melt_verdicts(
     return df.select(*keys, F.inline(F.array(*cells)))
 
 
+def with_quote(replies: DataFrame, reply: str, out: str = "quote") -> DataFrame:
+    """Adds the trimmed text after the citation marker; NULL for a refusal, or where there is none."""
+    marker = F.instr(F.col(reply), CITATION)
+    quote = F.when(
+        marker > 0, F.substring(F.col(reply), marker + len(CITATION), F.length(F.col(reply))))
+    return replies.withColumn(out, F.when(~_refused(reply), F.nullif(strip(quote), F.lit(""))))
+
+
+def _refused(reply: str) -> Column:
+    return F.coalesce(strip(F.col(reply)) == REFUSAL, F.lit(False))
+
+
 def check_citations(
     replies: DataFrame, documents: DataFrame, doc_id: str, reply: str, text: str
 ) -> DataFrame:
     """Outcome per reply: supported, unsupported, refused or no_citation.
 
     The quote after the marker has to occur verbatim in the reply's document.
-    Only replies with a quote are joined to texts, one equi-join on the document
-    id; a document cited by very many replies is split by adaptive execution.
+    One left join, on a document id that only replies with a quote have, so the
+    others meet no text; they are spread by their own hash. A document cited by
+    very many replies is split by adaptive execution.
     """
-    marker = F.instr(F.col(reply), CITATION)
-    quote = F.when(
-        marker > 0, F.substring(F.col(reply), marker + len(CITATION), F.length(F.col(reply))))
-    refused = F.coalesce(strip(F.col(reply)) == REFUSAL, F.lit(False))
-    read = replies.withColumn("_quote", F.when(~refused, F.nullif(strip(quote), F.lit(""))))
-    quoted = read.where(F.col("_quote").isNotNull()).join(
-        documents.select(doc_id, F.col(text).alias("_text")), doc_id, "left")
-    found = F.when(F.contains("_text", F.col("_quote")), "supported").otherwise("unsupported")
-    rest = read.where(F.col("_quote").isNull()).withColumn(
-        "outcome", F.when(refused, "refused").otherwise("no_citation"))
-    return quoted.withColumn("outcome", found).drop("_text", "_quote").unionByName(rest.drop("_quote"))
+    read = with_quote(replies, reply, "_quote").withColumns({
+        "_id": F.when(F.col("_quote").isNotNull(), F.col(doc_id)),
+        "_spread": F.when(F.col("_quote").isNull(), F.xxhash64(doc_id, reply)).otherwise(F.lit(0))})
+    keyed = documents.select(F.col(doc_id).alias("_id"), F.lit(0).cast("bigint").alias("_spread"), F.col(text).alias("_text"))
+    met = read.join(keyed, ["_id", "_spread"], "left")
+    outcome = (
+        F.when(_refused(reply), "refused")
+        .when(F.col("_quote").isNull(), "no_citation")
+        .when(F.contains("_text", F.col("_quote")), "supported")
+        .otherwise("unsupported")
+    )
+    return met.withColumn("outcome", outcome).select(*replies.columns, "outcome")
+
+
+def search_citations(
+    replies: DataFrame, documents: DataFrame, doc_id: str, reply: str, text: str,
+    store: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Replies with a quote, and where it stands: ``found_in`` documents, the least of their ids ``first_doc``.
+
+    For replies that name no document, or a wrong one: all documents are
+    searched, through the index of ``find_quotes``. A quote that stands nowhere has 0 and NULL.
+    """
+    quoted = with_quote(replies, reply, "_quote").where(F.col("_quote").isNotNull())
+    found = find_quotes(quoted, "_quote", documents, doc_id, text, store)
+    places = found.groupBy("_quote").agg(
+        F.count(F.lit(1)).alias("found_in"), F.min(doc_id).alias("first_doc"))
+    return quoted.join(places, "_quote", "left").drop("_quote").withColumn(
+        "found_in", F.coalesce("found_in", F.lit(0).cast("bigint")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from answergauge.functions.text import (
     off_script_share,
     sentence_count,
 )
+from answergauge.operators.quotes import find_quotes
 
 # Words that state a status.
 STATUS_WORDS = r"\b(Pass|OOS)\b"
@@ -80,6 +83,18 @@ def example_echo(df: DataFrame, text: str, literals: list[float]) -> DataFrame:
     return df.withColumn("echoed", F.size(echoed)).where(F.col("echoed") > 0)
 
 
+def phrase_echo(
+    df: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str, store: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Answers that repeat a phrase of the examples given in the prompt: (key, phrases repeated, the first of them).
+
+    ``phrases`` is a table of any length. Each answer is searched once, through
+    the index of ``find_quotes``, whatever the number of phrases.
+    """
+    found = find_quotes(phrases, phrase, df, key, text, store)
+    return found.groupBy(key).agg(F.count(F.lit(1)).alias("echoed"), F.min(phrase).alias("first_echo"))
+
+
 def unrequested_facts(
     df: DataFrame, text: str, category: str, allowed: dict[str, list[str]],
     status_words: str = STATUS_WORDS, status_categories: tuple[str, ...] = (),

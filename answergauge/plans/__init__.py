@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from answergauge.plans import gating, raters, replying, retrieval, running, textual
+from answergauge.plans import gating, measuring, raters, replying, retrieval, running, textual
 from answergauge.plans.registry import Query
 
-_MODULES = (raters, gating, retrieval, replying, textual, running)
+_MODULES = (raters, gating, retrieval, replying, textual, running, measuring)
 
 
 def all_queries() -> dict[str, Query]:

@@ -9,6 +9,7 @@ from answergauge.operators import replies as rp
 from answergauge.operators.gate import upsert
 from answergauge.plans import inputs as src
 from answergauge.plans.registry import collector
+from answergauge.session import written
 from answergauge.sources.readers import read_table
 
 QUERIES, query = collector()
@@ -211,7 +212,7 @@ def full_run_explained(spark, sf):
     return upsert(stale, judged, ["doc_id"], _EXPLAINED, mode="replace").select("run_id", "doc_id", *_EXPLAINED)
 
 
-def _cited(spark, sf):
+def _citing(spark, sf):
     """Answers citing the last line of their document, right, altered, refused or not at all."""
     docs = src.documents(spark, sf)
     last = F.element_at(F.split("text", "\n"), -1)
@@ -225,8 +226,11 @@ def _cited(spark, sf):
         .when(kind == "signup", F.concat(F.lit("Reference:  "), F.upper("quote"), F.lit(" \n")))
         .otherwise("It is as the document says.")
     )
-    replies = quotes.join(events, "doc_id").select("run_id", "doc_id", reply.alias("reply"))
-    return rp.check_citations(replies, docs, "doc_id", "reply", "text")
+    return quotes.join(events, "doc_id").select("run_id", "doc_id", reply.alias("reply"))
+
+
+def _cited(spark, sf):
+    return rp.check_citations(_citing(spark, sf), src.documents(spark, sf), "doc_id", "reply", "text")
 
 
 _LAST = "string_split(text, chr(10))[-1]"
@@ -250,3 +254,21 @@ def citation_check(spark, sf):
 @query(f"WITH {_CITED_SQL} SELECT outcome, count(*) AS n FROM cited GROUP BY outcome")
 def citation_counts(spark, sf):
     return _cited(spark, sf).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH quoted AS (
+  SELECT source AS run_id, doc_id, CASE event_type
+    WHEN 'purchase' THEN {src.sql_strip(_LAST)} WHEN 'view' THEN {src.sql_strip(f"({_LAST} || ' [sic]')")}
+    WHEN 'signup' THEN {src.sql_strip(f'upper({_LAST})')} END AS quote
+  FROM documents JOIN events ON event_id = doc_id),
+asked AS (SELECT DISTINCT quote FROM quoted WHERE quote <> ''),
+places AS (
+  SELECT quote, count(*) AS found_in, min(doc_id) AS first_doc FROM asked JOIN documents ON contains(text, quote) GROUP BY quote)
+SELECT run_id, doc_id, coalesce(found_in, 0) AS found_in, first_doc
+FROM quoted LEFT JOIN places USING (quote) WHERE quote <> ''""")
+def citation_search(spark, sf):
+    """Where the quotes of all replies stand, whatever document the reply names."""
+    replies = written(_citing(spark, sf), "replies")
+    found = rp.search_citations(
+        replies, src.documents(spark, sf), "doc_id", "reply", "text", lambda df: written(df, "quotes"))
+    return found.select("run_id", "doc_id", "found_in", "first_doc")

@@ -9,6 +9,7 @@ from answergauge.operators import textchecks as tc
 from answergauge.plans import inputs as src
 from answergauge.plans.registry import collector
 from answergauge.plans.retrieval import GOLDEN_SQL, golden
+from answergauge.session import written
 from answergauge.sources.readers import read_table
 
 QUERIES, query = collector()
@@ -73,6 +74,27 @@ def example_echo(spark, sf):
         "part_id", "answer", "echoed")
 
 
+# The length of the example phrases, in words.
+PHRASE_WORDS = 4
+
+
+@query(f"""WITH phrases AS (
+  SELECT DISTINCT array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')[1:{PHRASE_WORDS}], ' ') AS phrase
+  FROM benchmark),
+met AS (SELECT conv_id, turn, phrase FROM conversations JOIN phrases ON phrase <> '' AND contains(text, phrase)
+  UNION ALL SELECT -1, doc_id, phrase FROM documents JOIN phrases ON phrase <> '' AND contains(text, phrase))
+SELECT conv_id || '/' || turn AS answer_id, count(*) AS echoed, min(phrase) AS first_echo FROM met GROUP BY ALL""")
+def example_echo_phrases(spark, sf):
+    """Turns and documents that repeat the opening words of a benchmark item."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    phrases = read_table(spark, sf, "benchmark").select(
+        F.array_join(F.slice(words, 1, PHRASE_WORDS), " ").alias("phrase"))
+    turns = read_table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("answer_id"), "text")
+    answers = src.documents(spark, sf).select(F.concat_ws("/", F.lit(-1), "doc_id").alias("answer_id"), "text")
+    return tc.phrase_echo(
+        turns.unionByName(answers), "answer_id", "text", phrases, "phrase", lambda df: written(df, "phrases"))
+
+
 def _padded(spark, sf):
     allowed = {
         gd.LOOKUP: ["size"], gd.STATUS: [], gd.RANGE: ["reference_low", "reference_high", "size"]}
