@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answergauge.functions.verdicts import VERDICTS, blank_to_null, in_domain, ordinal, repair
@@ -112,3 +113,55 @@ def bias_alarm(
         & (F.abs("bias") >= min_bias)
         & (F.try_divide(opposite, up + down) <= max_opposite)
     )
+
+
+def sign_test(up: Column, down: Column) -> Column:
+    """Two-sided exact sign test: how likely a split at least as uneven is if both ways are equally likely.
+
+    ``2 * sum(C(n, i), i <= k) / 2^n`` with n = up + down and k the smaller one,
+    1 at most, and 1 where n is 0. The largest term is taken in logarithms, the
+    others relative to it; terms too small to matter for a double are not summed,
+    so the work grows with the square root of n.
+    """
+    n = (up + down).cast("double")
+    k = F.least(up, down).cast("double")
+    first = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) - n * math.log(2.0)
+    # C(n, k - j) / C(n, k) for j = 1, 2, ...: each the one before times (k - j + 1) / (n - k + j)
+    terms = F.least(k, F.ceil(7 * F.sqrt(n)) + 40).cast("int")
+    zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    ratio = lambda j: (k - j + 1) / (n - k + j)
+    added = F.aggregate(
+        F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")), zero,
+        lambda s, j: F.struct((s["term"] * ratio(j)).alias("term"), (s["total"] + s["term"] * ratio(j)).alias("total")),
+        lambda s: s["total"])
+    return F.least(F.lit(1.0), 2 * F.exp(first + F.log(added)))
+
+
+def _log_factorial(n: Column) -> Column:
+    """ln n!: a table up to 15, Stirling's series beyond, which is then exact to a double."""
+    small = F.element_at(F.array(*(F.lit(math.lgamma(i + 1.0)) for i in range(16))), F.least(n, F.lit(15)).cast("int") + 1)
+    series = (n * F.log(n) - n + 0.5 * F.log(2 * math.pi * n)
+              + 1 / (12 * n) - 1 / (360 * n ** 3) + 1 / (1260 * n ** 5) - 1 / (1680 * n ** 7))
+    return F.when(n <= 15, small).otherwise(series)
+
+
+def holm(tests: DataFrame, family: list[str], p_value: str, out: str = "p_adjusted") -> DataFrame:
+    """p-values corrected for the number of tests of a family (Holm); a family is one row per test."""
+    of = Window.partitionBy(*family)
+    ordered = of.orderBy(p_value)
+    scaled = F.col(p_value) * (F.count(F.lit(1)).over(of) - F.row_number().over(ordered) + 1)
+    stepped = tests.withColumn(out, F.least(F.lit(1.0), scaled))
+    so_far = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return stepped.withColumn(out, F.max(out).over(so_far))
+
+
+def bias_alarm_tested(pairs: DataFrame, family: list[str], test: list[str], level: float = 0.05) -> DataFrame:
+    """Bias of each test in its family with the p-value of the sign test, corrected over the family.
+
+    ``alarm`` is raised where the corrected value is at most ``level``: the
+    chance of any false alarm in a family is then at most that, whatever the
+    number of its criteria. Rows are the disagreements' directions; equal verdicts do not count.
+    """
+    up, down = F.col("more_generous"), F.col("harsher")
+    tested = agreement(pairs, [*family, *test]).withColumn("p_value", sign_test(up, down))
+    return holm(tested, family, "p_value").withColumn("alarm", F.col("p_adjusted") <= level)

@@ -45,8 +45,9 @@ def number_rows(
     number of rows in lower buckets. The key is unique in its run, so a bucket
     is bounded whatever the skew. The bucket counts are summed up the same way:
     with the defaults the last window sees at most 2^24 narrow rows per run for
-    any 64-bit key, and only a handful for dense ids. Run and key must be set.
+    any 64-bit key, and only a handful for dense ids. A row without a run or a key fails the job.
     """
+    df = _set(df, run, key)
     bucketed = df.withColumn("bucket", _bucket(key, bits))
     counts = (
         df.select(run, _bucket(key, bits).alias("bucket"))
@@ -61,6 +62,32 @@ def number_rows(
     )
 
 
+def _set(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows as they are; a NULL in one of the columns fails the job."""
+    return df.withColumns({c: F.coalesce(c, F.raise_error(F.lit(f"a row has no {c}")).cast(df.schema[c].dataType)) for c in columns})
+
+
+def rows_at_positions(
+    df: DataFrame, run: str, key: str, positions: list[int], out: str = "row_no", bits: int = SPAN_BITS, levels: int = 1
+) -> DataFrame:
+    """Rows at chosen 1-based positions of every run, however deep, as ``number_rows`` counts them.
+
+    The counts of the buckets, ranges of ``2**bits`` key values, say which of
+    them hold a wanted position; only rows of those buckets are moved and
+    ranked, one bucket per run and position at most.
+    """
+    df = _set(df, run, key)
+    counts = df.select(run, _bucket(key, bits).alias("bucket")).groupBy(run, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    placed = counts.join(_rows_before(counts, run, levels, bits), [run, "bucket"])
+    listed = F.array(*(F.lit(p).cast("bigint") for p in sorted(set(positions))))
+    holding = placed.withColumn("_wanted", F.filter(
+        listed, lambda p: (p > F.col("before")) & (p <= F.col("before") + F.col("n")))).where(F.size("_wanted") > 0)
+    inside = Window.partitionBy(run, "bucket").orderBy(key)
+    met = df.withColumn("bucket", _bucket(key, bits)).join(holding.select(run, "bucket", "before", "_wanted"), [run, "bucket"])
+    numbered = met.withColumn(out, (F.col("before") + F.row_number().over(inside)).cast("bigint"))
+    return numbered.where(F.array_contains("_wanted", F.col(out))).drop("bucket", "before", "_wanted")
+
+
 def source_order(df: DataFrame, out: str = "position") -> DataFrame:
     """A unique integer that grows in file order, for rows that come without a key.
 
@@ -78,10 +105,11 @@ def first_rows(
     A group is first cut to ``n`` rows in each of ``spread`` buckets of its rows'
     hashes, so that a hot group is sorted in ``spread`` tasks and the final rank
     sees ``spread * n`` rows of it at most. Spark's own group limit, which acts
-    before the shuffle, only covers ranks up to a thousand.
+    before the shuffle, only covers ranks up to a thousand. Equal rows are dealt
+    by the task that reads them, so copies of one row do not share a bucket.
     """
     hashed = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*hashed), F.lit(spread)))
+    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(spread)))
     part = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order))
     cut = bucketed.withColumn("_part", part).where(F.col("_part") <= n).drop("_part", "_bucket")
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from answergauge.functions.bands import band, latency_band
-from answergauge.functions.verdicts import CRITERIA
+from answergauge.functions.verdicts import CRITERIA, ERROR
 from answergauge.operators import gate as gt
 from answergauge.operators import ranges as rg
 from answergauge.operators import runs as rn
@@ -16,7 +16,7 @@ from answergauge.plans import inputs as src
 from answergauge.plans.registry import collector
 from answergauge.session import shared_folder, written
 from answergauge.sources.readers import read_table
-from answergauge.streaming.live import monitor, windowed_pass_rate
+from answergauge.streaming.live import corrected_pass_rate, monitor, windowed_pass_rate
 
 QUERIES, query = collector()
 
@@ -236,20 +236,46 @@ def bulk_score(spark, sf):
         "doc_id", "run_id", "verdict", "error")
 
 
+@query(f"""SELECT doc_id, source AS run_id, CASE WHEN {_STOPS} = 0 THEN 2 ELSE 1 END AS attempt,
+  CASE WHEN {_STOPS} = 0 THEN 'bad' WHEN {_STOPS} <= 20 THEN 'good' WHEN {_STOPS} <= 60 THEN 'ok' ELSE 'bad' END AS verdict
+FROM documents""")
+def bulk_score_resumed(spark, sf):
+    """Scoring in three starts: all answers, the same again (nothing to do), and a retry of the errors."""
+    folder = shared_folder(spark, "scoring")
+    schema = src.documents(spark, sf).schema
+
+    def arrived(path):
+        stream = spark.readStream.schema(schema).parquet(path).withColumnRenamed("source", "run_id")
+        return stream.withColumn("attempt", F.lit(1))
+
+    keys = ["doc_id", "run_id", "attempt"]
+    table = f"{sf}/{{documents}}.parquet"
+    scorer.score_stream(arrived(table), keys, "text", _rule, folder)
+    scores = scorer.score_stream(arrived(table), keys, "text", _rule, folder)
+    answers = src.documents(spark, sf).withColumnRenamed("source", "run_id")
+    again = scorer.next_attempts(scores, answers, keys[:2])
+    retried = scorer.bulk_score(again, keys, "text", lambda text: "bad")
+    return scorer.latest_scores(scores.unionByName(retried), keys[:2]).select(*keys, "verdict")
+
+
 # Limits of the verdicts derived from streamed events.
 LIVE_FLUENCY, LIVE_GRAMMAR = ((50, "good"), (80, "ok")), ((70, "good"), (90, "ok"))
 LIVE_TONE = ((100, "good"), (200, "ok"))
 
-_LIVE_SQL = f"""verdicts AS (
-  SELECT ts::TIMESTAMP AS ts, {src.sql_band('k', LIVE_FLUENCY)} AS fluency,
+def _live_sql(grounding: str) -> str:
+    verdicts = (*CRITERIA, "latency")
+    return f"""verdicts AS (
+  SELECT ts::TIMESTAMP AS ts, event_type, value, {src.sql_band('k', LIVE_FLUENCY)} AS fluency,
     {src.sql_band('k', LIVE_GRAMMAR)} AS grammar, {src.sql_band('value', LIVE_TONE)} AS tone,
-    CASE event_type WHEN 'view' THEN 'ok' ELSE 'good' END AS length,
-    CASE event_type WHEN 'error' THEN 'bad' ELSE 'good' END AS grounding,
+    CASE event_type WHEN 'view' THEN 'ok' ELSE 'good' END AS length, {grounding} AS grounding,
     CASE WHEN value * 50 <= 2500 THEN 'good' WHEN value * 50 <= 6000 THEN 'ok' ELSE 'bad' END AS latency
   FROM (SELECT *, (props::JSON ->> '$.k')::INT AS k FROM events)),
-scored AS (SELECT ts, grounding = 'good'
-    AND {' + '.join(f"({c} = 'good')::INT" for c in (*CRITERIA, 'latency'))} >= 4
-    AND {' + '.join(f"({c} = 'bad')::INT" for c in (*CRITERIA, 'latency'))} <= 1 AS passed FROM verdicts),
+scored AS (SELECT ts, event_type, value, grounding = 'good'
+    AND {' + '.join(f"({c} = 'good')::INT" for c in verdicts)} >= 4
+    AND {' + '.join(f"({c} = 'bad')::INT" for c in verdicts)} <= 1 AS passed FROM verdicts)"""
+
+
+_LIVE_SQL = f"""{_live_sql("CASE event_type WHEN 'error' THEN 'bad' ELSE 'good' END")},
 w AS (
   SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS n,
     count(*) FILTER (WHERE passed) AS n_pass
@@ -284,3 +310,37 @@ def live_pass_rate(spark, sf):
         "window_start": F.col("window_start").cast("timestamp_ntz"),
         "window_end": F.col("window_end").cast("timestamp_ntz"),
         "pass_rate": F.round("pass_rate", 6)})
+
+
+@query(f"""WITH {_live_sql("'good'")},
+w AS (
+  SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS n,
+    count(*) FILTER (WHERE passed AND (event_type <> 'error' OR value <= 200)) AS n_pass,
+    count(*) FILTER (WHERE event_type = 'error' AND value > 200) AS n_errors,
+    count(*) FILTER (WHERE event_type = 'error' AND value <= 200) AS n_corrected
+  FROM scored GROUP BY 1)
+SELECT window_start, window_start + INTERVAL '1 hour' AS window_end, n, n_pass, n_errors, n_corrected,
+  round(n_pass / n, 6) AS pass_rate
+FROM w WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts)::TIMESTAMP - INTERVAL '30 minutes' FROM events)""")
+def live_corrected_rate(spark, sf):
+    """Errors first, their retries (within ten seconds) as further rows of the stream."""
+    schema = read_table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/{{events}}.parquet")
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind, value = F.col("event_type"), F.col("value")
+    attempts = F.when(kind == "error", F.when(value <= 200, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).otherwise(
+        F.array(F.lit(2)))
+    answers = stream.select(
+        "event_id", F.col("ts").cast("timestamp"), F.explode(attempts).alias("attempt"),
+        (value * 50).alias("latency_ms"),
+        band(k, LIVE_FLUENCY).alias("fluency"), band(k, LIVE_GRAMMAR).alias("grammar"), band(value, LIVE_TONE).alias("tone"),
+        F.when(kind == "view", "ok").otherwise("good").alias("length"), F.lit("good").alias("grounding"))
+    judged = gt.gate(answers, {c: c for c in CRITERIA}, "latency_ms", failed=F.col("attempt") == 1)
+    scored = judged.withColumn(
+        "score", F.when(F.col("attempt") == 1, ERROR).otherwise(F.col("judge_final_score")))
+    windows = corrected_pass_rate(scored, ["event_id"], "ts", "attempt", "score", "1 hour", "30 minutes")
+    out = monitor(spark, windows, shared_folder(spark, "live"))
+    return out.withColumns({
+        "window_start": F.col("window_start").cast("timestamp_ntz"),
+        "window_end": F.col("window_end").cast("timestamp_ntz"),
+        "pass_rate": F.round("pass_rate", 6)})

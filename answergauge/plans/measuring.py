@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from answergauge.operators import quantiles as qt
+from answergauge.operators.agreement import bias_alarm_tested as tested_biases
+from answergauge.operators.agreement import pair_columns
+from answergauge.operators.numbering import rows_at_positions
+from answergauge.operators.sampling import sample_large
 from answergauge.plans import inputs as src
 from answergauge.plans.registry import collector
 from answergauge.session import written
+from answergauge.sources.readers import read_table
 
 QUERIES, query = collector()
 
@@ -58,3 +63,69 @@ def latency_percentiles_merged(spark, sf):
     merged = qt.merge_sketches(per_run, ["category"])
     bounds = qt.sketch_quantiles(merged, ["category"], SHARES).withColumn("rank_error", F.round("rank_error", 9))
     return qt.in_columns(bounds, ["category"], SHARES, "low", "high", "rank_error")
+
+
+_GAP = f"({src.sql_ordinal('judge')}) - ({src.sql_ordinal('human')})"
+
+
+@query(f"""WITH {src.PAIRS_SQL}, signs AS (
+  SELECT category, criterion, count(*) AS n, count(*) FILTER (WHERE {_GAP} > 0) AS more_generous,
+    count(*) FILTER (WHERE {_GAP} < 0) AS harsher FROM comparable GROUP BY ALL),
+tests AS (
+  SELECT *, least(1.0, 2 * list_sum(list_transform(range(0, least(more_generous, harsher) + 1), lambda i:
+      exp(lgamma(more_generous + harsher + 1) - lgamma(i + 1) - lgamma(more_generous + harsher - i + 1)
+        - (more_generous + harsher) * ln(2))))) AS p_value FROM signs),
+steps AS (
+  SELECT *, least(1.0, p_value * (count(*) OVER (PARTITION BY category)
+      - row_number() OVER (PARTITION BY category ORDER BY p_value) + 1)) AS step FROM tests),
+adjusted AS (SELECT *, max(step) OVER (PARTITION BY category ORDER BY p_value) AS p_adjusted FROM steps)
+SELECT category, criterion, n, more_generous, harsher, round(p_value + 1e-12, 9) AS p_value, round(p_adjusted + 1e-12, 9) AS p_adjusted,
+  p_adjusted <= 0.05 AS alarm FROM adjusted""")
+def bias_alarm_tested(spark, sf):
+    """Biases per language, tested for each criterion, corrected over the five criteria of a language."""
+    pairs = pair_columns(src.rated_sheet(spark, sf), ["category", "doc_id"], src.PAIRS)
+    return tested_biases(pairs, ["category"], ["criterion"]).select(
+        "category", "criterion", "n", "more_generous", "harsher", *(F.round(F.col(p) + 1e-12, 9).alias(p) for p in ("p_value", "p_adjusted")), "alarm")
+
+
+# Positions wanted of every run, and bits of a key bucket.
+DEPTHS = [1, 777, 5_000, 20_000, 100_000]
+DEPTH_BITS = 12
+
+
+@query(f"""SELECT run_id, line_id, row_no FROM (
+  SELECT l_returnflag || l_linestatus AS run_id, l_orderkey * 8 + l_linenumber AS line_id,
+    row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY l_orderkey * 8 + l_linenumber) AS row_no
+  FROM lineitem) WHERE row_no IN ({', '.join(map(str, DEPTHS))})""")
+def rows_at_depth(spark, sf):
+    """Lines at chosen positions of runs of very different length."""
+    lines = read_table(spark, sf, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("run_id"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"))
+    return rows_at_positions(lines, "run_id", "line_id", DEPTHS, bits=DEPTH_BITS)
+
+
+_SAMPLED = "md5((l_orderkey * 8 + l_linenumber) || '|seed')"
+
+
+@query(f"""SELECT line_id, quantity FROM (
+  SELECT l_orderkey * 8 + l_linenumber AS line_id, l_quantity AS quantity,
+    row_number() OVER (ORDER BY {_SAMPLED}, l_orderkey * 8 + l_linenumber) AS place FROM lineitem)
+WHERE place <= 20000""")
+def large_sample(spark, sf):
+    """Twenty thousand lines without replacement."""
+    lines = read_table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"), F.col("l_quantity").alias("quantity"))
+    return sample_large(lines, "line_id", 20_000, "seed")
+
+
+@query(f"""SELECT run_id, line_id FROM (
+  SELECT l_returnflag || l_linestatus AS run_id, l_orderkey * 8 + l_linenumber AS line_id,
+    row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY {_SAMPLED}, l_orderkey * 8 + l_linenumber) AS place
+  FROM lineitem) WHERE place <= 3000""")
+def large_sample_per_run(spark, sf):
+    """Three thousand lines of every run, or all of a shorter one."""
+    lines = read_table(spark, sf, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("run_id"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"))
+    return sample_large(lines, "line_id", 3_000, "seed", by=["run_id"]).select("run_id", "line_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from answergauge.functions.verdicts import CRITERIA, repair
@@ -304,3 +305,52 @@ def sheet_agreement(spark, sf):
     pairs = pair_columns(rows, ["run_id", "doc_id"], src.PAIRS)
     return agreement(pairs, ["run_id", "criterion"]).select(
         "run_id", "criterion", "n", F.round("agreement", 6).alias("agreement"))
+
+
+# every 7th event has a text for a value, every 11th lacks its last cell, every 13th has one too many
+_DAMAGE = """CASE WHEN event_id % 11 = 0 THEN 'wrong number of cells' WHEN event_id % 13 = 0 THEN 'wrong number of cells'
+  WHEN event_id % 7 = 0 THEN 'value is not double' END"""
+
+
+def _damaged(spark, sf):
+    """Events as CSV lines, some of them unreadable, read with their rejects."""
+    e = F.col("event_id")
+    value = F.when(e % 7 == 0, F.concat(F.lit("n/a "), F.col("value"))).otherwise(F.col("value").cast("string"))
+    line = F.when(e % 11 == 0, F.concat_ws(",", e, "event_type")).when(
+        e % 13 == 0, F.concat_ws(",", e, "event_type", value, F.lit("extra"))).otherwise(F.concat_ws(",", e, "event_type", value))
+    events = readers.read_table(spark, sf, "events").select(line.alias("event_id,event_type,value"))
+    path = shared_folder(spark, "damaged")
+    # one text column without quoting; each file starts with its name, as a header line
+    events.write.option("header", "true").option("quote", "").option("sep", "\t").csv(path)
+    return readers.with_rejects(spark, path, "event_id BIGINT, event_type STRING, value DOUBLE")
+
+
+@query(f"""SELECT coalesce({_DAMAGE}, 'good') AS outcome, count(*) AS n, sum(event_id)::BIGINT AS ids
+FROM events GROUP BY 1""")
+def csv_rejects(spark, sf):
+    """Good rows and rejects by reason; the counts add up to the lines."""
+    read = _damaged(spark, sf)
+    good = readers.good_rows(read).select(F.lit("good").alias("outcome"), "event_id")
+    bad = readers.rejects(read).select(
+        F.col("reason").alias("outcome"), F.substring_index("record", ",", 1).cast("bigint").alias("event_id"))
+    return good.unionByName(bad).groupBy("outcome").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(f"""WITH numbered AS (
+  SELECT doc_id, list_transform(string_split(replace(text, chr(13), ' '), chr(10)), lambda x: x) AS lines FROM documents),
+pieces AS (SELECT doc_id, 0 AS clause_no, '== document ' || doc_id AS clause FROM numbered
+  UNION ALL SELECT doc_id, unnest(range(1, len(lines) + 1)), unnest(list_transform(lines, lambda x: '- ' || x)) FROM numbered)
+SELECT doc_id, clause_no, md5(clause) AS clause_md5, length(clause) AS clause_chars FROM pieces""")
+def large_file_sections(spark, sf):
+    """All documents in a few large text files, cut into sections and clauses by byte ranges."""
+    clean = F.regexp_replace("text", "\r", " ")
+    text = F.concat(F.lit("== document "), "doc_id", F.lit("\n- "), F.regexp_replace(clean, "\n", "\n- "))
+    path = shared_folder(spark, "large")
+    src.documents(spark, sf).select(text.alias("value")).write.text(path)
+    found = readers.read_sections(spark, path, heading=r"^== document \d+$", clause="^- ")
+    titles = F.first(F.when(F.col("clause_no") == 0, F.regexp_extract("text", r"(\d+)$", 1)), ignorenulls=True)
+    title = titles.over(Window.partitionBy("path", "section_no"))
+    return found.select(
+        title.cast("bigint").alias("doc_id"), "clause_no", F.md5("text").alias("clause_md5"),
+        F.length("text").alias("clause_chars"))
