@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answergauge.llm import edit_join, latent_search, packing, quality, shingle_groups
+from answergauge.llm import edit_join, latent_search, packing, quality, simhash
 from answergauge.llm.base import stored
 from answergauge.llm.queries import tokenizer_file
 from answergauge.sources.readers import read_table
@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles have a similarity of 0.8 or more."""
-    return shingle_groups.keep_one(docs)
+    """One document of each group of fingerprints over four-word shingles that link at four bits or fewer."""
+    return simhash.keep_one(docs, shingle=4, max_bits=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
