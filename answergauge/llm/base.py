@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,34 @@ def keep_where(docs: DataFrame, text_col: str, test: Callable[[list[str]], list[
     return docs.mapInArrow(run, docs.schema)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of about ``most`` bytes of text each, or of one text that is longer.
+
+    What a task makes of a piece, lists of words or lines, then has a bounded
+    size however long the texts of a batch are. No row is copied.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(sizes, dtype=np.int64)
+        start = 0
+        while start < len(sizes):
+            before = upto[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(upto, before + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+_WORKER: dict[tuple, object] = {}
+
+
+def worker_cache(key: tuple, make: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker between tasks; that of another operator is let go."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 def fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds

@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.base import components, input_rows, spare_name, stored
+from answergauge.llm.base import bounded, components, input_rows, spare_name, stored
 
 THRESHOLD = 2
 MIN_CHARS = 20
 SHORT_THRESHOLD, SHORT_MIN_CHARS = 1, 10  # as for long lines, an edit for every ten characters
 CELLS = 4_000_000  # characters compared at a time in a task
 SIEVE_BITS = 1 << 25
+SEEN = 200_000  # lines that a task remembers so as not to send a copy again
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -43,7 +44,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
 
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             parts = [t.split("\n") for t in batch.column("text").to_pylist()]
             times = np.fromiter(map(len, parts), np.int64, len(parts))
             every = list(itertools.chain.from_iterable(parts))
@@ -71,12 +72,12 @@ def _wanted_texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame
         from xxhash import xxh3_64_intdigest as digest
 
         bits, seen = np.frombuffer(shared.value, np.uint8), set()
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             every = [p for t in batch.column("text").to_pylist() for p in t.split("\n")]
             hashes = np.fromiter((digest(p.encode()) for p in every), np.uint64, len(every)).view(np.int64)
             number = hashes % SIEVE_BITS
             keep = np.flatnonzero(bits[number >> 3] >> (number & 7).astype(np.uint8) & 1)
-            if len(seen) > 500_000:
+            if len(seen) > SEEN:
                 seen.clear()
             new = [i for i in keep.tolist() if not (hashes[i] in seen or seen.add(hashes[i]))]
             yield pa.RecordBatch.from_arrays(
@@ -207,7 +208,7 @@ def _segments(threshold: int, min_chars: int, below: int | None, probe: bool):
 
         plans: dict[int, list] = {}
         seen: set[int] = set()
-        for batch in batches:
+        for batch in bounded(batches, "text"):
             keys, names, raws, times = [], [], [], []
             for text in batch.column("text").to_pylist():
                 for line in text.split("\n"):
@@ -218,7 +219,7 @@ def _segments(threshold: int, min_chars: int, below: int | None, probe: bool):
                     name = digest(raw)
                     if name in seen:
                         continue
-                    if len(seen) >= 1_000_000:
+                    if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(name)
                     if n not in plans:

@@ -29,6 +29,7 @@ from answergauge.llm.base import arrow_table, block_count, fold, input_rows, low
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3  # remainders: scored only; deleted from the counts that the weights learn with
 BLOCK_BYTES, BLOCK_DOCS = 16_000_000, 40_000
+TOKENS = 300_000  # scored at a time
 ITERATIONS = 12
 LAST_BUCKET = 24  # contexts of 2^24 occurrences and more share a bucket
 WORD, PAIR = 0, 1
@@ -103,12 +104,16 @@ class _Block:
         hashes[1:] = np.fromiter(map(xxh3_64_intdigest, known), np.uint64, len(known))
         del known
         self.words, place = np.unique(hashes, return_inverse=True)
-        self.word_at = place[self.tokens].astype(np.int32)
+        place = place.astype(np.int32)
+        self.word_at = place[self.tokens]
         before = np.empty_like(self.tokens)
         before[0], before[1:] = 0, self.tokens[:-1]
-        self.context_at = place[before].astype(np.int32)
+        self.context_at = place[before]
         pair = _mix(hashes[before], hashes[self.tokens])
-        self.pairs, self.pair_at = np.unique(pair, return_inverse=True)
+        del before, hashes, self.tokens
+        self.pairs, at = np.unique(pair, return_inverse=True)
+        self.pair_at = at.astype(np.int32)
+        del pair, at
         self.token_fold = np.repeat(self.fold, self.lengths)
 
 
@@ -222,21 +227,27 @@ def _scores(texts: pa.Table, counts: pa.Table, buckets: int, n: int, vocabulary:
         return schema.empty_table()
     block = _Block(texts)
     words, pairs = _replies(counts, "trained", WORD), _replies(counts, "trained", PAIR)
-    starts = np.concatenate(([0], np.cumsum(block.lengths)[:-1]))
-    word, context = words[block.word_at], words[block.context_at]
-    base = np.log10((word + 1) / (n + (vocabulary + 1)))
-    known = np.add.reduceat((word > 0).astype(np.int64), starts)
     w = np.array([weights[b] for b in range(LAST_BUCKET + 1)])
-    k = _bucket(context)
-    p = w[k, 0] * pairs[block.pair_at] / np.maximum(context, 1)
-    # an unseen context has no bigram estimate; its share goes to the others
-    seen = np.where(context > 0, 1.0, 1 - w[k, 0])
-    p += (w[k, 1] * word / max(n, 1) + w[k, 2] / (vocabulary + 1)) / seen
-    if not n:
-        p = np.ones_like(p)
-    logs = np.add.reduceat(np.log10(p), starts)
+    ends = np.cumsum(block.lengths)
+    base, logs, known = (np.empty(len(ends)) for _ in range(3))
+    first = 0
+    while first < len(ends):  # so many documents at a time as have about TOKENS tokens
+        start = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, start + TOKENS, "right")))
+        at = slice(start, ends[last - 1])
+        own = np.concatenate(([0], ends[first:last - 1] - start))
+        word, context = words[block.word_at[at]], words[block.context_at[at]]
+        base[first:last] = np.add.reduceat(np.log10((word + 1) / (n + (vocabulary + 1))), own)
+        known[first:last] = np.add.reduceat(word > 0, own, dtype=np.int64)
+        k = _bucket(context)
+        p = w[k, 0] * pairs[block.pair_at[at]] / np.maximum(context, 1)
+        # an unseen context has no bigram estimate; its share goes to the others
+        seen = np.where(context > 0, 1.0, 1 - w[k, 0])
+        p += (w[k, 1] * word / max(n, 1) + w[k, 2] / (vocabulary + 1)) / seen
+        logs[first:last] = np.add.reduceat(np.log10(p if n else np.ones_like(p)), own)
+        first = last
     m = len(block.lengths)
     return pa.table(
-        [block.ids.combine_chunks(), pa.array(block.fold == HELD_OUT), pa.array(block.lengths), pa.array(known),
-         pa.array(np.full(m, n, np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(logs),
+        [block.ids.combine_chunks(), pa.array(block.fold == HELD_OUT), pa.array(block.lengths), pa.array(known.astype(np.int64)),
+         pa.array(np.full(m, n, np.int64)), pa.array(base), pa.array(logs),
          pa.array(-logs / np.log10(2) / block.lengths)], schema=schema)

@@ -19,9 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from answergauge.llm.base import input_rows, stored
+from answergauge.llm.base import bounded, input_rows, stored, worker_cache
 
-_WORKER: dict[str, tuple] = {}  # per Python worker: tokenizer, id width, its cache
 _PUNCTUATION = b".,!?;:|#$%&*"
 # the byte-level alphabet by its rule: bytes without a visible character of their own take those from 256 on, in order
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -32,7 +31,7 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def pack(
     docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 4096,
-    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_size: int = 1_000_000,
+    id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_size: int = 300_000,
 ) -> DataFrame:
     """One row per piece: which ids of a document stand where in which sequence.
 
@@ -86,7 +85,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
         model, wide, cache = _model(path)
         end = np.array([end_id], "<u4" if wide else "<u2").tobytes()
         part, before, width = TaskContext.get().partitionId(), 0, 4 if wide else 2
-        for batch in batches:
+        for batch in bounded(batches, "text", 8_000_000):
             blobs, ahead = [], []
             for text in batch.column("text").to_pylist():
                 blobs.append(_ids(text, model, wide, cache, cache_size) + end)
@@ -104,13 +103,15 @@ def _encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
 
 
 def _model(path: str) -> tuple:
-    if path not in _WORKER:
+    """Tokenizer, whether its ids need four bytes, and the words known so far."""
+    def load() -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        _WORKER[path] = model, model.get_vocab_size() > 65_536, {}
-    return _WORKER[path]
+        return model, model.get_vocab_size() > 65_536, {}
+
+    return worker_cache(("packing", path), load)
 
 
 def _ids(text: str, model, wide: bool, cache: dict, cache_size: int) -> bytes:

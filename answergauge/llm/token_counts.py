@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.base import input_rows
+from answergauge.llm.base import input_rows, worker_cache
 
-_WORKER: dict[str, tuple] = {}  # per Python worker: model, its cache
 _RUNS = re.compile(r" *[^ ]+| +")
 
 
@@ -85,15 +84,17 @@ def _frequent(rows: DataFrame, model_path: str, size: int, per_task: int, longes
 
 
 def _model(path: str) -> tuple:
-    if path not in _WORKER:
+    """The model and the lengths known so far."""
+    def load() -> tuple:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = map(model.id_to_piece, range(model.get_piece_size()))
         if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces):
             raise ValueError("a piece of this vocabulary reaches over spaces or line feeds")
-        _WORKER[path] = model, {}
-    return _WORKER[path]
+        return model, {}
+
+    return worker_cache(("token counts", path), load)
 
 
 def _length(text: str, frequent: dict, cache: dict, model, cache_size: int) -> int:
