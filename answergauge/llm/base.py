@@ -114,6 +114,26 @@ def arrow_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
+def sorted_units(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.Table]:
+    """A stream that is sorted by ``columns``, whole numbers, as one table for each of their values."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = np.vstack([batch.column(c).to_numpy() for c in columns])
+        borders = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+        if held and any(held[-1].column(c)[0].as_py() != v for c, v in zip(columns, values[:, 0].tolist())):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip([0, *borders], [*borders, len(batch)]):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest linked row of each of ``n`` rows, given links (i, j) inside one task."""
     label = np.arange(n)

@@ -11,8 +11,12 @@ edit distance.
 
 Lines are joined once per distinct text. A segment that very many lines share
 would give many candidates, so each row carries the parities of the line's
-character counts: an edit changes two of them at most, and lines that differ in
-more never leave the join.
+character counts: an edit changes two of them at most, and lines that meet only
+lines that differ in more never leave the join.
+
+Pairs are not emitted. A task gives the number of links per line and the links
+of a spanning forest; a pair that shares several segments is compared, and
+counted, at the first of them.
 """
 
 from __future__ import annotations
@@ -25,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.base import bounded, components, input_rows, spare_name, stored
+from answergauge.llm.base import bounded, components, forest, input_rows, sorted_units, spare_name, stored
 
 THRESHOLD = 2
 MIN_CHARS = 20
 SHORT_THRESHOLD, SHORT_MIN_CHARS = 1, 10  # as for long lines, an edit for every ten characters
 CELLS = 4_000_000  # characters compared at a time in a task
+SLICE, PAIRS = 256, 50_000  # lines, and pairs, compared at a time
+BLOCK_LINES, BLOCK_BYTES = 2048, 8_000_000  # of each side in a task
 SIEVE_BITS = 1 << 25
 SEEN = 200_000  # lines that a task remembers so as not to send a copy again
 
@@ -110,8 +116,9 @@ def join_lines(
     if short_lines:
         links = links.unionByName(line_links(docs, id_col, text_col, SHORT_THRESHOLD, SHORT_MIN_CHARS, min_chars))
     links = stored(links, "edit-join-links")
-    counts = links.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(F.count("*").alias("n_links"))
-    groups = components(links, "edit-join-groups").withColumnRenamed("node", "line")
+    counts = links.groupBy("line").agg(F.sum("links").alias("n_links"))
+    groups = components(links.where("other is not null").select(F.col("line").alias("a"), F.col("other").alias("b")),
+                        "edit-join-groups").withColumnRenamed("node", "line")
     place = F.struct("doc_id", "row", "line_no")
     classes = found.groupBy("line").agg(
         F.min(place).alias("first"), F.count("*").alias("n_copies"), F.max("chars").alias("chars"))
@@ -143,23 +150,45 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         text_col, F.when(F.col(taken).isNull() | text.isNull(), text).otherwise(left)).select(*docs.columns)
 
 
-def line_links(docs: DataFrame, id_col: str, text_col: str, threshold: int, min_chars: int,
-               below: int | None = None) -> DataFrame:
-    """Links (a, b, edits), a < b, of different lines; with ``below``, those whose shorter line has fewer characters."""
+def line_links(docs: DataFrame, id_col: str, text_col: str, threshold: int, min_chars: int, below: int | None = None,
+               block_lines: int = BLOCK_LINES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows (line, links, other) of the links between different lines; with ``below``, those whose shorter line has fewer characters.
+
+    The ``links`` of a line add up to its number of links; (line, other), where
+    set, are links of a spanning forest, so components over them are those over
+    all links. No row stands for a pair: lines that share a key with a fitting
+    line are found by semi-joins, and a key's lines are dealt into pairs of
+    blocks, each compared in one task.
+    """
     rows = _rows(docs, id_col, text_col)
-    index = rows.mapInArrow(_segments(threshold, min_chars, below, probe=False), "key long, line long, marks long")
+    index = rows.mapInArrow(_segments(threshold, min_chars, below, probe=False), "key long, line long, marks long").distinct()
     probe = rows.mapInArrow(_segments(threshold, min_chars, below, probe=True), "key long, line long, marks long")
-    # copies of a line in other tasks bring equal rows; they meet in distinct pairs
-    pairs = stored(
-        index.distinct().withColumnRenamed("line", "a").withColumnRenamed("marks", "m")
-        .join(probe.withColumnRenamed("line", "b"), "key")
-        .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("m").bitwiseXOR(F.col("marks"))) <= 2 * threshold))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edit-join-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    texts = stored(_wanted_texts(docs, id_col, text_col, wanted), "edit-join-texts")
-    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("s")), "a").join(
-        texts.select(F.col("line").alias("b"), F.col("text").alias("t")), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(_verifier(threshold), "a long, b long, edits int")
+    # copies of a line in other tasks bring equal rows
+    members = stored(
+        _meeting(index, probe, threshold, 0).unionByName(_meeting(probe, index, threshold, 1)).distinct(), "edit-join-members")
+    texts = stored(_wanted_texts(docs, id_col, text_col, members.select("line").distinct()), "edit-join-texts")
+    placed = members.join(texts, "line")
+    blocks = placed.groupBy("key").agg(*(
+        F.greatest(F.ceil(F.count_if(F.col("side") == side) / block_lines),
+                   F.ceil(F.sum(F.when(F.col("side") == side, F.octet_length("text"))) / block_bytes)).alias(name)
+        for side, name in ((0, "own"), (1, "others"))))
+    own, others = (F.pmod(F.xxhash64("line"), F.col(c)) for c in ("own", "others"))
+    first = F.col("side") == 0
+    dealt = placed.join(blocks, "key").select(
+        "key", "side", "line", "marks", "text", F.when(first, own).otherwise(others).alias("mine"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.when(first, F.col("others")).otherwise(F.col("own")) - 1)).alias("met"))
+    units = dealt.select(
+        "key", F.when(first, F.col("mine")).otherwise(F.col("met")).alias("a"),
+        F.when(first, F.col("met")).otherwise(F.col("mine")).alias("b"), "side", "line", "marks", "text")
+    return units.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(
+        _comparer(threshold, min_chars), "line long, links long, other long")
+
+
+def _meeting(rows: DataFrame, others: DataFrame, threshold: int, side: int) -> DataFrame:
+    """The ``rows`` that share their key with another line whose characters may be those of a line ``threshold`` edits away."""
+    other = others.select(F.col("key").alias("k"), F.col("line").alias("l"), F.col("marks").alias("m"))
+    fits = (F.col("line") != F.col("l")) & (F.bit_count(F.col("m").bitwiseXOR(F.col("marks"))) <= 2 * threshold)
+    return rows.join(other, (F.col("key") == F.col("k")) & fits, "left_semi").withColumn("side", F.lit(side))
 
 
 def cut(length: int, threshold: int) -> list[tuple[int, int]]:
@@ -240,18 +269,78 @@ def _segments(threshold: int, min_chars: int, below: int | None, probe: bool):
     return run
 
 
-def _verifier(threshold: int):
+def _comparer(threshold: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s, t = batch.column("s").to_pylist(), batch.column("t").to_pylist()
-            edits = banded_distances(s, t, threshold)
-            near = pa.array(edits <= threshold)
+        for unit in sorted_units(batches, ("key", "a", "b")):
+            side, names = unit.column("side").to_numpy(), unit.column("line").to_numpy()
+            own, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(own) or not len(others):
+                continue
+            marks, texts = unit.column("marks").to_numpy(), unit.column("text").to_pylist()
+            different, node = np.unique(names, return_inverse=True)
+            counts, spanning = np.zeros(len(different), np.int64), [np.empty((2, 0), np.int64)]
+            earlier = _earlier(unit.column("key")[0].as_py(), [texts[i] for i in own], [texts[j] for j in others],
+                               threshold, min_chars)
+            # of two lines of one length the smaller is looked up, so that the pair is met once
+            length = len(texts[own[0]])
+            longer = np.array([len(texts[j]) > length for j in others])
+            for s in range(0, len(own), SLICE):
+                part = own[s:s + SLICE]
+                may = np.bitwise_count(marks[part, None] ^ marks[None, others]) <= 2 * threshold
+                may &= longer[None, :] | (names[part, None] < names[None, others])
+                for mine, theirs in earlier:
+                    for column in theirs.T:
+                        may &= mine[s:s + SLICE, None] != column[None, :]
+                i, j = np.nonzero(may)
+                for c in range(0, len(i), PAIRS):
+                    x, y = part[i[c:c + PAIRS]], others[j[c:c + PAIRS]]
+                    near = banded_distances([texts[k] for k in x], [texts[k] for k in y], threshold) <= threshold
+                    links = node[x[near]], node[y[near]]
+                    for end in links:
+                        counts += np.bincount(end, minlength=len(counts))
+                    spanning.append(_spanning(len(different), *links))
+            kept = _spanning(len(different), *np.hstack(spanning))
+            linked = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(edits, pa.int32())], ["a", "b", "edits"]).filter(near)
+                [pa.array(np.concatenate((different[linked], different[kept[0]]))),
+                 pa.array(np.concatenate((counts[linked], np.zeros(kept.shape[1], np.int64)))),
+                 pa.array([None] * len(linked) + different[kept[1]].tolist(), pa.int64())], ["line", "links", "other"])
 
     return run
 
 
+def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Links, two rows, that connect what the links (i, j) connect: fewer than ``n``."""
+    low = forest(n, i, j)
+    moved = np.flatnonzero(low != np.arange(n))
+    return np.vstack((moved, low[moved]))
+
+
+def _earlier(key: int, own: list[str], others: list[str], threshold: int, min_chars: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What tells that a pair of this key meets at an earlier segment as well, where it is compared already.
+
+    For each segment before the key's: numbers of the indexed lines' segments,
+    and of the probing lines' possible matches of it (-1: none)."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    length = len(own[0])
+    segments = cut(length, threshold)
+    key %= 1 << 64
+    number = next(i for i, (at, n) in enumerate(segments) if digest(own[0][at:at + n].encode(), length * 64 + i) == key)
+    plans = {m: [(i, start, n) for o, i, start, n in probes(m, threshold, min_chars) if o == length] for m in {len(t) for t in others}}
+    out = []
+    for i, (at, n) in enumerate(segments[:number]):
+        ids: dict[str, int] = {}
+        mine = np.array([ids.setdefault(t[at:at + n], len(ids)) for t in own])
+        starts = {m: [start for k, start, _ in plan if k == i] for m, plan in plans.items()}
+        theirs = np.full((len(others), max(map(len, starts.values()))), -1)
+        for r, t in enumerate(others):
+            for c, start in enumerate(starts[len(t)]):
+                theirs[r, c] = ids.get(t[start:start + n], -1)
+        out.append((mine, theirs))
+    return out
+
+
 def banded_distances(s: list[str], t: list[str], threshold: int) -> np.ndarray:
     """Edit distance of each pair, ``threshold + 1`` where it is larger.
 

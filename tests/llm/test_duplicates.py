@@ -86,6 +86,28 @@ def test_edit_join_against_all_pairs(spark):
         assert kept[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if len(x) < 20 or (i, k) == first[low[x]])
 
 
+def test_edit_join_of_near_copies(spark):
+    """A group whose lines nearly all link: counts as by brute force, in one block and in many, and no row per pair."""
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdé ") for _ in range(33))
+    texts = sorted({_changed(rng, base, rng.randint(0, 1)) for _ in range(150)} | {_changed(rng, base, 4) for _ in range(9)})
+    df = spark.createDataFrame([(i, "\n".join(texts[i::7])) for i in range(7)], "doc_id long, text string")
+    near = {(a, b) for a in texts for b in texts if a != b and levenshtein(a, b) <= 2}
+    degree = sorted(sum(a == t for a, _ in near) for t in texts)
+    low = union(texts, near)
+    for lines, size in ((2048, 8_000_000), (20, 8_000_000), (2048, 700)):
+        rows = edit_join.line_links(df, "doc_id", "text", 2, 20, block_lines=lines, block_bytes=size).collect()
+        counts = {}
+        for r in rows:
+            counts[r.line] = counts.get(r.line, 0) + r.links
+        assert sorted([*counts.values(), *[0] * (len(texts) - len(counts))]) == degree
+        names = {xxhash.xxh3_64_intdigest(t.encode()) for t in texts}
+        found = union(names, [(r.line % 2**64, r.other % 2**64) for r in rows if r.other is not None])
+        assert len(set(found.values())) == len(set(low.values()))
+        if lines == 2048 and size > 700:
+            assert len(near) > 5_000 and len(rows) < len(near) / 4
+
+
 def test_edit_join_on_edges(edge_docs, no_docs):
     assert edit_join.join_lines(no_docs).count() == 0 and edit_join.dedup_lines(no_docs).count() == 0
     out = edit_join.dedup_lines(edge_docs)
