@@ -90,7 +90,7 @@ def test_edit_join_of_near_copies(spark):
     """A group whose lines nearly all link: counts as by brute force, in one block and in many, and no row per pair."""
     rng = random.Random(6)
     base = "".join(rng.choice("abcdé ") for _ in range(33))
-    texts = sorted({_changed(rng, base, rng.randint(0, 1)) for _ in range(150)} | {_changed(rng, base, 4) for _ in range(9)})
+    texts = sorted({_changed(rng, base, rng.randint(0, 1)) for _ in range(300)} | {_changed(rng, base, 4) for _ in range(9)})
     df = spark.createDataFrame([(i, "\n".join(texts[i::7])) for i in range(7)], "doc_id long, text string")
     near = {(a, b) for a in texts for b in texts if a != b and levenshtein(a, b) <= 2}
     degree = sorted(sum(a == t for a, _ in near) for t in texts)
