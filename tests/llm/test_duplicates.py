@@ -247,3 +247,27 @@ def test_repeats_on_edges(edge_docs, no_docs):
     assert rows[9][0].n_removed == rows[9][0].n_bytes and rows[9][0].kept == b""
     assert rows[5][0].n_bytes - rows[5][0].n_removed < 200
     assert [r.n_bytes for r in rows[1] + rows[2]] == [0, 0]
+
+
+def test_range_join_with_repeated_ids(spark):
+    """An id on several vectors: each is counted by itself, and the id is one node."""
+    vectors = [(5, [1.0, 0.0]), (5, [0.999, 0.01]), (5, [0.0, 1.0]), (6, [1.0, 0.001]), (6, [1.0, 0.001]), (7, [0.01, -1.0]),
+               (8, [-1.0, 0.0]), (9, [-1.0, 0.01]), (9, [0.02, -1.0])]
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in vectors]
+    near = [(i, j) for i in range(len(vectors)) for j in range(len(vectors)) if i != j and unit[i] @ unit[j] >= 0.95]
+    low = union({i for i, _ in vectors}, [(vectors[i][0], vectors[j][0]) for i, j in near])
+    want = sorted((vectors[k][0], sum(i == k for i, _ in near), low[vectors[k][0]]) for k in range(len(vectors)))
+    got = range_join.near_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), task_rows=2).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
+
+
+def test_range_join_deals_by_the_members_of_cells(spark):
+    """Clusters far apart, as many cells as clusters: rows dealt grow in proportion to the table, not with its square."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(100, 16))
+    dealt = []
+    for clusters in (20, 100):
+        rows = [[float(x) for x in c + rng.normal(size=16) * 0.01] for c in centres[:clusters] for _ in range(60)]
+        classes = spark.createDataFrame([(v, 1, k) for k, v in enumerate(rows)], "v array<double>, size long, rep long")
+        dealt.append(range_join._cells(classes, {16: range_join._unit(centres[:clusters])}, 0.05, 40).count())
+    assert dealt[1] < 6 * dealt[0]
