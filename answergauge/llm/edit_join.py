@@ -21,6 +21,7 @@ counted, at the first of them.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -161,11 +162,12 @@ def line_links(docs: DataFrame, id_col: str, text_col: str, threshold: int, min_
     blocks, each compared in one task.
     """
     rows = _rows(docs, id_col, text_col)
-    index = rows.mapInArrow(_segments(threshold, min_chars, below, probe=False), "key long, line long, marks long").distinct()
+    index = stored(
+        rows.mapInArrow(_segments(threshold, min_chars, below, probe=False), "key long, line long, marks long"), "edit-join-index")
     probe = rows.mapInArrow(_segments(threshold, min_chars, below, probe=True), "key long, line long, marks long")
     # copies of a line in other tasks bring equal rows
-    members = stored(
-        _meeting(index, probe, threshold, 0).unionByName(_meeting(probe, index, threshold, 1)).distinct(), "edit-join-members")
+    probing = stored(_meeting(probe, index, threshold, 1).distinct(), "edit-join-probing")
+    members = stored(_meeting(index, probing, threshold, 0).distinct().unionByName(probing), "edit-join-members")
     texts = stored(_wanted_texts(docs, id_col, text_col, members.select("line").distinct()), "edit-join-texts")
     placed = members.join(texts, "line")
     blocks = placed.groupBy("key").agg(*(
@@ -271,52 +273,84 @@ def _segments(threshold: int, min_chars: int, below: int | None, probe: bool):
 
 def _comparer(threshold: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # most keys have a few lines only: their pairs are compared together
+        names, texts, held, chars = [], [], 0, 0
         for unit in sorted_units(batches, ("key", "a", "b")):
-            side, names = unit.column("side").to_numpy(), unit.column("line").to_numpy()
-            own, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not len(own) or not len(others):
-                continue
-            marks, texts = unit.column("marks").to_numpy(), unit.column("text").to_pylist()
-            different, node = np.unique(names, return_inverse=True)
-            counts, spanning = np.zeros(len(different), np.int64), [np.empty((2, 0), np.int64)]
-            earlier = _earlier(unit.column("key")[0].as_py(), [texts[i] for i in own], [texts[j] for j in others],
-                               threshold, min_chars)
-            # of two lines of one length the smaller is looked up, so that the pair is met once
-            length = len(texts[own[0]])
-            longer = np.array([len(texts[j]) > length for j in others])
-            for s in range(0, len(own), SLICE):
-                part = own[s:s + SLICE]
-                may = np.bitwise_count(marks[part, None] ^ marks[None, others]) <= 2 * threshold
-                may &= longer[None, :] | (names[part, None] < names[None, others])
-                for mine, theirs in earlier:
-                    for column in theirs.T:
-                        may &= mine[s:s + SLICE, None] != column[None, :]
-                i, j = np.nonzero(may)
-                for c in range(0, len(i), PAIRS):
-                    x, y = part[i[c:c + PAIRS]], others[j[c:c + PAIRS]]
-                    near = banded_distances([texts[k] for k in x], [texts[k] for k in y], threshold) <= threshold
-                    links = node[x[near]], node[y[near]]
-                    for end in links:
-                        counts += np.bincount(end, minlength=len(counts))
-                    spanning.append(_spanning(len(different), *links))
-            kept = _spanning(len(different), *np.hstack(spanning))
-            linked = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((different[linked], different[kept[0]]))),
-                 pa.array(np.concatenate((counts[linked], np.zeros(kept.shape[1], np.int64)))),
-                 pa.array([None] * len(linked) + different[kept[1]].tolist(), pa.int64())], ["line", "links", "other"])
+            of_unit = np.array(unit.column("text").to_pylist(), object)
+            size = sum(map(len, of_unit))
+            lines = unit.column("line").to_numpy()
+            for i, j in _candidates(unit, lines, of_unit, threshold, min_chars):
+                names.append((lines[i], lines[j]))
+                texts.append((of_unit[i], of_unit[j]))
+                held += len(i)
+                if held >= PAIRS:
+                    yield _counted(names, texts, threshold)
+                    names, texts, held, chars = [], [], 0, 0
+            chars += size
+            if chars >= BLOCK_BYTES and held:
+                yield _counted(names, texts, threshold)
+                names, texts, held, chars = [], [], 0, 0
+        if held:
+            yield _counted(names, texts, threshold)
 
     return run
 
 
-def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Links, two rows, that connect what the links (i, j) connect: fewer than ``n``."""
+def _candidates(unit: pa.Table, names: np.ndarray, texts: np.ndarray, threshold: int,
+                min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of a unit that are to be compared at its key, at most PAIRS at a time."""
+    side, marks = unit.column("side").to_numpy(), unit.column("marks").to_numpy()
+    own, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(own) or not len(others):
+        return
+    earlier = _earlier(unit.column("key")[0].as_py(), texts[own], texts[others], threshold, min_chars)
+    # of two lines of one length the smaller is looked up, so that the pair is met once
+    length = len(texts[own[0]])
+    longer = np.array([len(texts[j]) > length for j in others])
+    for s in range(0, len(own), SLICE):
+        part = own[s:s + SLICE]
+        may = np.bitwise_count(marks[part, None] ^ marks[None, others]) <= 2 * threshold
+        may &= longer[None, :] | (names[part, None] < names[None, others])
+        for mine, theirs in earlier:
+            for column in theirs.T:
+                may &= mine[s:s + SLICE, None] != column[None, :]
+        i, j = np.nonzero(may)
+        for c in range(0, len(i), PAIRS):
+            yield part[i[c:c + PAIRS]], others[j[c:c + PAIRS]]
+
+
+def _counted(names: list[tuple], texts: list[tuple], threshold: int) -> pa.RecordBatch:
+    """Links per line, and spanning links, among these candidates."""
+    a, b = (np.concatenate(x) for x in zip(*names))
+    s, t = (np.concatenate(x) for x in zip(*texts))
+    near = banded_distances(s, t, threshold) <= threshold
+    different, node = np.unique(np.concatenate((a[near], b[near])), return_inverse=True)
+    counts = np.bincount(node, minlength=len(different))
+    moved, low = _spanning(len(different), *node.reshape(2, -1))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate((different, different[moved]))),
+         pa.array(np.concatenate((counts, np.zeros(len(moved), np.int64)))),
+         pa.array([None] * len(different) + different[low].tolist(), pa.int64())], ["line", "links", "other"])
+
+
+def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the links (i, j) connect: fewer than ``n``."""
     low = forest(n, i, j)
     moved = np.flatnonzero(low != np.arange(n))
-    return np.vstack((moved, low[moved]))
+    return moved, low[moved]
+
+
+@functools.lru_cache(10_000)
+def _starts(length: int, other: int, threshold: int, min_chars: int) -> list[list[int]]:
+    """For each segment of lines with ``other`` characters, where a line of ``length`` may hold it."""
+    out = [[] for _ in range(threshold + 1)]
+    for o, i, start, _ in probes(length, threshold, min_chars):
+        if o == other:
+            out[i].append(start)
+    return out
 
 
-def _earlier(key: int, own: list[str], others: list[str], threshold: int, min_chars: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _earlier(key: int, own: np.ndarray, others: np.ndarray, threshold: int, min_chars: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """What tells that a pair of this key meets at an earlier segment as well, where it is compared already.
 
     For each segment before the key's: numbers of the indexed lines' segments,
@@ -327,15 +361,14 @@ def _earlier(key: int, own: list[str], others: list[str], threshold: int, min_ch
     segments = cut(length, threshold)
     key %= 1 << 64
     number = next(i for i, (at, n) in enumerate(segments) if digest(own[0][at:at + n].encode(), length * 64 + i) == key)
-    plans = {m: [(i, start, n) for o, i, start, n in probes(m, threshold, min_chars) if o == length] for m in {len(t) for t in others}}
+    plans = [_starts(len(t), length, threshold, min_chars) for t in others]
     out = []
     for i, (at, n) in enumerate(segments[:number]):
         ids: dict[str, int] = {}
         mine = np.array([ids.setdefault(t[at:at + n], len(ids)) for t in own])
-        starts = {m: [start for k, start, _ in plan if k == i] for m, plan in plans.items()}
-        theirs = np.full((len(others), max(map(len, starts.values()))), -1)
-        for r, t in enumerate(others):
-            for c, start in enumerate(starts[len(t)]):
+        theirs = np.full((len(others), max(len(plan[i]) for plan in plans)), -1)
+        for r, (t, plan) in enumerate(zip(others, plans)):
+            for c, start in enumerate(plan[i]):
                 theirs[r, c] = ids.get(t[start:start + n], -1)
         out.append((mine, theirs))
     return out
