@@ -5,7 +5,8 @@ network whose domain is exactly the set of valid values of that format: card
 numbers keep their length, separators and check digit, addresses stay dotted
 quads, dates stay dates. A permutation maps equal values to equal ones and
 different values to different ones, so they stay linked across documents
-without a table of values; nothing is shuffled.
+without a table of values; nothing is shuffled. Dates written month first are
+linked to each other only.
 
 A text is split at the values found; they are replaced and the pieces joined.
 """
@@ -33,6 +34,7 @@ ALL = f"(?:{MAIL}|{NUMBERS})"
 KINDS = ("card", "phone", "address", "date", "social", "mail", "secret")
 
 FIRST_DAY, DAYS = "1600-01-01", (378, 773)  # two whole Gregorian cycles: 1600 to 2399
+FIRST_YEAR, MONTHS, LATE_DAYS = 1600, 9600, (18, 9833)  # the same years: 9600 months, 176,994 days after the twelfth
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,14 +193,48 @@ def _day(m: Column) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
+    """A date of the same format.
+
+    ``MM/dd/yyyy`` is the reading of strings that are no ``dd/MM/yyyy``, those with
+    a day after the twelfth. They are permuted among themselves: their pseudonyms
+    could otherwise be strings that stand for another day in the other format.
+    """
+    form = _format(m)
+    moved = _let(_day(m), lambda d: F.when(form == "MM/dd/yyyy", _late_day(d, key)).otherwise(_any_day(d, key)))
+    return _let(moved, lambda d: F.when(form == "yyyy-MM-dd", F.date_format(_calendar(d), "yyyy-MM-dd"))
+                .when(form == "dd.MM.yyyy", F.date_format(_calendar(d), "dd.MM.yyyy"))
+                .when(form == "dd/MM/yyyy", F.date_format(_calendar(d), "dd/MM/yyyy"))
+                .otherwise(F.date_format(_calendar(d), "MM/dd/yyyy")))
+
+
+def _calendar(d: Column) -> Column:
+    return F.date_from_unix_date(d.cast("int") + F.unix_date(F.lit(FIRST_DAY).cast("date")))
+
+
+def _any_day(d: Column, key: str) -> Column:
     a, b = DAYS
-    out = _let(_day(m), lambda d: _feistel(F.floor(d / b), d % b, F.lit(a), F.lit(b), key, F.lit("date")))
-    day = _let(out, lambda x: F.date_from_unix_date(
-        (x["l"] * b + x["r"]).cast("int") + F.unix_date(F.lit(FIRST_DAY).cast("date"))))
-    return _let(day, lambda d: F.when(_format(m) == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd"))
-                .when(_format(m) == "dd.MM.yyyy", F.date_format(d, "dd.MM.yyyy"))
-                .when(_format(m) == "dd/MM/yyyy", F.date_format(d, "dd/MM/yyyy"))
-                .otherwise(F.date_format(d, "MM/dd/yyyy")))
+    return _let(_feistel(F.floor(d / b), d % b, F.lit(a), F.lit(b), key, F.lit("date")), lambda x: x["l"] * b + x["r"])
+
+
+def _late_day(d: Column, key: str) -> Column:
+    """Permutes the days after the twelfth of their months, counted without the twelve before each."""
+    a, b = LATE_DAYS
+    day = _calendar(d)
+    month = (F.year(day) - FIRST_YEAR) * 12 + F.month(day) - 1
+
+    def first(m: Column) -> Column:
+        """The count at the thirteenth of a month."""
+        begin = F.make_date((F.floor(m / 12) + FIRST_YEAR).cast("int"), (m % 12 + 1).cast("int"), F.lit(1))
+        return F.datediff(begin, F.lit(FIRST_DAY).cast("date")) - m * 12
+
+    def back(x: Column) -> Column:
+        # months are nearly equal, so the month by the mean length is at most one off
+        near = F.floor(x * MONTHS / (a * b))
+        return x + 12 * (near + (x >= first(near + 1)).cast("int") - (x < first(near)).cast("int") + 1)
+
+    moved = _let(d - (month + 1) * 12, lambda x: _feistel(
+        F.floor(x / b), x % b, F.lit(a), F.lit(b), key, F.lit("late date")))
+    return _let(_let(moved, lambda x: x["l"] * b + x["r"]), back)
 
 
 def _letters(s: Column, key: str, tag: str) -> Column:

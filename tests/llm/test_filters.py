@@ -222,6 +222,18 @@ def test_pseudonyms_are_a_permutation(spark):
     assert other.where("text = t").count() < 5
 
 
+def test_slashed_dates_never_share_a_pseudonym(spark):
+    """Every string that is a date of 1600 to 2399 with the day or, where that is none, the month first."""
+    days = spark.range(292194).select(F.date_add(F.lit("1600-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    texts = days.select(F.date_format("d", "dd/MM/yyyy").alias("text")).unionByName(
+        days.where("day(d) > 12").select(F.date_format("d", "MM/dd/yyyy").alias("text")))
+    out = pii.pseudonymise(texts.withColumn("doc_id", F.lit(1)), "k")
+    month_first = F.try_to_timestamp("text", F.lit("dd/MM/yyyy")).isNull()
+    found = out.agg(F.count("*"), F.countDistinct("text"), F.sum("n_date"), F.count_if(month_first),
+                    F.count_if(F.try_to_timestamp("text", F.lit("MM/dd/yyyy")).isNull() & month_first)).first()
+    assert tuple(found) == (292194 + 176994,) * 3 + (176994, 0)
+
+
 def test_pseudonyms_on_edges(edge_docs, no_docs):
     assert pii.pseudonymise(no_docs, "k").count() == 0
     rows = pii.pseudonymise(edge_docs, "k").collect()
