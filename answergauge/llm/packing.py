@@ -8,6 +8,7 @@ plain arithmetic, and it is cut wherever a multiple of the window falls.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -39,14 +40,16 @@ def pack(
     sequences are full but the last; that one is padded to the window unless its
     length is a power of two (``padded_length``). ``with_ids`` adds the piece's
     ids as little-endian bytes. Repeated rows and null ids are documents of their
-    own; an empty table gives no piece.
+    own; an empty table gives no piece. Any file of the ``tokenizers`` library is
+    right; one whose tokens cannot be told word by word encodes whole texts, slower.
     """
     tokens = stored(_encoded(docs, tokenizer_path, end_id, id_col, text_col, cache_size), "packing")
     totals = tokens.groupBy("part").agg(F.sum("n").alias("part_n"))  # one row per task
-    starts = totals.select(
+    starts = stored(totals.select(
         "part", F.sum("part_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("first"),
-        F.sum("part_n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
-    placed = tokens.join(F.broadcast(starts), "part").select(
+        F.sum("part_n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all")),
+        "packing-starts")  # as a table its size is known, and Spark broadcasts it while it is small
+    placed = tokens.join(starts, "part").select(
         "doc_id", "ids", "wide", (F.coalesce("first", F.lit(0)) + F.col("before")).alias("at"), "all")
     schema = PIECES + (", ids binary" if with_ids else "")
 
@@ -82,13 +85,17 @@ def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
 
 def _encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str, cache_size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, wide, cache = _model(path)
+        model, wide, cache, by_word = _model(path)
         end = np.array([end_id], "<u4" if wide else "<u2").tobytes()
         part, before, width = TaskContext.get().partitionId(), 0, 4 if wide else 2
         for batch in bounded(batches, "text", 8_000_000):
             blobs, ahead = [], []
             for text in batch.column("text").to_pylist():
-                blobs.append(_ids(text, model, wide, cache, cache_size) + end)
+                if by_word:
+                    blobs.append(_ids(text, model, wide, cache, cache_size) + end)
+                else:
+                    ids = model.encode(text, add_special_tokens=False).ids
+                    blobs.append(np.array(ids, "<u4" if wide else "<u2").tobytes() + end)
                 ahead.append(before)
                 before += len(blobs[-1]) // width
             k = len(blobs)
@@ -103,17 +110,40 @@ def _encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str
 
 
 def _model(path: str) -> tuple:
-    """Tokenizer, whether its ids need four bytes, and the words known so far."""
+    """Tokenizer, whether its ids need four bytes, the words known so far, and whether words are encoded apart."""
     def load() -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        return model, model.get_vocab_size() > 65_536, {}
+        model.no_truncation()
+        model.no_padding()
+        return model, model.get_vocab_size() > 65_536, {}, _is_word_wise(json.loads(model.to_str()))
 
     return worker_cache(("packing", path), load)
 
 
+# Settings of a tokenizer that lower-cases, drops white space and never lets a letter and a
+# punctuation mark share a token.
+_NORMALIZERS = [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+def _is_word_wise(settings: dict) -> bool:
+    """Whether ``_ids`` gives what the library gives for a tokenizer with these settings."""
+    normalizer, before, model = (settings[k] or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    return (
+        normalizer.get("normalizers") == _NORMALIZERS and before.get("pretokenizers") == _PRE_TOKENIZERS
+        and model.get("type") == "BPE" and not model.get("dropout")
+        and all(t["content"].startswith("<|") and t["content"].endswith("|>") and not t["content"][2:-2].split()[1:]
+                and not t["normalized"] and not t["single_word"] and not t["lstrip"] and not t["rstrip"]
+                for t in settings["added_tokens"]))
+
+
 def _ids(text: str, model, wide: bool, cache: dict, cache_size: int) -> bytes:
     """The text's ids as bytes, word by word: this kind of tokenizer drops white space before it
     looks for tokens, so words between ASCII white space are encoded independently."""

@@ -1,5 +1,6 @@
 """Token counts, packing and the language model against plain Python."""
 
+import json
 import math
 import random
 import zlib
@@ -37,6 +38,29 @@ def test_token_counts_equal_the_library(spark, edge_docs, no_docs):
     assert len(rows) == 11 and {r.doc_id for r in rows if r.over_limit} == {5, 9}
 
 
+def test_packing_with_other_tokenizers(spark, tmp_path):
+    """Files whose tokens reach over words, or keep capitals, give the library's ids too."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    path = tokenizer_file("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    assert packing._is_word_wise(json.loads(model.to_str()))
+    texts = TRICKY + ["Two Words", "THE END"] + _mixed(50)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for name, change in (("normalizer", normalizers.NFC()), ("pre_tokenizer", pre_tokenizers.ByteLevel(add_prefix_space=True))):
+        model = Tokenizer.from_file(path)
+        setattr(model, name, change)
+        model.enable_truncation(3)
+        file = str(tmp_path / f"{name}.json")
+        model.save(file)
+        model.no_truncation()
+        rows = packing.pack(docs, file, end_id=2, with_ids=True).collect()
+        got = defaultdict(list)
+        for p in sorted(rows, key=lambda p: (p.doc_id, p.start)):
+            got[p.doc_id] += np.frombuffer(p.ids, "<u4").tolist()
+        assert got == {i: model.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+
+
 def test_packing_is_whole_and_gapless(spark, edge_docs, no_docs):
     from tokenizers import Tokenizer
 
