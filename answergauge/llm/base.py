@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -78,6 +79,14 @@ def worker_cache(key: tuple, make: Callable[[], object]) -> object:
     return _WORKER[key]
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the machine; its allocators would keep it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds

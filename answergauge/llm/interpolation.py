@@ -18,14 +18,15 @@ with a probability of about m^2 / 2^65.)
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.base import arrow_table, block_count, fold, input_rows, lower_words, packed, slices, stored, unpacked
+from answergauge.llm.base import (
+    arrow_table, block_count, fold, give_back, input_rows, lower_words, packed, slices, stored, unpacked)
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3  # remainders: scored only; deleted from the counts that the weights learn with
 BLOCK_BYTES, BLOCK_DOCS = 16_000_000, 40_000
@@ -87,34 +88,47 @@ class _Block:
     def __init__(self, table: pa.Table):
         from xxhash import xxh3_64_intdigest
 
+        give_back()
         self.ids, self.fold = table.column("id"), table.column("fold").to_numpy()
         known: dict[bytes, int] = {}
-        lengths, parts = [], []
+        lengths, tokens = [], array("i", [0])
         for text in table.column("text"):
             words = lower_words(text.as_py())
             lengths.append(len(words) + 1)
             for w in words:
                 known.setdefault(w, len(known) + 1)
-            parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-            parts.append(np.zeros(1, np.int32))  # 0 is the end of a text, and the context before its first word
+            tokens.extend(map(known.__getitem__, words))
+            tokens.append(0)  # 0 is the end of a text, and the context before its first word
         self.lengths = np.array(lengths, np.int64)
-        self.tokens = np.concatenate(parts)
         hashes = np.empty(len(known) + 1, np.uint64)
         hashes[0] = 0
         hashes[1:] = np.fromiter(map(xxh3_64_intdigest, known), np.uint64, len(known))
         del known
-        self.words, place = np.unique(hashes, return_inverse=True)
-        place = place.astype(np.int32)
-        self.word_at = place[self.tokens]
-        before = np.empty_like(self.tokens)
-        before[0], before[1:] = 0, self.tokens[:-1]
-        self.context_at = place[before]
-        pair = _mix(hashes[before], hashes[self.tokens])
-        del before, hashes, self.tokens
-        self.pairs, at = np.unique(pair, return_inverse=True)
-        self.pair_at = at.astype(np.int32)
-        del pair, at
-        self.token_fold = np.repeat(self.fold, self.lengths)
+        number = np.frombuffer(tokens, np.int32)
+        pair = np.empty(len(number) - 1, np.uint64)
+        for x in range(0, len(pair), TOKENS):
+            at = number[x:x + TOKENS + 1]
+            pair[x:x + TOKENS] = _mix(hashes[at[:-1]], hashes[at[1:]])
+        self.pairs, self.pair_at = _distinct(pair)
+        del pair
+        self.words, place = _distinct(hashes)
+        word_at = place[number]
+        self.word_at, self.context_at = word_at[1:], word_at[:-1]
+        del place, number, tokens, hashes, word_at
+        give_back()
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and where each key stands among them; sorted in parts, so that little is copied."""
+    part = (keys >> np.uint64(60)).astype(np.uint8)
+    at, found, n = np.empty(len(keys), np.int32), [], 0
+    for k in range(16):
+        mine = np.flatnonzero(part == k)
+        values, place = np.unique(keys[mine], return_inverse=True)
+        at[mine] = place + n
+        found.append(values)
+        n += len(values)
+    return np.concatenate(found), at
 
 
 def _mix(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -126,12 +140,13 @@ def _mix(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 def _ask(table: pa.Table, buckets: int) -> pa.Table:
     block = _Block(table)
     number = table.column("block")[0].as_py()
-    trained = block.token_fold != HELD_OUT
-    deleted = block.token_fold == DELETED
+    trained = np.repeat(block.fold != HELD_OUT, block.lengths)
+    deleted = np.repeat(block.fold == DELETED, block.lengths)
+    asked = [(kind, keys, *(np.bincount(at[some], minlength=len(keys)) for some in (trained, deleted)))
+             for kind, keys, at in ((WORD, block.words, block.word_at), (PAIR, block.pairs, block.pair_at))]
+    del block, trained, deleted
     out: list[tuple] = []
-    for kind, keys, at in ((WORD, block.words, block.word_at), (PAIR, block.pairs, block.pair_at)):
-        of_trained = np.bincount(at[trained], minlength=len(keys))
-        of_deleted = np.bincount(at[deleted], minlength=len(keys))
+    for kind, keys, of_trained, of_deleted in asked:
         borders = slices(keys, buckets)
         for b in range(buckets):
             x, y = borders[b], borders[b + 1]
@@ -171,8 +186,11 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def _replies(counts: pa.Table, name: str, kind: int) -> np.ndarray:
-    rows = [(b, c) for k, b, c in zip(*(counts.column(x).to_pylist() for x in ("kind", "bucket", name))) if k == kind]
-    return np.concatenate([unpacked(c) for _, c in sorted(rows, key=lambda r: r[0])]).astype(np.float64)
+    kinds, numbers = (counts.column(x).to_numpy() for x in ("kind", "bucket"))
+    mine = np.flatnonzero(kinds == kind)
+    column = counts.column(name)
+    return np.concatenate([unpacked(column[int(i)].as_buffer()).astype(np.float64)
+                           for i in mine[np.argsort(numbers[mine], kind="stable")]])
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
