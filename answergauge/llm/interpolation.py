@@ -19,6 +19,8 @@ with a probability of about m^2 / 2^65.)
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,9 @@ from answergauge.llm.base import (
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3  # remainders: scored only; deleted from the counts that the weights learn with
 BLOCK_BYTES, BLOCK_DOCS = 16_000_000, 40_000
+PAIR_BUCKETS = 4  # a block's bigrams for each of its words' buckets; so a bucket of either has some megabytes
 TOKENS = 300_000  # scored at a time
+ROWS = 64  # in an Arrow batch
 ITERATIONS = 12
 LAST_BUCKET = 24  # contexts of 2^24 occurrences and more share a bucket
 WORD, PAIR = 0, 1
@@ -54,7 +58,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).alias("block"))
     # the deleted documents have blocks of their own, so that learning weights touches only those
     dealt = dealt.withColumn("block", F.col("block") * 2 + (F.col("fold") == DELETED).cast("int"))
-    buckets = max(8, n_blocks)
+    buckets = {WORD: max(8, n_blocks), PAIR: max(8, PAIR_BUCKETS * n_blocks)}
     asked = dealt.groupBy("block").applyInArrow(
         lambda t: _ask(t, buckets), "kind int, bucket int, block long, keys binary, trained binary, deleted binary")
     answers = stored(
@@ -68,7 +72,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     replies = answers.select("kind", "bucket", "block", "trained", "kept")
 
     def learn(key, texts: pa.Table, counts: pa.Table) -> pa.Table:
-        return _held_out_counts(texts, counts, buckets, kept_n)
+        return _held_out_counts(texts, counts, kept_n)
 
     deleted = dealt.where(F.col("block") % 2 == 1).groupBy("block").cogroup(
         replies.where(F.col("block") % 2 == 1).groupBy("block")).applyInArrow(
@@ -77,7 +81,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     weights = _weights(held, vocabulary)
 
     def mix(key, texts: pa.Table, counts: pa.Table) -> pa.Table:
-        return _scores(texts, counts, buckets, n, vocabulary, weights)
+        return _scores(texts, counts, n, vocabulary, weights)
 
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(mix, SCHEMA)
 
@@ -137,7 +141,7 @@ def _mix(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _ask(table: pa.Table, buckets: int) -> pa.Table:
+def _ask(table: pa.Table, buckets: dict[int, int]) -> pa.Table:
     block = _Block(table)
     number = table.column("block")[0].as_py()
     trained = np.repeat(block.fold != HELD_OUT, block.lengths)
@@ -145,16 +149,27 @@ def _ask(table: pa.Table, buckets: int) -> pa.Table:
     asked = [(kind, keys, *(np.bincount(at[some], minlength=len(keys)) for some in (trained, deleted)))
              for kind, keys, at in ((WORD, block.words, block.word_at), (PAIR, block.pairs, block.pair_at))]
     del block, trained, deleted
-    out: list[tuple] = []
-    for kind, keys, of_trained, of_deleted in asked:
-        borders = slices(keys, buckets)
-        for b in range(buckets):
-            x, y = borders[b], borders[b + 1]
-            if x < y:
-                part = keys[x:y]
-                steps = np.concatenate((part[:1], np.diff(part)))
-                out.append((kind, b, number, packed(steps), packed(of_trained[x:y]), packed(of_deleted[x:y])))
-    return arrow_table(out, _ASKED)
+    give_back()
+
+    def rows() -> Iterator[tuple]:
+        for kind, keys, of_trained, of_deleted in asked:
+            borders = slices(keys, buckets[kind])
+            for b in range(buckets[kind]):
+                x, y = borders[b], borders[b + 1]
+                if x < y:
+                    part = keys[x:y]
+                    steps = np.concatenate((part[:1], np.diff(part)))
+                    yield kind, b, number, packed(steps), packed(of_trained[x:y]), packed(of_deleted[x:y])
+
+    return _in_batches(rows(), _ASKED)
+
+
+def _in_batches(rows: Iterator[tuple], schema: pa.Schema) -> pa.Table:
+    """A table of small batches; Spark takes over one at a time."""
+    parts = [schema.empty_table()]
+    while some := list(islice(rows, ROWS)):
+        parts.append(arrow_table(some, schema))
+    return pa.concat_tables(parts)
 
 
 _ASKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()),
@@ -165,24 +180,32 @@ _ANSWERED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", p
 
 def _answer(table: pa.Table) -> pa.Table:
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    keys = [np.cumsum(unpacked(k.as_py()), dtype=np.uint64) for k in table.column("keys")]
-    merged, place = np.unique(np.concatenate(keys), return_inverse=True)
+    keys = [np.cumsum(unpacked(k.as_buffer()), dtype=np.uint64) for k in table.column("keys")]
+    ends = np.cumsum([len(k) for k in keys])
+    merged, place = _distinct(np.concatenate(keys))
+    del keys
 
     def total(name: str) -> np.ndarray:
-        counts = np.concatenate([unpacked(c.as_py()) for c in table.column(name)])
-        return np.bincount(place, weights=counts.astype(float), minlength=len(merged)).astype(np.uint64)
-
-    trained, deleted = total("trained"), total("deleted")
-    kept = trained - deleted
-    out, at = [], 0
+        """Of each merged key; a block has a key once, so its counts can be added in place."""
+        out = np.zeros(len(merged), np.uint64)
+        for end, start, c in zip(ends, [0, *ends], table.column(name)):
+            out[place[start:end]] += unpacked(c.as_buffer())
+        return out
+
+    trained = total("trained")
+    kept = trained - total("deleted")
     sizes = [int(np.count_nonzero(trained)), int(trained.sum()), int(np.count_nonzero(kept)), int(kept.sum())]
-    for number, own in zip(table.column("block").to_pylist(), keys):
-        mine = place[at:at + len(own)]
-        at += len(own)
-        # only blocks of deleted documents learn from what is kept
-        out.append((kind, bucket, number, packed(trained[mine]), packed(kept[mine]) if number % 2 else None,
-                    [] if out else sizes))
-    return arrow_table(out, _ANSWERED)
+
+    def rows() -> Iterator[tuple]:
+        for end, start, number in zip(ends, [0, *ends], table.column("block").to_pylist()):
+            mine = place[start:end]
+            # only blocks of deleted documents learn from what is kept
+            yield (kind, bucket, number, packed(trained[mine]), packed(kept[mine]) if number % 2 else None,
+                   [] if start else sizes)
+
+    out = _in_batches(rows(), _ANSWERED)
+    give_back()
+    return out
 
 
 def _replies(counts: pa.Table, name: str, kind: int) -> np.ndarray:
@@ -198,7 +221,7 @@ def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(context + 1)), LAST_BUCKET).astype(np.int32)
 
 
-def _held_out_counts(texts: pa.Table, counts: pa.Table, buckets: int, n: int) -> pa.Table:
+def _held_out_counts(texts: pa.Table, counts: pa.Table, n: int) -> pa.Table:
     """Distinct (context bucket, bigram estimate, word estimate) of the deleted tokens, with their number."""
     schema = pa.schema([("bucket", pa.int32()), ("pair", pa.float64()), ("word", pa.float64()), ("n", pa.int64())])
     if not len(texts):
@@ -237,7 +260,7 @@ def _weights(held: DataFrame, vocabulary: int, iterations: int = ITERATIONS) ->
     return {b: tuple((x + floor) / (sum(w) + 3 * floor) for x in w) for b, w in weights.items()}
 
 
-def _scores(texts: pa.Table, counts: pa.Table, buckets: int, n: int, vocabulary: int, weights: dict) -> pa.Table:
+def _scores(texts: pa.Table, counts: pa.Table, n: int, vocabulary: int, weights: dict) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                         ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()),
                         ("score", pa.float64()), ("bits_per_token", pa.float64())])
