@@ -1,9 +1,9 @@
 """Benchmark decontamination: latent semantic retrieval of passages, then word-order checks.
 
 Terms are the benchmark's words. A passage is a row of TF-IDF weights over them;
-the leading right singular vectors of the passage matrix, found by a distributed
-randomised SVD (tasks multiply their passages with a random matrix, the driver
-sees terms x rank numbers only), map words to a small latent space. There a
+the leading right singular vectors of the matrix of all passages, found by a
+distributed randomised SVD (tasks multiply their passages with a random matrix,
+the driver sees terms x rank numbers only), map words to a small latent space. There a
 document is cut into chunks of words, and the vector of a window of chunks is a
 difference of prefix sums. Each benchmark item is compared by cosine with all
 windows of its size, at every chunk of every document. Candidates are verified
@@ -26,29 +26,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.llm.base import input_rows, keep_where
+from answergauge.llm.base import bounded, input_rows, keep_where
 
 CHUNK = 8  # words; windows start at every chunk
 AROUND = 2  # chunks on either side of a window that are verified with it
 PASSAGE = 32  # words of the passages that fit the latent space
 RANK, OVERSAMPLE = 96, 8
 BLOCK_WORDS = 200_000  # benchmark words searched for at a time
-FIT_DOCUMENTS = 1_000  # documents whose passages fit the latent space, besides all items
+TERMS = 64  # rows of the Gram product that are added up together
+PIECE = 200_000  # characters of text searched together, or one text that is longer
+TILE = 2_048  # windows compared with the items of one size at a time
 ANSWER_WORDS = 3
 PARAPHRASED = 0.5  # share of an item's words that the query and the pipeline ask of a paraphrase
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, cosine double, lcs long, share double, answer boolean"
 # Punctuation counts as space, capitals as small letters.
 _WORDS = bytes.maketrans(string.punctuation.encode() + string.ascii_uppercase.encode(),
                          b" " * len(string.punctuation) + string.ascii_lowercase.encode())
-_SPACES = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c)[0] in "PZ" or c.isspace())
+_SPACES = np.array([c > 127 and (unicodedata.category(chr(c))[0] in "PZ" or chr(c).isspace()) for c in range(sys.maxunicode + 1)])
 
 
 def words(text: str) -> list[bytes]:
     """Words without regard to case, composition of accents and punctuation of any script."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
-        for c in _SPACES.intersection(text):
-            text = text.replace(c, " ")
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        space = _SPACES[codes]
+        if space.any():
+            text = np.where(space, np.uint32(32), codes).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
     return text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
@@ -97,7 +101,7 @@ def drop_leaked(
         def clean(texts: list[str], shared=shared) -> list[bool]:
             items, vocabulary, space = shared.value
             groups = _groups(items, vocabulary, space, limits[0])
-            return [not _search(None, words(t), items, groups, vocabulary, space, limits) for t in texts]
+            return [not hits for hits in _search(texts, items, groups, vocabulary, space, limits)]
 
         docs = keep_where(docs, text_col, clean)
     return docs
@@ -140,65 +144,78 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str)
         yield block
 
 
-def _passages(ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Known words of a text and the number of the passage each is in."""
-    at = np.flatnonzero(ids)
-    return ids[at] - 1, at // length
+def _numbers(own: list[list[bytes]], vocabulary: dict[bytes, int], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers (0: unknown) in rows of ``length``, each text beginning a row, and the rows per text."""
+    rows = np.array([-(-len(w) // length) for w in own], np.int64)
+    ids = np.zeros(rows.sum() * length, np.int32)
+    for w, start in zip(own, ((np.cumsum(rows) - rows) * length).tolist()):
+        ids[start:start + len(w)] = np.fromiter(map(vocabulary.get, w, itertools.repeat(0)), np.int32, len(w))
+    return ids.reshape(-1, length), rows
+
+
+def _row_sums(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The sum of the words' vectors in each row of ``ids``."""
+    total = np.zeros((len(ids), vectors.shape[1]), vectors.dtype)
+    for column in ids.T:
+        total += vectors[column]
+    return total
 
 
 def _latent_space(rows: DataFrame, items: list[_Item], vocabulary: dict[bytes, int]) -> np.ndarray:
     """One row per word number (0: unknown, zeros): its weight times its latent vector.
 
-    The passages are those of about FIT_DOCUMENTS documents, chosen by a hash of
-    the id, and the items. Two passes: a random sketch of the row space, then one
-    multiplication with the Gram matrix, whose small projection gives the
-    singular vectors."""
+    The passages are those of all documents and of the items, and so are the
+    frequencies behind the weights. One pass multiplies their Gram matrix G with
+    a random matrix R; with weights W, the product and R' G R give the leading
+    eigenvectors of W G W (Nystrom's method), whatever scale the rows of R have."""
     n_terms, width = len(vocabulary), min(RANK + OVERSAMPLE, len(vocabulary))
     spark = rows.sparkSession
-    n = rows.count()
-    share = 1.0 if n <= FIT_DOCUMENTS else FIT_DOCUMENTS / n
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1_000_000)) < int(1_000_000 * share)).select("text")
-    fit = sample.unionByName(spark.createDataFrame([(b" ".join(i.words).decode(),) for i in items], "text string"))
+    fit = rows.select("text").unionByName(spark.createDataFrame([(b" ".join(i.words).decode("utf-8", "replace"),) for i in items], "text string"))
     known = spark.sparkContext.broadcast(vocabulary)
-    omega = np.random.default_rng(5).normal(size=(n_terms, width)).astype(np.float32)
-    # the weights do not matter to a random matrix: they are applied to the product only
-    sketch, frequency, total = _gram_times(fit, known, omega, np.ones(n_terms, np.float32))
+    # the weights are not known yet: those among the items come near enough for a random matrix
+    held = np.bincount([vocabulary[w] - 1 for i in items for w in set(i.words)], minlength=n_terms)
+    omega = np.random.default_rng(5).normal(size=(n_terms, width)) * (np.log((1 + len(items)) / (1 + held)) + 0.1)[:, None]
+    omega = omega.astype(np.float32)
+    product, frequency, total = _gram_times(fit, known, omega)
     weight = np.log((1 + total) / (1 + frequency)).astype(np.float32) + 1e-3
-    q, _ = np.linalg.qr(weight[:, None] * sketch)
-    product, _, _ = _gram_times(fit, known, (weight[:, None] * q).astype(np.float32), weight)
-    values, vectors = np.linalg.eigh((q.T @ product + product.T @ q) / 2)
-    order = np.argsort(-values)[:RANK]
-    order = order[values[order] > 1e-6 * values.max()]  # few or alike passages span fewer directions
+    q, r = np.linalg.qr(weight[:, None] * product)
+    inner = omega.T @ product
+    sizes, turn = np.linalg.eigh((inner + inner.T) / 2)
+    real = sizes > 1e-6 * sizes.max()  # few or alike passages span fewer directions
+    vectors, roots, _ = np.linalg.svd(r @ (turn[:, real] / np.sqrt(sizes[real])), full_matrices=False)
+    values = roots[:RANK] ** 2
+    values = values[values > 1e-6 * values.max()]
     # folding in divides by the singular values, so that directions of common words do not drown the others;
     # the median keeps weak directions from growing without bound
-    best = vectors[:, order] / np.sqrt(values[order] + np.median(values[order]))
+    best = vectors[:, :len(values)] / np.sqrt(values + np.median(values))
     return np.vstack([np.zeros((1, best.shape[1])), weight[:, None] * (q @ best)]).astype(np.float32)
 
 
-def _gram_times(fit: DataFrame, known, matrix: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """A^T A ``matrix`` with A's columns weighted once, passages per term, passages: summed over tasks, then shares."""
+def _gram_times(fit: DataFrame, known, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """A^T A ``matrix`` of passages A, passages per term, passages: summed over tasks, then over shares of the terms."""
     n_terms, width = matrix.shape
-    shared = fit.sparkSession.sparkContext.broadcast((matrix, weight))
+    shared = fit.sparkSession.sparkContext.broadcast(np.vstack([np.zeros((1, width), np.float32), matrix]))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, w = shared.value
         product, frequency, total = np.zeros((n_terms, width)), np.zeros(n_terms), 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                own = words(text)
-                terms, passage = _passages(np.fromiter(map(known.value.get, own, itertools.repeat(0)), np.int64, len(own)), PASSAGE)
-                total += -(-len(own) // PASSAGE)
-                if not len(terms):
-                    continue
-                y = np.zeros((passage[-1] + 1, width))
-                np.add.at(y, passage, m[terms])
-                np.add.at(product, terms, w[terms][:, None] * y[passage])
-                pair = np.unique(passage * n_terms + terms)
-                frequency += np.bincount(pair % n_terms, minlength=n_terms)
-        shares = np.array_split(np.arange(n_terms), min(16, n_terms))
-        for k, s in enumerate(shares):
+        for batch in bounded(batches, "text"):
+            ids, _ = _numbers(list(map(words, batch.column("text").to_pylist())), known.value, PASSAGE)
+            total += len(ids)
+            passage, place = np.nonzero(ids)
+            if not len(passage):
+                continue
+            y = _row_sums(ids, shared.value).astype(np.float64)
+            pair = (ids[passage, place].astype(np.int64) - 1) * len(ids) + passage
+            pair.sort()
+            terms, passage = np.divmod(pair, len(ids))
+            first = np.flatnonzero(np.diff(terms, prepend=-1)).tolist()
+            for a, b in zip(first, [*first[1:], len(terms)]):
+                product[terms[a]] += y[passage[a:b]].sum(axis=0)
+            frequency += np.bincount(terms[np.diff(pair, prepend=-1) > 0], minlength=n_terms)
+        for k, start in enumerate(range(0, n_terms, TERMS)):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k]), pa.array([product[s].tobytes()]), pa.array([frequency[s].tobytes()]), pa.array([total])],
+                [pa.array([k]), pa.array([product[start:start + TERMS].tobytes()]),
+                 pa.array([frequency[start:start + TERMS].tobytes()]), pa.array([total])],
                 ["share", "product", "frequency", "total"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -217,9 +234,8 @@ def _searcher(shared, limits: tuple):
         items, vocabulary, space = shared.value
         groups = _groups(items, vocabulary, space, limits[0])
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                out += _search(doc_id, words(text), items, groups, vocabulary, space, limits)
+            hits = _search(batch.column("text").to_pylist(), items, groups, vocabulary, space, limits)
+            out = [(doc_id, *hit) for doc_id, of_text in zip(batch.column("id").to_pylist(), hits) for hit in of_text]
             columns = list(zip(*out)) or [()] * 8
             types = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
@@ -228,36 +244,52 @@ def _searcher(shared, limits: tuple):
     return run
 
 
-def _search(doc_id, own: list[bytes], items: list[_Item], groups: list, vocabulary: dict, space: np.ndarray,
-            limits: tuple) -> list[tuple]:
-    if not own:
-        return []
-    ids = np.fromiter(map(vocabulary.get, own, itertools.repeat(0)), np.int32, len(own))
-    at = np.flatnonzero(ids)
-    n_chunks = -(-len(own) // CHUNK)
-    sums = np.zeros((n_chunks + 1, space.shape[1]), np.float32)
-    if len(at):
-        chunk = at // CHUNK
-        first = np.flatnonzero(np.concatenate(([True], np.diff(chunk) > 0)))
-        sums[chunk[first] + 1] = np.add.reduceat(space[ids[at]], first, axis=0)
-    sums = np.cumsum(sums, axis=0, dtype=np.float64)
-    best: dict[int, tuple] = {}
+def _search(texts: list[str], items: list[_Item], groups: list, vocabulary: dict, space: np.ndarray,
+            limits: tuple) -> Iterator[list[tuple]]:
+    """The hits of each text, searched in pieces of about PIECE characters."""
+    start, size = 0, 0
+    for end, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= PIECE or end == len(texts):
+            yield from _search_piece(list(map(words, texts[start:end])), items, groups, vocabulary, space, limits)
+            start, size = end, 0
+
+
+def _search_piece(own: list[list[bytes]], items: list[_Item], groups: list, vocabulary: dict, space: np.ndarray,
+                  limits: tuple) -> list[list[tuple]]:
+    ids, chunks = _numbers(own, vocabulary, CHUNK)
+    best: list[dict[int, tuple]] = [{} for _ in own]
+    if not len(ids):
+        return [[] for _ in own]
+    begin = np.cumsum(chunks) - chunks
+    of_chunk = np.repeat(np.arange(len(own)), chunks)
+    at, left = np.arange(len(ids)) - begin[of_chunk], chunks[of_chunk]
+    most = max(size for size, *_ in groups)
+    # prefix sums; windows that would begin after the last chunk repeat the total
+    sums = np.zeros((len(ids) + most + 1, space.shape[1]))
+    sums[1:len(ids) + 1] = np.cumsum(_row_sums(ids, space).T.copy(), axis=1, dtype=np.float64).T
+    sums[len(ids) + 1:] = sums[len(ids)]
     for size, numbers, vectors, least in groups:
-        starts = np.arange(max(1, n_chunks - size + 1))
-        window = sums[np.minimum(starts + size, n_chunks)] - sums[starts]
-        norm = np.sqrt(np.einsum("ij,ij->i", window, window)) + 1e-9
-        near = (window.astype(np.float32) @ vectors) >= least * norm[:, None].astype(np.float32)
-        for s, k in zip(*(x.tolist() for x in np.nonzero(near))):
-            item = items[numbers[k]]
-            start, end = max(0, s - AROUND) * CHUNK, (s + size + AROUND) * CHUNK
-            part = own[start:end]
-            if not _may_share(item, part, limits[2] * len(item.words)):
-                continue
-            hit = _verified(item, part, limits)
-            if hit and (item.id not in best or hit[2] > best[item.id][5]):
-                cos = float(window[s] @ vectors[:, k] / norm[s])
-                best[item.id] = (doc_id, item.id, start + hit[0], hit[1], cos, hit[2], hit[3], hit[4])
-    return list(best.values())
+        whole = np.flatnonzero((at == 0) & (left < size))  # a text that is shorter is one window
+        inside = (at == 0) | (at <= left - size)
+        for low in range(0, len(ids), TILE):
+            high = min(low + TILE, len(ids))
+            window = (sums[low + size:high + size] - sums[low:high]).astype(np.float32)
+            short = whole[np.searchsorted(whole, low):np.searchsorted(whole, high)]
+            window[short - low] = sums[short + left[short]] - sums[short]
+            norm = np.sqrt(np.einsum("ij,ij->i", window, window)) + np.float32(1e-9)
+            dots = window @ vectors
+            near = dots >= least * np.where(inside[low:high], norm, np.float32(np.inf))[:, None]
+            for s, k in zip(*(x.tolist() for x in np.nonzero(near))):
+                item, d = items[numbers[k]], of_chunk[low + s]
+                start = max(0, at[low + s] - AROUND) * CHUNK
+                part = own[d][start:(at[low + s] + size + AROUND) * CHUNK]
+                if not _may_share(item, part, limits[2] * len(item.words)):
+                    continue
+                hit = _verified(item, part, limits)
+                if hit and (item.id not in best[d] or hit[2] > best[d][item.id][4]):
+                    best[d][item.id] = (item.id, int(start) + hit[0], hit[1], float(dots[s, k] / norm[s]), hit[2], hit[3], hit[4])
+    return [list(b.values()) for b in best]
 
 
 def _may_share(item: _Item, part: list[bytes], least: float) -> bool:

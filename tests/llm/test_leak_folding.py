@@ -2,6 +2,8 @@
 
 import unicodedata
 
+import numpy as np
+
 from answergauge.llm import latent_search
 
 ITEM = "Éai éonleeau pour l’été où naïve âmes — «çà et là» — ßtraße übergrößen ñandú señor años después también"
@@ -20,3 +22,36 @@ def test_copies_in_other_letters_are_found(spark):
 def test_words():
     assert latent_search.words("«ÉTÉ»…été") == ["été".encode()] * 2
     assert latent_search.words("A-b_C　d e") == [b"a", b"b", b"c", b"d", b"e"]
+
+
+def test_every_document_fits_the_space(spark):
+    """Frequencies and the Gram product count each passage of a table that is larger than any sample was."""
+    rows = spark.range(3000).selectExpr("id", "concat('alpha beta gamma ', if(id % 3 = 0, 'delta', 'other')) text")
+    item = latent_search._Item(1, [b"alpha", b"beta", b"delta"], [b"delta"])
+    known = spark.sparkContext.broadcast({b"alpha": 1, b"beta": 2, b"delta": 3})
+    seen = []
+    whole = latent_search._gram_times
+    try:
+        latent_search._gram_times = lambda *args: seen.append(whole(*args)) or seen[-1]
+        latent_search._latent_space(rows, [item], known.value)
+    finally:
+        latent_search._gram_times = whole
+    assert len(seen) == 1 and seen[0][2] == 3001 and seen[0][1].tolist() == [3001, 3001, 1001]
+    gram = latent_search._gram_times(rows.select("text"), known, np.eye(3, dtype=np.float32))[0]
+    assert gram.tolist() == [[3000, 3000, 1000], [3000, 3000, 1000], [1000, 1000, 1000]]
+
+
+def test_pieces_and_tiles_do_not_matter(monkeypatch):
+    items = [latent_search._Item(k, [b"w%d" % (k * 40 + i) for i in range(n)], [b"none"]) for k, n in enumerate((9, 20, 33))]
+    vocabulary = {w: i + 1 for i, w in enumerate(w for item in items for w in item.words)}
+    space = np.vstack([np.zeros(8), np.random.default_rng(1).normal(size=(len(vocabulary), 8))]).astype(np.float32)
+    limits = (0.55, 0.8, 0.5, 8)
+    groups = latent_search._groups(items, vocabulary, space, limits[0])
+    texts = ["", *(("x " * n + b" ".join(items[k].words).decode() + " y" * m) for k in range(3) for n, m in ((0, 0), (5, 0), (90, 70)))]
+    found = list(latent_search._search(texts, items, groups, vocabulary, space, limits))
+    assert [[h[0] for h in hits] for hits in found] == [[], *([k] for k in range(3) for _ in range(3))]
+    for piece, tile in ((1, 3), (10 ** 6, 1), (300, 7)):
+        monkeypatch.setattr(latent_search, "PIECE", piece)
+        monkeypatch.setattr(latent_search, "TILE", tile)
+        again = list(latent_search._search(texts, items, groups, vocabulary, space, limits))
+        assert [[(*h[:3], *h[4:]) for h in hits] for hits in again] == [[(*h[:3], *h[4:]) for h in hits] for hits in found]
