@@ -1,9 +1,12 @@
 """Which texts contain which quotes, without comparing each with each.
 
-An inverted index over the rarest gram. A quote that has a word with white space
-on both sides can only stand in texts that have this word; the least frequent of
-its words names the candidates, and they are verified on the whole text. A quote
-of one or two words, whose ends may be parts of longer words, is looked up in
+An inverted index over the rarest gram. A quote of four words or more can only
+stand in texts that have each pair of its inner words, between words that end
+and begin with the characters beside the pair; the least frequent of its pairs
+names the candidates, and they are verified on the whole text. So the candidates
+grow with the places of phrases, not of words, which any large table repeats. A
+quote of three words goes by the one in the middle in the same way. A quote of
+one or two words, whose ends may be parts of longer words, is looked up in
 the vocabulary first: the rarest run of three characters names the words that
 may contain it, and the texts of those words are the candidates.
 """
@@ -27,21 +30,22 @@ def find_quotes(
     Null and empty quotes, and quotes of white space only, match nothing, as do
     null texts. ``store`` writes a table and reads it back: the index keeps the
     words that quotes need, and the candidates, apart from the texts, so the work
-    grows with the texts and the matches, not with quotes times texts. A word
+    grows with the texts and the matches, not with quotes times texts. A phrase
     that a third of all texts hold is a row per text; joins on words read both
     sides from a shuffle, which adaptive execution splits.
     """
     needles = quotes.select(F.col(quote).alias("_quote")).where(F.trim(F.regexp_replace(quote, _SPACE, " ")) != "").distinct()
-    needles = store(needles.withColumn("_words", F.split("_quote", _SPACE)))
+    needles = store(needles.withColumn("_words", F.split(F.regexp_replace("_quote", r"^\s+|\s+$", ""), _SPACE)))
     # the first and the last word of a quote may be parts of words
-    inner = needles.where(F.size("_words") >= 3).select(
-        "_quote", F.expr("slice(_words, 2, size(_words) - 2)").alias("_keys"))
+    pairs = needles.where(F.size("_words") >= 4).select("_quote", _phrases(F.col("_words"), 2).alias("_keys"))
+    middles = needles.where(F.size("_words") == 3).select("_quote", _phrases(F.col("_words"), 1).alias("_keys"))
     fragments = needles.where(F.size("_words") < 3).select(
         "_quote", F.expr("if(size(_words) = 2 and length(_words[1]) > length(_words[0]), _words[1], _words[0])").alias("_part"))
 
     hay = texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text")).where(F.col(text).isNotNull())
-    postings = hay.select("_id", F.explode(F.array_distinct(F.split("_text", _SPACE))).alias("_key"))
-    long_ones = _candidates(inner, postings, store)
+    split = hay.select("_id", F.split("_text", _SPACE).alias("_words"))
+    postings = split.select("_id", F.explode(F.array_distinct("_words")).alias("_key"))
+    long_ones = _candidates(pairs, _places(split, 2), store).unionByName(_candidates(middles, _places(split, 1), store))
 
     parts = store(fragments.select("_part").distinct())
     if parts.isEmpty():
@@ -63,7 +67,7 @@ def find_quotes(
 def _candidates(needles: DataFrame, postings: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(_quote, _id): the ids of the rarest of each needle's keys."""
     keys = store(needles.select("_quote", F.explode(F.array_distinct("_keys")).alias("_key")))
-    listed = store(postings.join(keys.select("_key").distinct(), "_key"))
+    listed = store(postings.join(keys.select("_key").distinct(), "_key").distinct())
     counts = listed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     # a key without postings has the count 0 and is the rarest: its quotes stand nowhere
     rarest = keys.join(counts, "_key", "left").groupBy("_quote").agg(
@@ -71,6 +75,28 @@ def _candidates(needles: DataFrame, postings: DataFrame, store: Callable[[DataFr
     return rarest.join(listed, "_key").select("_quote", "_id")
 
 
+def _phrases(words: Column, n: int) -> Column:
+    """Hashes of all ``n`` words in a row that stand between two others, whose nearest characters count."""
+    def phrase(i: Column) -> Column:
+        return _hash([F.get(words, i + k) for k in range(n + 2)])
+
+    return F.transform(F.sequence(F.lit(0), F.size(words) - (n + 2)), phrase)
+
+
+def _hash(words: list[Column]) -> Column:
+    return F.xxhash64(F.right(words[0], F.lit(1)), *words[1:-1], F.left(words[-1], F.lit(1)))
+
+
+def _places(split: DataFrame, n: int) -> DataFrame:
+    """(_id, _row, _key): ``_phrases`` of ``_words``, a row for each place; ``_row`` tells rows of one id apart."""
+    names = [f"_w{k}" for k in range(n + 2)]
+    count = F.greatest(F.size("_words") - (n + 1), F.lit(0))
+    shifted = F.arrays_zip(*(F.slice("_words", F.lit(k + 1), count) for k in range(n + 2)))
+    rows = split.select("_id", F.monotonically_increasing_id().alias("_row"), "_words")
+    return rows.select("_id", "_row", F.inline(shifted)).toDF("_id", "_row", *names).select(
+        "_id", "_row", _hash([F.col(c) for c in names]).alias("_key"))
+
+
 def _grams(word: Column) -> Column:
     """All runs of one, two and three characters; linear in the word."""
     letters = F.split(word, "")

@@ -53,6 +53,26 @@ def test_texts_meet_only_their_candidates(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_candidates_do_not_grow_with_common_words(spark):
+    """Every word of the quotes stands in every text; their pairs stand in few."""
+    words = [f"w{k}" for k in range(30)]
+    rng = random.Random(3)
+    texts = [" ".join(rng.sample(words, 30)) for _ in range(200)]
+    quotes = sorted({" ".join(t.split()[-n:]) for t in texts for n in (4, 5, 8)} | {"2 w3 w", "w5 w6 w7"})
+    sizes = []
+
+    def store(df):
+        out = _store(df)
+        sizes.append((out.columns, out.count()))
+        return out
+
+    q = spark.createDataFrame([(x,) for x in quotes], "quote string")
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r.quote, r.id) for r in find_quotes(q, "quote", t, "id", "text", store).collect()}
+    assert got == _all_pairs(quotes, texts)
+    assert sizes[-1][0] == ["_quote", "_id"] and sizes[-1][1] <= 10 * len(quotes)
+
+
 def test_citations_without_a_known_document(spark):
     replies = [(1, 9, "So it is.\nReference: grey stones"), (2, 9, "Reference: no such words at all"),
                (3, 9, "I can't find that in the document."), (4, 9, "no quote"), (5, 8, "Reference: grey stones ")]
