@@ -35,7 +35,7 @@ RANK, OVERSAMPLE = 96, 8
 BLOCK_WORDS = 200_000  # benchmark words searched for at a time
 TERMS = 64  # rows of the Gram product that are added up together
 PIECE = 200_000  # characters of text searched together, or one text that is longer
-TILE = 2_048  # windows compared with the items of one size at a time
+TILE = 1_024  # windows compared with the items of one size at a time
 ANSWER_WORDS = 3
 PARAPHRASED = 0.5  # share of an item's words that the query and the pipeline ask of a paraphrase
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, cosine double, lcs long, share double, answer boolean"
@@ -201,11 +201,11 @@ def _gram_times(fit: DataFrame, known, matrix: np.ndarray) -> tuple[np.ndarray,
         for batch in bounded(batches, "text"):
             ids, _ = _numbers(list(map(words, batch.column("text").to_pylist())), known.value, PASSAGE)
             total += len(ids)
-            passage, place = np.nonzero(ids)
-            if not len(passage):
+            at = np.flatnonzero(ids)
+            if not len(at):
                 continue
             y = _row_sums(ids, shared.value).astype(np.float64)
-            pair = (ids[passage, place].astype(np.int64) - 1) * len(ids) + passage
+            pair = (ids.ravel()[at].astype(np.int64) - 1) * len(ids) + at // PASSAGE
             pair.sort()
             terms, passage = np.divmod(pair, len(ids))
             first = np.flatnonzero(np.diff(terms, prepend=-1)).tolist()
@@ -280,7 +280,7 @@ def _search_piece(own: list[list[bytes]], items: list[_Item], groups: list, voca
             norm = np.sqrt(np.einsum("ij,ij->i", window, window)) + np.float32(1e-9)
             dots = window @ vectors
             near = dots >= least * np.where(inside[low:high], norm, np.float32(np.inf))[:, None]
-            for s, k in zip(*(x.tolist() for x in np.nonzero(near))):
+            for s, k in zip(*(x.tolist() for x in np.divmod(np.flatnonzero(near), len(numbers)))):
                 item, d = items[numbers[k]], of_chunk[low + s]
                 start = max(0, at[low + s] - AROUND) * CHUNK
                 part = own[d][start:(at[low + s] + size + AROUND) * CHUNK]
