@@ -14,15 +14,14 @@ paraphrase, the item's answer must be there too.
 
 from __future__ import annotations
 
-import itertools
 import string
 import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +33,11 @@ PASSAGE = 32  # words of the passages that fit the latent space
 RANK, OVERSAMPLE = 96, 8
 BLOCK_WORDS = 200_000  # benchmark words searched for at a time
 TERMS = 64  # rows of the Gram product that are added up together
-PIECE = 200_000  # characters of text searched together, or one text that is longer
+PIECE = 1_000_000  # characters of text searched together, or one text that is longer
 TILE = 1_024  # windows compared with the items of one size at a time
+STEPS = 64  # chunks by which windows grow one by one; beyond, they are differences of prefix sums
+CANDIDATES = 500_000  # windows and items that wait for verification
+GATHERED = 1_000_000  # word numbers of candidates looked at together
 ANSWER_WORDS = 3
 PARAPHRASED = 0.5  # share of an item's words that the query and the pipeline ask of a paraphrase
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, cosine double, lcs long, share double, answer boolean"
@@ -45,15 +47,20 @@ _WORDS = bytes.maketrans(string.punctuation.encode() + string.ascii_uppercase.en
 _SPACES = np.array([c > 127 and (unicodedata.category(chr(c))[0] in "PZ" or chr(c).isspace()) for c in range(sys.maxunicode + 1)])
 
 
-def words(text: str) -> list[bytes]:
-    """Words without regard to case, composition of accents and punctuation of any script."""
+def _folded(text: str) -> bytes:
+    """A text without regard to case and composition of accents; punctuation of any script is space."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         space = _SPACES[codes]
         if space.any():
             text = np.where(space, np.uint32(32), codes).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    return text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    return text.encode("utf-8", "surrogatepass").translate(_WORDS)
+
+
+def words(text: str) -> list[bytes]:
+    """Words without regard to case, composition of accents and punctuation of any script."""
+    return _folded(text).split()
 
 
 class _Item:
@@ -114,17 +121,20 @@ def _shared(rows: DataFrame, items: list[_Item]):
 
 
 def _groups(items: list[_Item], vocabulary: dict[bytes, int], space: np.ndarray, cosine: float) -> list[tuple]:
-    """Items by window size: (chunks, item numbers, unit vectors as columns, least cosine of each).
+    """Items by window size, ascending: (chunks, item numbers, unit vectors as columns, least cosine of each, word
+    numbers of each and how often it has them).
 
     A window holds more words than the item; a whole copy then has a cosine of about the root of
     its share of the words, and ``cosine`` times that is asked for."""
     by_size: dict[int, list[int]] = {}
     for k, item in enumerate(items):
         by_size.setdefault(item.chunks, []).append(k)
-    vectors = np.stack([space[[vocabulary[w] for w in i.words]].sum(axis=0) for i in items])
+    numbers = [[vocabulary[w] for w in i.words] for i in items]
+    vectors = np.stack([space[own].sum(axis=0) for own in numbers])
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-12
     return [(size, np.array(own), vectors[own].T.copy(), np.array(
-        [cosine * (len(items[k].words) / (CHUNK * size)) ** 0.5 for k in own], np.float32)) for size, own in by_size.items()]
+        [cosine * (len(items[k].words) / (CHUNK * size)) ** 0.5 for k in own], np.float32),
+        [np.unique(numbers[k], return_counts=True) for k in own]) for size, own in sorted(by_size.items())]
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str) -> Iterator[list[_Item]]:
@@ -144,20 +154,38 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str)
         yield block
 
 
-def _numbers(own: list[list[bytes]], vocabulary: dict[bytes, int], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers (0: unknown) in rows of ``length``, each text beginning a row, and the rows per text."""
-    rows = np.array([-(-len(w) // length) for w in own], np.int64)
+def _known(vocabulary: dict[bytes, int]) -> pa.Array:
+    """The words of the vocabulary in the order of their numbers, for ``_numbers``."""
+    return pa.array(list(vocabulary), pa.binary()).view(pa.string())
+
+
+def _numbers(texts: list[str], known: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the texts' ``words`` (0: unknown) in rows of ``length``, each text beginning a row, and the rows per text."""
+    trimmed = pc.ascii_trim_whitespace(pa.array(list(map(_folded, texts)), pa.binary()).view(pa.string()))
+    split = pc.ascii_split_whitespace(trimmed)
+    numbers = pc.fill_null(pc.index_in(split.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False) + 1
+    counts = np.diff(split.offsets.to_numpy()).astype(np.int64)
+    empty = np.flatnonzero(pc.binary_length(trimmed).to_numpy() == 0)  # split into one empty word
+    numbers = np.delete(numbers, np.cumsum(counts)[empty] - 1)
+    counts[empty] = 0
+    rows = -(-counts // length)
     ids = np.zeros(rows.sum() * length, np.int32)
-    for w, start in zip(own, ((np.cumsum(rows) - rows) * length).tolist()):
-        ids[start:start + len(w)] = np.fromiter(map(vocabulary.get, w, itertools.repeat(0)), np.int32, len(w))
+    shift = (np.cumsum(rows) - rows) * length - (np.cumsum(counts) - counts)
+    ids[np.arange(len(numbers)) + np.repeat(shift, counts)] = numbers
     return ids.reshape(-1, length), rows
 
 
 def _row_sums(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """The sum of the words' vectors in each row of ``ids``."""
-    total = np.zeros((len(ids), vectors.shape[1]), vectors.dtype)
-    for column in ids.T:
-        total += vectors[column]
+    total = np.empty((len(ids), vectors.shape[1]), vectors.dtype)
+    room = np.empty((TILE, vectors.shape[1]), vectors.dtype)
+    for low in range(0, len(ids), TILE):
+        first, *others = ids[low:low + TILE].T
+        part, more = total[low:low + TILE], room[:len(first)]
+        np.take(vectors, first, axis=0, out=part, mode="clip")
+        for column in others:
+            np.take(vectors, column, axis=0, out=more, mode="clip")
+            part += more
     return total
 
 
@@ -198,8 +226,9 @@ def _gram_times(fit: DataFrame, known, matrix: np.ndarray) -> tuple[np.ndarray,
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         product, frequency, total = np.zeros((n_terms, width)), np.zeros(n_terms), 0
+        own = _known(known.value)
         for batch in bounded(batches, "text"):
-            ids, _ = _numbers(list(map(words, batch.column("text").to_pylist())), known.value, PASSAGE)
+            ids, _ = _numbers(batch.column("text").to_pylist(), own, PASSAGE)
             total += len(ids)
             at = np.flatnonzero(ids)
             if not len(at):
@@ -247,57 +276,110 @@ def _searcher(shared, limits: tuple):
 def _search(texts: list[str], items: list[_Item], groups: list, vocabulary: dict, space: np.ndarray,
             limits: tuple) -> Iterator[list[tuple]]:
     """The hits of each text, searched in pieces of about PIECE characters."""
+    known = _known(vocabulary)
     start, size = 0, 0
     for end, text in enumerate(texts, 1):
         size += len(text)
         if size >= PIECE or end == len(texts):
-            yield from _search_piece(list(map(words, texts[start:end])), items, groups, vocabulary, space, limits)
+            yield from _search_piece(texts[start:end], items, groups, known, space, limits)
             start, size = end, 0
 
 
-def _search_piece(own: list[list[bytes]], items: list[_Item], groups: list, vocabulary: dict, space: np.ndarray,
+def _search_piece(texts: list[str], items: list[_Item], groups: list, known: pa.Array, space: np.ndarray,
                   limits: tuple) -> list[list[tuple]]:
-    ids, chunks = _numbers(own, vocabulary, CHUNK)
-    best: list[dict[int, tuple]] = [{} for _ in own]
+    ids, chunks = _numbers(texts, known, CHUNK)
+    best: list[dict[int, tuple]] = [{} for _ in texts]
     if not len(ids):
-        return [[] for _ in own]
+        return [[] for _ in texts]
     begin = np.cumsum(chunks) - chunks
-    of_chunk = np.repeat(np.arange(len(own)), chunks)
+    of_chunk = np.repeat(np.arange(len(texts)), chunks)
     at, left = np.arange(len(ids)) - begin[of_chunk], chunks[of_chunk]
-    most = max(size for size, *_ in groups)
-    # prefix sums; windows that would begin after the last chunk repeat the total
-    sums = np.zeros((len(ids) + most + 1, space.shape[1]))
-    sums[1:len(ids) + 1] = np.cumsum(_row_sums(ids, space).T.copy(), axis=1, dtype=np.float64).T
-    sums[len(ids) + 1:] = sums[len(ids)]
-    for size, numbers, vectors, least in groups:
-        whole = np.flatnonzero((at == 0) & (left < size))  # a text that is shorter is one window
-        inside = (at == 0) | (at <= left - size)
-        for low in range(0, len(ids), TILE):
-            high = min(low + TILE, len(ids))
-            window = (sums[low + size:high + size] - sums[low:high]).astype(np.float32)
-            short = whole[np.searchsorted(whole, low):np.searchsorted(whole, high)]
-            window[short - low] = sums[short + left[short]] - sums[short]
+    sizes = [size for size, *_ in groups]
+    vectors = np.concatenate([_row_sums(ids, space), np.zeros((sizes[-1], space.shape[1]), space.dtype)])
+    sums = None
+    if max(np.diff(sizes, prepend=1)) > STEPS:
+        sums = np.cumsum(np.concatenate([np.zeros_like(vectors[:1]), vectors]), axis=0, dtype=np.float64)
+    pad = AROUND, AROUND + sizes[-1]
+    around, owner = np.pad(ids, (pad, (0, 0))).ravel(), np.pad(of_chunk, pad, constant_values=-1)
+    mark = np.zeros(len(known) + 1, np.int32)
+    own: dict[int, list[bytes]] = {}
+    found: list[list[tuple]] = [[] for _ in groups]
+    waiting = 0
+    for low in range(0, len(ids), TILE):
+        high = min(low + TILE, len(ids))
+        for group, window, places in zip(groups, _windows(vectors, sums, at, left, sizes, low, high), found):
+            size, numbers, columns, least, _ = group
+            inside = (at[low:high] == 0) | (at[low:high] <= left[low:high] - size)
             norm = np.sqrt(np.einsum("ij,ij->i", window, window)) + np.float32(1e-9)
-            dots = window @ vectors
-            near = dots >= least * np.where(inside[low:high], norm, np.float32(np.inf))[:, None]
-            for s, k in zip(*(x.tolist() for x in np.divmod(np.flatnonzero(near), len(numbers)))):
-                item, d = items[numbers[k]], of_chunk[low + s]
-                start = max(0, at[low + s] - AROUND) * CHUNK
-                part = own[d][start:(at[low + s] + size + AROUND) * CHUNK]
-                if not _may_share(item, part, limits[2] * len(item.words)):
-                    continue
-                hit = _verified(item, part, limits)
-                if hit and (item.id not in best[d] or hit[2] > best[d][item.id][4]):
-                    best[d][item.id] = (item.id, int(start) + hit[0], hit[1], float(dots[s, k] / norm[s]), hit[2], hit[3], hit[4])
+            dots = window @ columns
+            near = np.flatnonzero(dots >= least * np.where(inside, norm, np.float32(np.inf))[:, None])
+            s, k = np.divmod(near, len(numbers))
+            places.append((low + s, k, dots.ravel()[near] / norm[s]))
+            waiting += len(near)
+        if waiting < CANDIDATES and high < len(ids):
+            continue
+        for (size, numbers, _, _, counted), places in zip(groups, found):
+            starts, k, cosines = map(np.concatenate, zip(*places))
+            places.clear()
+            owners = np.lib.stride_tricks.sliding_window_view(owner, size + 2 * AROUND)
+            parts = np.lib.stride_tricks.sliding_window_view(around, owners.shape[1] * CHUNK)[::CHUNK]
+            order = np.argsort(k, kind="stable")
+            which, first = np.unique(k[order], return_index=True)
+            for j, mine in zip(which.tolist(), np.split(order, first[1:])):
+                item = items[numbers[j]]
+                mine = mine[_may_share(*counted[j], parts, owners, starts[mine], mark, limits[2] * len(item.words))]
+                for s, cosine in zip(starts[mine].tolist(), cosines[mine].tolist()):
+                    d, start = int(of_chunk[s]), int(max(0, at[s] - AROUND)) * CHUNK
+                    if d not in own:
+                        own[d] = words(texts[d])
+                    hit = _verified(item, own[d][start:(at[s] + size + AROUND) * CHUNK], limits)
+                    if hit and (item.id not in best[d] or hit[2] > best[d][item.id][4]):
+                        best[d][item.id] = (item.id, start + hit[0], hit[1], cosine, hit[2], hit[3], hit[4])
+        waiting = 0
     return [list(b.values()) for b in best]
 
 
-def _may_share(item: _Item, part: list[bytes], least: float) -> bool:
-    """Whether the two have ``least`` words in common when order does not matter; a subsequence has no more."""
-    own = list(filter(item.places.__contains__, part))
-    if len(own) < least:
-        return False
-    return sum(min(n, item.places[w].bit_count()) for w, n in Counter(own).items()) >= least
+def _windows(vectors: np.ndarray, sums: np.ndarray | None, at: np.ndarray, left: np.ndarray, sizes: list[int],
+             low: int, high: int) -> Iterator[np.ndarray]:
+    """Vectors of the windows from each of the chunks ``low`` to ``high``, of one size after the other; use each at once.
+
+    A text that is shorter than a window is one window, from its first chunk."""
+    window, n = vectors[low:high].copy(), 1
+    starts = np.flatnonzero(at[low:high] == 0)
+    length = left[low + starts]
+    for size in sizes:
+        if size - n > STEPS:
+            window = (sums[low + size:high + size] - sums[low:high]).astype(np.float32)
+            short = starts[length < size]
+            window[short] = sums[low + short + length[length < size]] - sums[low + short]
+            n = size
+        while n < size:
+            short = starts[length <= n]
+            whole = window[short]
+            window += vectors[low + n:high + n]
+            window[short] = whole
+            n += 1
+        yield window
+
+
+def _may_share(numbers: np.ndarray, times: np.ndarray, parts: np.ndarray, owners: np.ndarray, starts: np.ndarray,
+               mark: np.ndarray, least: float) -> np.ndarray:
+    """Which of the parts have ``least`` words in common with an item when order does not matter; a subsequence has no more.
+
+    The item has ``numbers`` that often; ``mark`` holds zeros. Chunks of a part with other ``owners`` do not count."""
+    mark[numbers] = np.arange(1, len(numbers) + 1)
+    enough = np.zeros(len(starts), bool)
+    step, width = max(1, GATHERED // parts.shape[1]), len(numbers) + 1
+    for low in range(0, len(starts), step):
+        at = starts[low:low + step]
+        part = mark[parts[at]]
+        some = np.flatnonzero(np.count_nonzero(part, axis=1) >= least)
+        of = owners[at[some]]
+        code = part[some] * np.repeat(of == of[:, AROUND, None], CHUNK, axis=1) + width * np.arange(len(some))[:, None]
+        held = np.bincount(code.ravel(), minlength=width * len(some)).reshape(len(some), width)
+        enough[low + some] = np.minimum(held[:, 1:], times).sum(axis=1) >= least
+    mark[numbers] = 0
+    return enough
 
 
 def _verified(item: _Item, part: list[bytes], limits: tuple) -> tuple | None:
