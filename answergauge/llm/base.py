@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,20 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answergauge.session import written
-
-
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    It cuts lineage so that it survives lost executors. The shuffle files behind
-    the table are of no use any more; collecting the driver's garbage lets Spark
-    remove them before the next job fills the disks.
-    """
-    out = written(df, purpose)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+from answergauge.session import stored
 
 
 def input_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -9,7 +9,7 @@ from answergauge.operators import replies as rp
 from answergauge.operators.gate import upsert
 from answergauge.plans import inputs as src
 from answergauge.plans.registry import collector
-from answergauge.session import written
+from answergauge.session import stored
 from answergauge.sources.readers import read_table
 
 QUERIES, query = collector()
@@ -268,7 +268,7 @@ SELECT run_id, doc_id, coalesce(found_in, 0) AS found_in, first_doc
 FROM quoted LEFT JOIN places USING (quote) WHERE quote <> ''""")
 def citation_search(spark, sf):
     """Where the quotes of all replies stand, whatever document the reply names."""
-    replies = written(_citing(spark, sf), "replies")
+    replies = stored(_citing(spark, sf), "replies")
     found = rp.search_citations(
-        replies, src.documents(spark, sf), "doc_id", "reply", "text", lambda df: written(df, "quotes"))
+        replies, src.documents(spark, sf), "doc_id", "reply", "text", lambda df: stored(df, "quotes"))
     return found.select("run_id", "doc_id", "found_in", "first_doc")

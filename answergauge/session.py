@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +54,16 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    It cuts lineage so that it survives lost executors. The shuffle files behind
+    the table are of no use any more; collecting the driver's garbage lets Spark
+    remove them before the next job fills the disks.
+    """
+    out = written(df, purpose)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

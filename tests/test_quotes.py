@@ -1,6 +1,6 @@
 import random
 
-from answergauge.operators.quotes import find_quotes
+from answergauge.operators.quotes import _among, _places, find_quotes
 from answergauge.operators.replies import check_citations, search_citations
 from answergauge.operators.textchecks import phrase_echo
 from answergauge.session import written
@@ -73,6 +73,36 @@ def test_candidates_do_not_grow_with_common_words(spark):
     assert sizes[-1][0] == ["_quote", "_id"] and sizes[-1][1] <= 10 * len(quotes)
 
 
+def test_places_that_no_quote_needs_stay_in_the_scan(spark):
+    """Stored keys carry no quotes, and few of the places in texts reach a shuffle."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(400)) for _ in range(100)]
+    quotes = [" ".join(t.split()[-9:]) for t in texts]
+    q = spark.createDataFrame([(x,) for x in quotes], "quote string")
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    stored = []
+
+    def store(df):
+        out = _store(df)
+        stored.append((out.columns, out.count()))
+        return out
+
+    assert {(r.quote, r.id) for r in find_quotes(q, "quote", t, "id", "text", store).collect()} == set(zip(quotes, range(100)))
+    assert (["_needle", "_key"], 600) in stored and not any("_quote" in c and "_key" in c for c, _ in stored)
+    places = _places(t.selectExpr("id AS _id", "split(text, ' ') AS _words"), 2)
+    keys = _store(places.limit(600).select("_key"))
+    passed = _among(places, keys)
+    assert passed.join(keys.distinct(), "_key").count() == places.join(keys.distinct(), "_key").count() >= 600
+    assert places.count() == 39_700 and passed.count() < 2000
+
+
+def test_repeated_phrases_of_a_text_are_one_place(spark):
+    t = spark.createDataFrame([(1, ["a", "b", "c", "d"] * 5), (2, ["a", "b"]), (3, []), (1, ["a", "b", "c", "d"])],
+                              "_id long, _words array<string>")
+    assert sorted(r._id for r in _places(t, 2).collect()) == [1] * 5
+    assert sorted(r._id for r in _places(t, 1).collect()) == [1] * 6
+
+
 def test_citations_without_a_known_document(spark):
     replies = [(1, 9, "So it is.\nReference: grey stones"), (2, 9, "Reference: no such words at all"),
                (3, 9, "I can't find that in the document."), (4, 9, "no quote"), (5, 8, "Reference: grey stones ")]
